@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing
+from ledgerloom.llm import bpe_automaton, mixing, pii, token_counts
 
 
 def queries():
     return {
         "op7_mixing": mixing.op7_mixing,
+        "op8_token_counts": token_counts.op8_token_counts,
+        "op9_bpe": bpe_automaton.op9_bpe,
+        "op10_pii": pii.op10_pii,
     }
 
 
