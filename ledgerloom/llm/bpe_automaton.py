@@ -73,35 +73,44 @@ class Automaton:
                 return True
 
     def encode(self, text: str, suffix: str = "") -> list[int]:
-        """Token ids of a word, a character a base symbol; suffix belongs to the last symbol."""
+        """Token ids of a word, a character a base symbol; suffix belongs to the last symbol.
+
+        Follows the longest arc from each state and steps back where none leads on. A prefix has one accepted spelling,
+        so a place given up once is never entered again, and work grows with the length of the word.
+        """
         get, known, lost = self.by_text.get, self.known, len(self.lost)
         n, longest = len(text), self.longest
-        ends = [-1] * (n + 1)
-        begins = [0] * (n + 1)
-        for k in range(1, n + 1):
-            tail = suffix if k == n else ""
-            for j in range(k - longest if k > longest else 0, k):
-                token = get(text[j:k] + tail)
-                if token is None:
+        out: list[int] = []
+        places = [0]
+        state, at, reach = -1, 0, min(n, longest)
+        given_up = set()
+        while at < n:
+            for k in range(reach, at, -1):
+                token = get(text[at:k] + suffix if k == n else text[at:k])
+                if token is None or k in given_up:
                     continue
-                if j:
-                    key = ends[j] << 20 | token
+                if at:
+                    key = state << 20 | token
                     follows = known.get(key)
                     if follows is None:
                         if len(known) > CACHE:
                             known.clear()
-                        follows = known[key] = self._arc(ends[j], token, lost)
+                        follows = known[key] = self._arc(state, token, lost)
                     if not follows:
                         continue
-                ends[k], begins[k] = token, j
+                out.append(token)
+                places.append(k)
+                state, at = token, k
+                reach = min(n, at + longest)
                 break
             else:
-                raise ValueError(f"no arc spells {text[k - 1]!r}")
-        out = []
-        while n:
-            out.append(ends[n])
-            n = begins[n]
-        return out[::-1]
+                if not out:
+                    raise ValueError(f"no arcs spell {text!r}")
+                given_up.add(at)
+                out.pop()
+                reach = places.pop() - 1
+                state, at = out[-1] if out else -1, places[-1]
+        return out
 
 
 class Codec:
@@ -119,7 +128,7 @@ class Codec:
         # Text rules of the file, by the library it is written for: they follow its tables of characters.
         rules = Tokenizer.from_file(path)
         self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
-        self.spaces = re.compile("[\t-\r]")
+        self.spaces = re.compile("[\t-\r\x85\xa0]")
         self.words: dict[str, list[int]] = {}
         #: Of each piece between spaces: (ids as little-endian bytes, labels joined by spaces).
         self.cache: dict[str, tuple[bytes, str]] = {}
@@ -139,7 +148,7 @@ class Codec:
         return " ".join([label[i] for i in ids])
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = [i for w, _ in self.split(piece) for i in self.word(w)]
+        ids = self.word(piece) if piece.isascii() and piece.isalpha() else [i for w, _ in self.split(piece) for i in self.word(w)]
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def encoded(self, text: str | None) -> tuple[bytes, str]:
@@ -151,7 +160,11 @@ class Codec:
             if part in self.special:
                 found.append((struct.pack("<I", self.special[part]), part))
                 continue
-            part = self.spaces.sub(" ", part).lower() if part.isascii() else self.normal(part)
+            try:
+                part.encode("latin-1")  # these characters are in normal form, and each has one lower case
+                part = self.spaces.sub(" ", part).lower()
+            except UnicodeEncodeError:
+                part = self.normal(part)
             for piece in part.split(" "):
                 if piece:
                     if (known := cache.get(piece)) is None:
