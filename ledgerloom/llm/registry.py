@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, mixing, pii, token_counts
+from ledgerloom.llm import bpe_automaton, line_dedup, mixing, pii, quality, token_counts
 
 
 def queries():
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_quality": quality.op4_quality,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_bpe": bpe_automaton.op9_bpe,
@@ -16,5 +18,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
         "op7_mixing": mixing.OP7_SQL,
     }
