@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, line_dedup, mixing, pii, quality, token_counts
+from ledgerloom.llm import bpe_automaton, line_dedup, mixing, pii, quality, token_counts, warc
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_warc": warc.op3_warc,
         "op4_quality": quality.op4_quality,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_counts": token_counts.op8_token_counts,
@@ -19,5 +20,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op3_warc": warc.OP3_SQL,
         "op7_mixing": mixing.OP7_SQL,
     }
