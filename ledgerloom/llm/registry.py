@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, line_dedup, mixing, pii, quality, token_counts, warc
+from ledgerloom.llm import bpe_automaton, language_id, line_dedup, mixing, pii, quality, token_counts, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_warc": warc.op3_warc,
         "op4_quality": quality.op4_quality,
+        "op5_language": language_id.op5_language,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_bpe": bpe_automaton.op9_bpe,
