@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, language_id, line_dedup, mixing, pii, quality, token_counts, warc
+from ledgerloom.llm import bpe_automaton, embedding_dedup, language_id, line_dedup, mixing, pii, quality, token_counts, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_warc": warc.op3_warc,
         "op4_quality": quality.op4_quality,
         "op5_language": language_id.op5_language,
+        "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_bpe": bpe_automaton.op9_bpe,
