@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, embedding_dedup, language_id, line_dedup, mixing, pii, quality, token_counts, warc
+from ledgerloom.llm import bpe_automaton, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, warc
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_warc": warc.op3_warc,
         "op4_quality": quality.op4_quality,
         "op5_language": language_id.op5_language,
