@@ -23,8 +23,7 @@ def _by_id(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.judge(docs).groupBy("_id").agg(F.min("kept").alias("kept")).filter("kept").select("_id")
-    return _by_id(docs, kept).select(*COLUMNS)
+    return quality.keep(docs).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

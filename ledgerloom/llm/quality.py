@@ -92,17 +92,23 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     return {c: x.astype(np.int64) for c, x in out.items()}
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: _id and BASE and MORE counts; a narrow map over whole texts."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row a document: _id and BASE and MORE counts; a narrow map over whole texts.
+
+    With carry, the columns of docs come along as _c0, _c1, ... in their order.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [*BASE, *MORE]
+    carried = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)] if carry else []
+    ddl = [f"_id {kind}", *(f"{c} long" for c in names), *(f"_c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields) if carry)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found = counts(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names)], ["_id", *names])
+            rest = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names), *rest], ["_id", *names, *(f"_c{k}" for k in range(len(rest)))])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([f"_id {kind}", *(f"{c} long" for c in names)]))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carried).mapInArrow(run, ", ".join(ddl))
 
 
 def _rule(bad, good):
@@ -159,6 +165,23 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200, prior
     return share, likely, posterior
 
 
+def votes():
+    """The votes of all rules as one string."""
+    return F.concat_ws(",", *(v.cast("string") for v in rules().values()))
+
+
+def verdicts(measured: DataFrame) -> DataFrame:
+    """(votes, posterior) of every pattern of votes in measured."""
+    rows = measured.groupBy("votes").count().orderBy("votes").collect()  # 3 ** len(rules) rows at most
+    patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in rows], int).reshape(-1, len(rules()))
+    posterior = estimate(patterns, np.array([r["count"] for r in rows], float))[2] if rows else []
+    return measured.sparkSession.createDataFrame([(r["votes"], float(p)) for r, p in zip(rows, posterior, strict=True)], "_votes string, posterior double")
+
+
+def _failed(min_words: int, max_repeat: float):
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 100 * max_repeat * F.col("n_words"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_repeat: float = 0.3, min_words: int = 20) -> DataFrame:
     """One row a document: _id, the counts, base_failed, votes (string), posterior, kept.
 
@@ -166,17 +189,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     threshold. Null, empty and blank texts have no words and fail; repeated rows give repeated rows; an empty table gives
     none. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    named = rules()
-    vote = F.concat_ws(",", *(v.cast("string") for v in named.values()))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 100 * max_repeat * F.col("n_words"))
-    measured = scratch.keep(measure(docs, id_col, text_col).withColumn("votes", vote).withColumn("base_failed", failed), "measured")
-    rows = measured.groupBy("votes").count().orderBy("votes").collect()  # 3 ** len(rules) rows at most
-    patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in rows], int).reshape(-1, len(named))
-    posterior = estimate(patterns, np.array([r["count"] for r in rows], float))[2] if rows else []
-    verdicts = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(rows, posterior, strict=True)], "votes string, posterior double")
-    return measured.join(F.broadcast(verdicts), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).select("_id", *BASE, "base_failed", "votes", "posterior", "kept")
+    scratch = Scratch(docs.sparkSession, "quality")
+    measured = measure(docs, id_col, text_col).withColumn("votes", votes()).withColumn("base_failed", _failed(min_words, max_repeat))
+    measured = scratch.keep(measured, "measured")
+    found = measured.join(F.broadcast(verdicts(measured)), F.col("votes") == F.col("_votes"))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).select("_id", *BASE, "base_failed", "votes", "posterior", "kept")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_repeat: float = 0.3, min_words: int = 20) -> DataFrame:
+    """The rows of docs that judge() keeps, all columns as they are.
+
+    Texts are measured twice, once to estimate and once to decide, which spares writing or shuffling them.
+    """
+    found = verdicts(measure(docs, id_col, text_col).select(votes().alias("votes")))
+    rows = measure(docs, id_col, text_col, carry=True).withColumn("votes", votes()).join(F.broadcast(found), F.col("votes") == F.col("_votes"))
+    rows = rows.filter(~_failed(min_words, max_repeat) & (F.col("posterior") >= threshold))
+    return rows.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op4_quality(spark, sf_dir):
