@@ -46,8 +46,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("_ratio", cap / F.col("weight"))
         .withColumn("_total", F.sum("source_size").over(Window.partitionBy()) * share)
         .withColumn("_level", (F.col("_total") - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(after))
-        # The first source in filling order whose ratio is above its level fixes the level of all that follow.
-        .withColumn("_level", F.min(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(Window.partitionBy()))
+        # The first source in filling order whose ratio is above its level fixes the level of all that follow; theirs are lower.
+        .withColumn("_level", F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(Window.partitionBy()))
         .withColumn("target", F.when(F.col("_level").isNull() | (F.col("_ratio") <= F.col("_level")), cap.cast("double")).otherwise(F.col("_level") * F.col("weight")))
         .select("source", "source_size", "weight", "target")
     )
@@ -126,7 +126,7 @@ ratios AS (SELECT *, 2 * source_size / weight AS ratio FROM weighed),
 levels AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
     - CAST(coalesce(sum(2 * source_size) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
     / CAST(sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM ratios),
-levelled AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS water FROM levels),
+levelled AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS water FROM levels),
 goals AS (SELECT source, source_size, CASE WHEN water IS NULL OR ratio <= water THEN CAST(2 * source_size AS DOUBLE) ELSE water * weight END AS target FROM levelled),
 placed AS (SELECT s.doc_id, s.size, g.source_size, g.target, CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id) AS BIGINT) AS upto
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
