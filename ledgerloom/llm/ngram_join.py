@@ -13,17 +13,19 @@ leave little of it to be formed:
 - From where a shared n-gram stands in both rows follows how much the rows can still share at most; pairs below the
   bound are discarded.
 
-The entries are dealt into column blocks by hash. A block sorts its entries, drops columns with one row, counts for each
-row its overlap with the first row of each of its columns, and keeps the rest as columns. Each row is then compared in
-full with the one such row that it shares most with, and components are formed; this takes groups of near copies
-together without forming their pairs. Pairs of rows of one column are then formed only across components, a block of
-a column against a block of it where columns are long, compared in full, and components are formed anew.
+The entries are dealt into column blocks by hash. A block sorts its entries and drops columns with one row. Then groups
+of near copies are taken together without forming their pairs: in every column the rows are set against the first row
+of another component, overlaps are added up over all columns, each component is compared in full where its overlap is
+largest, and components are formed anew; this is repeated while it joins components (at first each row is one). Only
+then are the pairs of each column formed, across components, a block of a column against a block of it where columns
+are long, and compared in full, and components are formed for good.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,9 @@ HELD_ENTRIES = 2_000_000
 #: Rows of one side of a pair of blocks of a column, and members compared with one row in a task.
 COLUMN_ROWS = 256
 STAR_ROWS = 128
+#: Rounds of joining components at most, and the share of compared pairs that must link for one more.
+ROUNDS = 6
+WORTH = 0.05
 #: Bits of the filter that keeps texts nobody asks for from being shuffled; fixed as well.
 FILTER_BITS = 24
 
@@ -167,13 +172,8 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, n_blocks:
         yield flush()
 
 
-def _columns(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of entries, sorted by block, to the columns with two rows or more, and overlaps with first rows.
-
-    Rows (list, set, size, place) are entries; rows (set, hub, overlap) count how many columns set shares in this block
-    in which hub is the first row.
-    """
-    names = ["list", "set", "size", "place", "hub", "overlap"]
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of packed entries, sorted by block, to the entries (list, set, size, place) of columns with two rows or more."""
 
     def done(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         sets, sizes, columns, places = [], [], [], []
@@ -189,30 +189,12 @@ def _columns(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         new = np.ones(len(sets), bool)
         new[1:] = (sets[1:] != sets[:-1]) | (columns[1:] != columns[:-1])
         sets, sizes, columns, places = sets[new], sizes[new], columns[new], places[new]
-        head = np.ones(len(columns), bool)
-        head[1:] = columns[1:] != columns[:-1]
-        starts = np.flatnonzero(head)
+        starts = np.flatnonzero(np.append(True, columns[1:] != columns[:-1]))
         lengths = np.diff(np.append(starts, len(columns)))
         keep = np.repeat(lengths > 1, lengths)
-        if not keep.any():
-            return
-        first = np.repeat(starts, lengths)
-        size = sizes.astype(np.int64)
-        star = np.flatnonzero(keep & ~head & (percent * np.maximum(size, size[first]) <= 100 * np.minimum(size, size[first])))
-        a, b = sets[star], sets[first[star]]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        edge = np.ones(len(a), bool)
-        edge[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(edge)
-        overlap = np.diff(np.append(at, len(a)))
-        list_ = columns[keep].astype(np.int64) | np.int64(block) << 32
-        none = lambda k, t: pa.nulls(k, t)
-        k = len(list_)
-        yield pa.RecordBatch.from_arrays([pa.array(list_), pa.array(sets[keep]), pa.array(sizes[keep].astype(np.int32)), pa.array(places[keep].astype(np.int32)), none(k, pa.int64()), none(k, pa.int64())], names)
-        k = len(at)
-        if k:
-            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), pa.array(a[at]), none(k, pa.int32()), none(k, pa.int32()), pa.array(b[at]), pa.array(overlap.astype(np.int64))], names)
+        if keep.any():
+            list_ = columns[keep].astype(np.int64) | np.int64(block) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(list_), pa.array(sets[keep]), pa.array(sizes[keep].astype(np.int32)), pa.array(places[keep].astype(np.int32))], ["list", "set", "size", "place"])
 
     held: list[dict] = []
     for batch in batches:
@@ -278,8 +260,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member", F.col("member").alias("of"))
     hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("of"))
     asked = members.unionByName(hubs)
-    texts = _wanted(docs, asked.select(F.col("of").alias("id")))
-    rows = asked.join(texts, F.col("of") == F.col("id")).select("hub", "part", "member", "text")
+    rows = asked.join(docs, F.col("of") == F.col("id")).select("hub", "part", "member", "text")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
     return rows.mapInArrow(lambda b: _compare(b, n, percent), "a long, b long")
 
@@ -336,6 +317,30 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield out(found)
 
 
+def _labelled(entries: DataFrame, near: DataFrame | None) -> DataFrame:
+    """entries with comp, the component of the row so far."""
+    if near is None:
+        return entries.withColumn("comp", F.col("rep"))
+    return entries.join(near, F.col("rep") == F.col("node"), "left").select("list", "rep", "size", "place", F.coalesce("component", "rep").alias("comp"))
+
+
+def _best(labelled: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """A pair (hub, member) for each component: where it shares most columns with a first row of another component.
+
+    The first rows of a column are those of its least and its greatest component, so there is a row an entry, not a pair.
+    """
+    row = F.struct("comp", "rep", "size")
+    heads = labelled.groupBy("list").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo.comp < hi.comp")
+    rows = labelled.join(heads, "list").withColumn("h", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")))
+    fits = percent * F.greatest("size", F.col("h.size")) <= 100 * F.least("size", F.col("h.size"))
+    rows = rows.filter(fits).select("comp", F.least("rep", F.col("h.rep")).alias("hub"), F.greatest("rep", F.col("h.rep")).alias("member"))
+    counts = rows.groupBy("comp", "hub", "member").count()
+    if tried is not None:
+        counts = counts.join(tried, ["hub", "member"], "left_anti")
+    best = counts.groupBy("comp").agg(F.max(F.struct("count", "hub", "member")).alias("b"))
+    return best.select("b.hub", "b.member").distinct()
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row a document: _id, n_shingles, component_id (smallest id reachable by links, its own included).
 
@@ -357,30 +362,32 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     packed = docs.mapInArrow(lambda b: _entries(b, n, percent, n_blocks, sketch.value), "block int, sets binary, sizes binary, at binary, column binary, place binary")
     packed = packed.repartition(n_blocks, "block").sortWithinPartitions("block")
-    met = scratch.keep(packed.mapInArrow(lambda b: _columns(b, percent), "list long, set long, size int, place int, hub long, overlap long"), "met")
-
-    # Every row with the first row that it shares most with.
-    rep = lambda name: classes.select(F.col("d1").alias(f"_{name}"), F.col("rep").alias(name))
-    stars = met.filter("list IS NULL").groupBy("set", "hub").agg(F.sum("overlap").alias("overlap"))
-    stars = stars.groupBy("set").agg(F.max(F.struct("overlap", "hub")).alias("best")).select("set", F.col("best.hub").alias("_best"))
-    stars = stars.join(rep("member"), F.col("set") == F.col("_member")).join(rep("hub"), F.col("_best") == F.col("_hub")).select("hub", "member")
-    links = scratch.keep(compared(docs, scratch.keep(stars, "stars"), n, percent), "links")
-    near = connected_components(links, scratch)
-
-    # Columns with their rows' components; those within one component are done with.
-    entries = met.filter("list IS NOT NULL").select("list", "set", "size", "place")
-    entries = entries.join(classes.select("d1", "rep"), F.col("set") == F.col("d1")).join(near, F.col("rep") == F.col("node"), "left")
-    entries = scratch.keep(entries.select("list", "rep", "size", "place", F.coalesce("component", "rep").alias("comp")), "entries")
-    mixed = entries.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.ceil(F.count(F.lit(1)) / COLUMN_ROWS).cast("int").alias("n")).filter("_lo < _hi")
-    entries = entries.join(mixed.select("list", "n"), "list")
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    entries = entries.select("list", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "comp", "size", "place", "rep", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    met = packed.mapInArrow(_columns, "list long, set long, size int, place int")
+    entries = scratch.keep(met.join(classes.select("d1", "rep"), F.col("set") == F.col("d1")).select("list", "rep", "size", "place"), "entries")
+    texts = scratch.keep(_wanted(docs, entries.select(F.col("rep").alias("id"))), "texts")
+
+    links, near, tried = [], None, None
+    for _ in range(ROUNDS):
+        pairs = scratch.keep(_best(_labelled(entries, near), tried, percent), "best")
+        new = scratch.keep(compared(texts, pairs, n, percent), "links")
+        links.append(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        n_pairs, n_new = pairs.count(), new.count()
+        near = connected_components(reduce(DataFrame.unionByName, links), scratch)
+        if n_new < WORTH * n_pairs or not n_pairs:
+            break
+
+    # Columns with rows of several components are left.
+    labelled = _labelled(entries, near)
+    mixed = labelled.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.ceil(F.count(F.lit(1)) / COLUMN_ROWS).cast("int").alias("n")).filter("_lo < _hi")
+    rows = labelled.join(mixed.select("list", "n"), "list")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("list", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "comp", "size", "place", "rep", (F.col("own") > F.col("other")).cast("int").alias("side"))
     group = ["list", "first", "second"]
-    pairs = entries.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: _across(b, percent), "hub long, member long")
-    pairs = scratch.keep(pairs.distinct(), "pairs")
-    scratch.drop(met)
-    more = scratch.keep(compared(docs, pairs, n, percent), "links")
-    found = connected_components(links.unionByName(more), scratch)
+    pairs = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: _across(b, percent), "hub long, member long")
+    pairs = scratch.keep(pairs.distinct().join(tried, ["hub", "member"], "left_anti"), "pairs")
+    links.append(scratch.keep(compared(texts, pairs, n, percent), "links"))
+    found = connected_components(reduce(DataFrame.unionByName, links), scratch)
 
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(known, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("size") > 0), "left")
