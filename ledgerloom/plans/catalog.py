@@ -1,15 +1,14 @@
-"""The registered queries and the SQL that states the same rows."""
+"""All registered queries, and the flagship."""
 
 from __future__ import annotations
 
-from ledgerloom.session import table
-
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ledgerloom.plans import documents
+from ledgerloom.plans.registry import ORACLE, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    """Risk summary a document: cleaned, cut into clauses, matched with a lexicon, scored, summarised."""
+    return documents.risk_summary(spark, sf_dir)
 
 
 def queries():
