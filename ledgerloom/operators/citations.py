@@ -66,15 +66,15 @@ def grade(status: Column) -> Column:
     return F.when(status == "verified", "strong").when(status == "misquoted", "hallucinated").when(status == "not_applicable", "weak").otherwise("unverifiable")
 
 
-#: What a citation of each grade adds to a clause's accuracy. Fixed values.
-WEIGHTS = {"strong": 1.0, "weak": 0.75, "unverifiable": 0.15, "hallucinated": -0.5}
+#: What a citation of each grade adds to a clause's accuracy, in percent. Fixed values.
+WEIGHTS = {"strong": 100, "weak": 75, "unverifiable": 15, "hallucinated": -50}
 
 
 def accuracy(grades: Column) -> Column:
     """Accuracy in percent of an array of grades, clamped to 0..100; 100 of an empty one."""
     weight = F.create_map(*(F.lit(x) for p in WEIGHTS.items() for x in p))
-    total = F.aggregate(F.transform(grades, lambda g: F.try_element_at(weight, g)), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return F.when(F.size(grades) > 0, F.greatest(F.lit(0), F.least(F.lit(100), F.floor(100 * total / F.size(grades) + 0.5)))).otherwise(100).cast("int")
+    total = F.aggregate(F.transform(grades, lambda g: F.try_element_at(weight, g)), F.lit(0), lambda a, v: a + F.coalesce(v, F.lit(0)))
+    return F.when(F.size(grades) > 0, F.greatest(F.lit(0), F.least(F.lit(100), F.floor(total / F.size(grades) + 0.5)))).otherwise(100).cast("int")
 
 
 def clause_accuracy(verified: DataFrame, key: list[str]) -> DataFrame:

@@ -60,7 +60,7 @@ def upcoming(events: DataFrame, now: Column, days: int = 30) -> DataFrame:
     events: contract_id, event_type, date, notified."""
     near = events.filter(~F.coalesce("notified", F.lit(False)) & (F.col("date") >= now) & (F.col("date") <= now + F.expr(f"INTERVAL {days} DAYS")))
     first = near.groupBy("contract_id").agg(F.min(F.struct("date", "event_type")).alias("e"))
-    left = F.ceil((F.unix_millis(F.col("e.date")) - F.unix_millis(now)) / 86_400_000).cast("int")
+    left = F.ceil((F.unix_millis(F.col("e.date").cast("timestamp")) - F.unix_millis(now.cast("timestamp"))) / 86_400_000).cast("int")
     return first.select("contract_id", F.col("e.event_type").alias("event_type"), F.col("e.date").alias("date"), left.alias("days_remaining"))
 
 
@@ -83,7 +83,7 @@ def retained(metrics: DataFrame, now: Column, days: int = 90) -> DataFrame:
 
 def repeal_sweep(statutes: DataFrame, repealed: DataFrame) -> DataFrame:
     """Statutes with is_repealed and repealed_by set where an act's name matches (pattern, repealed_by); few patterns."""
-    hit = statutes.join(F.broadcast(repealed), statutes["act_name"].rlike(F.concat(F.lit("(?i)"), "pattern")), "left")
+    hit = statutes.join(F.broadcast(repealed), F.regexp_like(statutes["act_name"], F.concat(F.lit("(?i)"), "pattern")), "left")
     first = hit.groupBy("act_name", "section_number").agg(F.min(repealed["repealed_by"]).alias("_by"))
     rows = statutes.join(first, ["act_name", "section_number"])
     return rows.withColumns({"is_repealed": F.col("_by").isNotNull() | F.coalesce("is_repealed", F.lit(False)), "repealed_by": F.coalesce("_by", "repealed_by")}).drop("_by")
