@@ -159,13 +159,13 @@ def overlap_pct(claim: Column, text: Column, upto: int = 2000) -> Column:
     return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), share), F.lit(0)).cast("int")
 
 
-#: Abbreviations of citations and what they stand for, in order. Fixed values.
+#: Abbreviations of citations and what they stand for, in order; words written out are not taken for them. Fixed values.
 CITATION_STEPS = (
-    (r"(?i)\bSec\.?\s*", "Section "),
+    (r"(?i)\bSec(?![A-Za-z])\.?\s*", "Section "),
     (r"(?i)\bS\.\s*", "Section "),
-    (r"(?i)\bArt\.?\s*", "Article "),
-    (r"(?i)\bReg\.?\s*", "Regulation "),
-    (r"(?i)\bCl\.?\s*", "Clause "),
+    (r"(?i)\bArt(?![A-Za-z])\.?\s*", "Article "),
+    (r"(?i)\bReg(?![A-Za-z])\.?\s*", "Regulation "),
+    (r"(?i)\bCl(?![A-Za-z])\.?\s*", "Clause "),
 )
 SECTION_WORDS = "Section|Article|Rule|Regulation|Schedule|Clause|Order"
 SECTION = rf"(?i)({SECTION_WORDS})\s+(\d+[A-Z]?(?:\(\d+\))?(?:\([a-z]\))?)"

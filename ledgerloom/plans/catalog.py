@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import documents, tables  # noqa: F401
+from ledgerloom.plans import contracts, documents, tables  # noqa: F401
 from ledgerloom.plans.registry import ORACLE, QUERIES
 
 
