@@ -38,7 +38,7 @@ from ledgerloom.llm.components import connected_components
 N = 5
 PERCENT = 80
 #: The sketch counts n-grams under this many leading bits; its size does not depend on the corpus.
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SKETCH_PARTS = 64
 #: Entries of a column block, about, and entries a task holds before it writes them.
 BLOCK_ENTRIES = 1_500_000
@@ -46,6 +46,8 @@ HELD_ENTRIES = 2_000_000
 #: Rows of one side of a pair of blocks of a column, and members compared with one row in a task.
 COLUMN_ROWS = 256
 STAR_ROWS = 128
+#: Neighbours in size order that an entry of a column is tried against.
+NEAR = 8
 #: Rounds of joining components at most, and the share of compared pairs that must link for one more.
 ROUNDS = 6
 WORTH = 0.05
@@ -172,8 +174,34 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, n_blocks:
         yield flush()
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of packed entries, sorted by block, to the entries (list, set, size, place) of columns with two rows or more."""
+def admissible(columns: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, sorted by column, have another in their column with which the bounds leave a link possible.
+
+    In size order an entry's partners stand near it: each is tried against the NEAR next ones. Entries of columns with more
+    rows are kept if they fit with the smallest row that could be their partner, where the bound is lowest.
+    """
+    order = np.lexsort((sizes, columns))
+    c, size, room = columns[order], sizes[order], (sizes - places)[order]
+    ok = np.zeros(len(c), bool)
+    for d in range(1, NEAR + 1):
+        a, b = size[:-d], size[d:]
+        fits = (c[:-d] == c[d:]) & (percent * b <= 100 * a) & (np.minimum(room[:-d], room[d:]) >= -(-percent * (a + b) // (100 + percent)))
+        ok[:-d] |= fits
+        ok[d:] |= fits
+    starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    lengths = np.diff(np.append(starts, len(c)))
+    long = np.repeat(lengths > NEAR + 1, lengths)
+    if long.any():
+        key = np.repeat(np.arange(len(starts)), lengths) << 40
+        least = np.minimum(np.searchsorted(key + size, key + -(-percent * size // 100)), len(c) - 1)
+        ok |= long & (room >= -(-percent * (size + size[least]) // (100 + percent)))
+    keep = np.zeros(len(c), bool)
+    keep[order] = ok
+    return keep
+
+
+def _columns(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of packed entries, sorted by block, to those entries (list, set, size, place) that can still link."""
 
     def done(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         sets, sizes, columns, places = [], [], [], []
@@ -189,9 +217,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(sets), bool)
         new[1:] = (sets[1:] != sets[:-1]) | (columns[1:] != columns[:-1])
         sets, sizes, columns, places = sets[new], sizes[new], columns[new], places[new]
-        starts = np.flatnonzero(np.append(True, columns[1:] != columns[:-1]))
-        lengths = np.diff(np.append(starts, len(columns)))
-        keep = np.repeat(lengths > 1, lengths)
+        keep = admissible(columns.astype(np.int64), sizes.astype(np.int64), places.astype(np.int64), percent)
         if keep.any():
             list_ = columns[keep].astype(np.int64) | np.int64(block) << 32
             yield pa.RecordBatch.from_arrays([pa.array(list_), pa.array(sets[keep]), pa.array(sizes[keep].astype(np.int32)), pa.array(places[keep].astype(np.int32))], ["list", "set", "size", "place"])
@@ -362,7 +388,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     packed = docs.mapInArrow(lambda b: _entries(b, n, percent, n_blocks, sketch.value), "block int, sets binary, sizes binary, at binary, column binary, place binary")
     packed = packed.repartition(n_blocks, "block").sortWithinPartitions("block")
-    met = packed.mapInArrow(_columns, "list long, set long, size int, place int")
+    met = packed.mapInArrow(lambda b: _columns(b, percent), "list long, set long, size int, place int")
     entries = scratch.keep(met.join(classes.select("d1", "rep"), F.col("set") == F.col("d1")).select("list", "rep", "size", "place"), "entries")
     texts = scratch.keep(_wanted(docs, entries.select(F.col("rep").alias("id"))), "texts")
 
