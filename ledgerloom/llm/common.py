@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one numpy step holds at a time, in bytes; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -95,20 +95,22 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row a document: _id and BASE and MORE counts; a narrow map over whole texts.
 
-    With carry, the columns of docs come along as _c0, _c1, ... in their order.
+    With carry, the columns of docs come along as _c0, _c1, ... in their order, in place of _id.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     names = [*BASE, *MORE]
-    carried = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)] if carry else []
-    ddl = [f"_id {kind}", *(f"{c} long" for c in names), *(f"_c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields) if carry)]
+    taken = [(f"_c{k}", F.col(c), docs.schema[c]) for k, c in enumerate(docs.columns)] if carry else [("_id", F.col(id_col), docs.schema[id_col])]
+    along = len(taken)
+    if not carry:
+        taken.append(("_text", F.col(text_col), docs.schema[text_col]))
+    text = f"_c{docs.columns.index(text_col)}" if carry else "_text"
+    ddl = [*(f"{n} {f.dataType.simpleString()}" for n, _, f in taken[:along]), *(f"{c} long" for c in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            found = counts(batch.column(1))
-            rest = batch.columns[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names), *rest], ["_id", *names, *(f"_c{k}" for k in range(len(rest)))])
+        for batch in slices(batches, text):
+            found = counts(batch.column(batch.schema.get_field_index(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:along], *(pa.array(found[c]) for c in names)], [*batch.schema.names[:along], *names])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carried).mapInArrow(run, ", ".join(ddl))
+    return docs.select(*(c.alias(n) for n, c, _ in taken)).mapInArrow(run, ", ".join(ddl))
 
 
 def _rule(bad, good):

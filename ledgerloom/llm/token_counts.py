@@ -179,7 +179,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = merger(model_path)
-        for batch in slices(batches, "_text", 4 << 20):
+        for batch in slices(batches, "_text", 1 << 20):
             texts = batch.column(1).to_pylist()
             counts = np.array(table_.counts(texts), np.int64)
             size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
