@@ -74,14 +74,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     Null and empty texts stay as they are, with no lines; a text of which every line goes becomes empty; rows that repeat
     an id and its text are treated alike; an empty table stays empty; other columns pass through, whatever their names.
     """
-    gone = repeats(docs, id_col, text_col, min_words).select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), "gone")
+    gone = repeats(docs, id_col, text_col, min_words).select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), F.col("gone").alias("_gone_at"))
     split = F.split(F.col(text_col), "\n")
     found = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_th")), "left")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone_at", i)), "\n")
     return found.select(
-        *(F.when(F.col("gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns),
+        *(F.when(F.col("_gone_at").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns),
         F.when(F.length(text_col) > 0, F.size(split)).otherwise(0).cast("long").alias("_n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_deleted"),
+        F.when(F.col("_gone_at").isNull(), 0).otherwise(F.size("_gone_at")).cast("long").alias("_n_deleted"),
     )
 
 
