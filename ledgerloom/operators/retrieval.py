@@ -109,3 +109,29 @@ def chat_context(queries: DataFrame, clauses: DataFrame, q_id: str, q_vec: str,
     rest = queries.join(near.select(q_id).distinct(), q_id, "left_anti").select(q_id, group).join(side, F.col(group) == F.col("_g"))
     rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy(q_id).orderBy("segment_index"))).filter(F.col("rank") <= first)
     return near.unionByName(rest.select(q_id, "segment_index", "rank", F.lit("order").alias("how")))
+
+
+def asof_cutoff(executed: Column, repealed: Column, cutoff: str, now: Column) -> Column:
+    """Whether a statute counts: contracts executed from the cutoff on (or at an unknown time, from now) leave repealed ones out;
+    an unknown state is not repealed."""
+    return (F.coalesce(executed, now) < F.lit(cutoff).cast("timestamp")) | ~F.coalesce(repealed, F.lit(False))
+
+
+def worth_asking(text: Column) -> Column:
+    """Whether a clause is worth a search: not a preamble, signature block or recital."""
+    return ~F.lower(text).rlike(r"^\s*(?:this agreement is (?:made|entered)|whereas|in witness whereof|signed (?:by|for))")
+
+
+def plausible(act: Column, section: Column, text: Column) -> Column:
+    """Whether a hit fits the clause: acts on banking and finance need such words in the text, a section on restraint of trade needs
+    words of restraint. Sections are compared by their number."""
+    money = F.lower(act).rlike(r"bank|securiti[sz]ation|negotiable instruments")
+    about_money = F.lower(text).rlike(r"loan|bank|credit|cheque|security interest|borrow")
+    restraint = (F.regexp_extract(section, r"(\d+[A-Z]?)", 1) == "27") & F.contains(F.lower(act), F.lit("contract act"))
+    about_restraint = F.lower(text).rlike(r"compet|solicit|restrain|exclusiv")
+    return (~money | about_money) & (~restraint | about_restraint)
+
+
+def reranked(logit: Column, shift: float = 7.5, least: float = 0.65) -> Column:
+    """Whether a reranker's logit, as a probability, reaches a threshold."""
+    return 1 / (1 + F.exp(-(logit + shift))) >= least

@@ -129,3 +129,29 @@ def dedup_first(df: DataFrame, key: list[Column], order: list) -> DataFrame:
     named = [k.alias(f"_k{i}") for i, k in enumerate(key)]
     w = Window.partitionBy(*(f"_k{i}" for i in range(len(key)))).orderBy(*order)
     return df.select("*", *named).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", *(f"_k{i}" for i in range(len(key))))
+
+
+def redline(clauses: DataFrame, only_risky: bool = True, key: str = "contract_id", index: str = "segment_index") -> DataFrame:
+    """What an export holds, in order: risky clauses with a rewrite, or all, each as its old text struck and its new one put in."""
+    changed = F.coalesce(F.col("risk_level").isin("medium", "high", "critical") & (F.length("rewritten_text") > 0), F.lit(False))
+    rows = clauses.filter(changed) if only_risky else clauses
+    text = F.when(changed, F.concat(F.lit("[-"), "raw_text", F.lit("-] {+"), "rewritten_text", F.lit("+}"))).otherwise(F.col("raw_text"))
+    return rows.select(key, index, text.alias("line")).orderBy(key, index)
+
+
+def with_latest(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """left with the latest row of right, as a struct latest, null where there is none."""
+    last = right.groupBy(key).agg(F.max_by(F.struct(*(c for c in right.columns if c != key)), order).alias("latest"))
+    return left.join(last, key, "left")
+
+
+def with_parent(contracts: DataFrame, key: str, parent: str, columns: list[str]) -> DataFrame:
+    """contracts with the columns of their parent where their own are null."""
+    up = contracts.select(F.col(key).alias("_p"), *(F.col(c).alias(f"_p_{c}") for c in columns))
+    rows = contracts.join(up, F.col(parent) == F.col("_p"), "left").drop("_p")
+    return rows.withColumns({c: F.coalesce(c, f"_p_{c}") for c in columns}).drop(*(f"_p_{c}" for c in columns))
+
+
+def agreement(clauses: DataFrame, key: str = "contract_id") -> DataFrame:
+    """Clauses that a second model saw, and those it agreed on."""
+    return clauses.groupBy(key).agg(F.count_if("tier2_escalated").alias("escalated"), F.count_if(F.col("tier2_escalated") & F.col("tier2_agrees")).alias("agreed"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,3 +26,20 @@ def build(master: str = "local[*]", app: str = "ledgerloom", **more: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The Parquet table name below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
