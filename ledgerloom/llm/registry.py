@@ -23,6 +23,8 @@ def queries():
 def oracle_sql():
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op2_ngram_join": ngram_join.OP2_SQL,
         "op3_warc": warc.OP3_SQL,
+        "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
     }
