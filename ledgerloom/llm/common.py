@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- scratch tables -------------------------------------------------------------------------------
 
 
+_UNSET: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of this machine only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, which driver and executors share, with its scheme.
+
+    Only where it is unset, as in tests, one of this machine, the same for the whole application."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        app = spark.sparkContext.applicationId
+        found = _UNSET[app] = _UNSET.get(app) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
 class Scratch:
