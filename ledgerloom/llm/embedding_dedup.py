@@ -114,8 +114,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine, in double precision,
     is min_cosine or more. Null and empty vectors, zero ones, and those with null or non-finite components link with
-    nothing. Rows that repeat an id are vectors of their own, and link; an empty table gives no rows; other columns are not
-    read.
+    nothing. Rows that repeat an id and its vector count as copies of it; an id with two different vectors of one label is
+    compared by one of them. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")

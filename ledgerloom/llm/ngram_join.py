@@ -39,10 +39,10 @@ N = 5
 PERCENT = 80
 #: The sketch counts n-grams under this many leading bits; its size does not depend on the corpus.
 SKETCH_BITS = 21
-SKETCH_PARTS = 64
+SKETCH_PARTS = 16
 #: Entries of a column block, about, and entries a task holds before it writes them.
-BLOCK_ENTRIES = 1_500_000
-HELD_ENTRIES = 2_000_000
+BLOCK_ENTRIES = 1_000_000
+HELD_ENTRIES = 1_000_000
 #: Rows of one side of a pair of blocks of a column, and members compared with one row in a task.
 COLUMN_ROWS = 256
 STAR_ROWS = 128
@@ -371,7 +371,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row a document: _id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Texts that are null, empty or blank have no n-grams and link with nothing; rows that repeat an id stay rows of their
-    own with the id's component; ids must be integers; an empty table gives no rows; other columns are not read.
+    own, and are taken to repeat its text; ids must be integers; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
@@ -399,7 +399,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links.append(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         n_pairs, n_new = pairs.count(), new.count()
-        near = connected_components(reduce(DataFrame.unionByName, links), scratch)
+        if n_new or near is None:
+            near = connected_components(reduce(DataFrame.unionByName, links), scratch)
         if n_new < WORTH * n_pairs or not n_pairs:
             break
 
@@ -413,7 +414,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: _across(b, percent), "hub long, member long")
     pairs = scratch.keep(pairs.distinct().join(tried, ["hub", "member"], "left_anti"), "pairs")
     links.append(scratch.keep(compared(texts, pairs, n, percent), "links"))
-    found = connected_components(reduce(DataFrame.unionByName, links), scratch)
+    found = connected_components(reduce(DataFrame.unionByName, links), scratch) if links[-1].take(1) else near
 
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(known, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("size") > 0), "left")
