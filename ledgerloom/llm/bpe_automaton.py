@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.common import slices, table
+from ledgerloom.llm.common import map_arrow, slices, table
 
 #: Words, and arcs decided, that a task remembers before it gives the memory back.
 CACHE = 300_000
@@ -205,7 +205,7 @@ def _map(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, ddl: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, {ddl}")
+    return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, {ddl}")
 
 
 def op9_bpe(spark, sf_dir):

@@ -70,6 +70,19 @@ def delete(spark: SparkSession, path: str) -> None:
 # --- Arrow text batches ---------------------------------------------------------------------------
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of texts, in place of the session's default of 64 MB, which a core may hold several times over.
+BATCH_BYTES = "4m"
+
+
+def map_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
+    """df.mapInArrow(run, ddl) in batches of BATCH_BYTES, unless the session has set a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) in (None, "64m", "64MB", "67108864", "67108864b"):
+        conf.set(_BATCH_BYTES, BATCH_BYTES)
+    return df.mapInArrow(run, ddl)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column holds about step bytes in each; one row at least."""
     for batch in batches:

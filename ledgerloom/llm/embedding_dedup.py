@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, table
+from ledgerloom.llm.common import Scratch, map_arrow, table
 from ledgerloom.llm.components import connected_components
 
 MIN_COSINE = 0.98
@@ -134,7 +134,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     of = whole.join(unique.select("id", F.col("label").alias("_l"), F.col("d1").alias("_d1"), "copies"), (F.col("_id") == F.col("id")) & (F.col("d1") == F.col("_d1")) & (F.col("label") == F.col("_l"))).select("id", "label", "copies", "v")
     of = of.dropDuplicates(["id", "label"])  # an id that stands twice with one vector
     label_type = vectors.schema[label_col].dataType.simpleString()
-    signed = of.mapInArrow(lambda b: signatures(b, bits, tables), f"id long, label {label_type}, copies long, dim int, vec binary, sig array<long>")
+    signed = map_arrow(of, lambda b: signatures(b, bits, tables), f"id long, label {label_type}, copies long, dim int, vec binary, sig array<long>")
     signed = scratch.keep(signed, "signed")
 
     # Who meets: keys with two rows or more, without the vectors at first.
@@ -147,7 +147,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     carried = met.join(signed.select("id", F.col("label").alias("_l"), "copies", "vec", "sig"), "id").filter(F.col("label") == F.col("_l")).drop("_l")
     blocks = [*group, "first", "second"]
     dealt = carried.repartition(*blocks).sortWithinPartitions(*blocks)
-    found = scratch.keep(dealt.mapInArrow(lambda b: _blocks(b, min_cosine), "id long, links long, least long"), "found")
+    found = scratch.keep(map_arrow(dealt, lambda b: _blocks(b, min_cosine), "id long, links long, least long"), "found")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)

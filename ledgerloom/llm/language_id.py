@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, table, text_buffers
+from ledgerloom.llm.common import map_arrow, slices, table, text_buffers
 
 #: Labelled documents a language that training sees, about; and characters taken from a random place of each.
 SAMPLE = 600
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Network] | None, id_col: s
                 score[lettered] = p.max(1)[lettered]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score.clip(0, 1))], ["_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double")
+    return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

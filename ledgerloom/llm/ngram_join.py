@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, Scratch, mix, slices, spans_hash, table, text_buffers, windows_hash, word_spans
+from ledgerloom.llm.common import LOWER, Scratch, map_arrow, mix, slices, spans_hash, table, text_buffers, windows_hash, word_spans
 from ledgerloom.llm.components import connected_components
 
 N = 5
@@ -122,7 +122,7 @@ def _summed(parts: DataFrame, add) -> dict[int, np.ndarray]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())], ["part", "counts"])
 
-    done = parts.select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, counts binary")
+    done = map_arrow(parts.select("part", "counts").repartition(SKETCH_PARTS, "part"), run, "part int, counts binary")
     return {r["part"]: np.frombuffer(r["counts"], np.uint32) for r in done.collect()}
 
 
@@ -266,7 +266,7 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["part", "counts"])
 
-    found = _summed(ids.select(spot("id").alias("s")).mapInArrow(bits, "part int, counts binary"), np.bitwise_or)
+    found = _summed(map_arrow(ids.select(spot("id").alias("s")), bits, "part int, counts binary"), np.bitwise_or)
     whole = np.zeros((SKETCH_PARTS, part_bits // 8), np.uint8)
     for k, a in found.items():
         whole[k] = a.view(np.uint8)
@@ -277,7 +277,7 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
             s = batch.column(2).to_numpy()
             yield batch.filter(pa.array((shared.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool))).select([0, 1])
 
-    return docs.select("id", "text", spot("id").alias("s")).mapInArrow(keep, "id long, text string")
+    return map_arrow(docs.select("id", "text", spot("id").alias("s")), keep, "id long, text string")
 
 
 def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -288,7 +288,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     asked = members.unionByName(hubs)
     rows = asked.join(docs, F.col("of") == F.col("id")).select("hub", "part", "member", "text")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(lambda b: _compare(b, n, percent), "a long, b long")
+    return map_arrow(rows, lambda b: _compare(b, n, percent), "a long, b long")
 
 
 # --- pairs across components ----------------------------------------------------------------------
@@ -376,7 +376,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = scratch.keep(docs.mapInArrow(lambda b: _scan(b, n), "id long, size long, d1 long, d2 long, part int, counts binary"), "scan")
+    scan = scratch.keep(map_arrow(docs, lambda b: _scan(b, n), "id long, size long, d1 long, d2 long, part int, counts binary"), "scan")
     sets = scan.filter("part IS NULL").select("id", "size", "d1", "d2")
     # The class of each set and the document that stands for it.
     classes = scratch.keep(sets.filter("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
@@ -386,9 +386,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
     sketch = spark.sparkContext.broadcast(np.concatenate([parts.get(k, np.zeros(width, np.uint32)) for k in range(SKETCH_PARTS)]))
 
-    packed = docs.mapInArrow(lambda b: _entries(b, n, percent, n_blocks, sketch.value), "block int, sets binary, sizes binary, at binary, column binary, place binary")
+    packed = map_arrow(docs, lambda b: _entries(b, n, percent, n_blocks, sketch.value), "block int, sets binary, sizes binary, at binary, column binary, place binary")
     packed = packed.repartition(n_blocks, "block").sortWithinPartitions("block")
-    met = packed.mapInArrow(lambda b: _columns(b, percent), "list long, set long, size int, place int")
+    met = map_arrow(packed, lambda b: _columns(b, percent), "list long, set long, size int, place int")
     entries = scratch.keep(met.join(classes.select("d1", "rep"), F.col("set") == F.col("d1")).select("list", "rep", "size", "place"), "entries")
     texts = scratch.keep(_wanted(docs, entries.select(F.col("rep").alias("id"))), "texts")
 
@@ -411,7 +411,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.select("list", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "comp", "size", "place", "rep", (F.col("own") > F.col("other")).cast("int").alias("side"))
     group = ["list", "first", "second"]
-    pairs = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: _across(b, percent), "hub long, member long")
+    pairs = map_arrow(rows.repartition(*group).sortWithinPartitions(*group), lambda b: _across(b, percent), "hub long, member long")
     pairs = scratch.keep(pairs.distinct().join(tried, ["hub", "member"], "left_anti"), "pairs")
     links.append(scratch.keep(compared(texts, pairs, n, percent), "links"))
     found = connected_components(reduce(DataFrame.unionByName, links), scratch) if links[-1].take(1) else near

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import map_arrow, table
 
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 0.6
@@ -156,7 +156,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found = [[s.__dict__ for s in find(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item))], ["_id", "spans"])
 
-    return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).mapInArrow(run, f"_id {kind}, spans array<struct<kind:string,start:int,end:int,score:double>>")
+    return map_arrow(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, spans array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def op10_pii(spark, sf_dir):
@@ -171,4 +171,4 @@ def op10_pii(spark, sf_dir):
                 rows.append([*(sum(s.kind == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(all_spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2, strict=True))], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return spans(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(spans(table(spark, sf_dir, "documents")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

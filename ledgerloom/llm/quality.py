@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BLANK, Scratch, slices, spans_hash, table, text_buffers, windows_hash, word_spans
+from ledgerloom.llm.common import BLANK, Scratch, map_arrow, slices, spans_hash, table, text_buffers, windows_hash, word_spans
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_letters", "n_symbol_words", "n_stop_like", "n_stutters")
@@ -110,7 +110,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
             found = counts(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:along], *(pa.array(found[c]) for c in names)], [*batch.schema.names[:along], *names])
 
-    return docs.select(*(c.alias(n) for n, c, _ in taken)).mapInArrow(run, ", ".join(ddl))
+    return map_arrow(docs.select(*(c.alias(n) for n, c, _ in taken)), run, ", ".join(ddl))
 
 
 def _rule(bad, good):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import slices, table
+from ledgerloom.llm.common import map_arrow, slices, table
 
 MARK = "▁"
 #: Distinct pre-tokens whose counts a task remembers; beyond it memory is given back and counting goes on.
@@ -185,7 +185,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(counts), pa.array(counts > limit)], ["_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).mapInArrow(run, f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op8_token_counts(spark, sf_dir):

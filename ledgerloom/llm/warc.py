@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, table
+from ledgerloom.llm.common import Scratch, map_arrow, table
 
 #: Payloads of fewer bytes are never referred to.
 LEAST_BYTES = 1000
@@ -149,7 +149,7 @@ def _by_file(files: DataFrame, run, ddl: str, n: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
-    return files.select("path").repartition(n).mapInArrow(each, ddl)
+    return map_arrow(files.select("path").repartition(n), each, ddl)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -170,7 +170,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             raw.close()
             yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
-    return pages.select("_id", "_url", "_html", "_digest", "_refers_to").mapInArrow(run, "path string")
+    return map_arrow(pages.select("_id", "_url", "_html", "_digest", "_refers_to"), run, "path string")
 
 
 class _Plain(io.RawIOBase):
