@@ -258,3 +258,17 @@ def ends_of(text: Column, first: int = 20_000, last: int = 5_000, needed: str =
     """The first characters, and the last ones too if the first do not have what is needed."""
     head, tail = F.substring(text, 1, first), F.right(text, F.lit(last))
     return F.when(head.rlike(needed) | (F.length(text) <= first), head).otherwise(F.concat(head, F.lit("\n...\n"), tail))
+
+
+def windows_at(text: Column, header: str = r"(?i)(?=\bdefinitions\b)", size: int = 15_000) -> Column:
+    """Slices of so many characters, each beginning at a header that no slice before it covers."""
+    start = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("end"), F.array().cast("array<int>").alias("starts"), F.lit(True).alias("first"))
+
+    def add(acc: Column, part: Column) -> Column:
+        opens = (~acc["first"] | part.rlike("^" + header)) & (acc["pos"] >= acc["end"])
+        return F.struct(
+            (acc["pos"] + F.length(part)).alias("pos"), F.when(opens, acc["pos"] + size).otherwise(acc["end"]).alias("end"),
+            F.when(opens, F.concat(acc["starts"], F.array(acc["pos"]))).otherwise(acc["starts"]).alias("starts"), F.lit(False).alias("first"),
+        )
+
+    return F.transform(F.aggregate(F.split(text, header), start, add, lambda acc: acc["starts"]), lambda s: F.substring(text, s + 1, F.lit(size)))

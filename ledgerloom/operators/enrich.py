@@ -123,3 +123,15 @@ def word_diff(df: DataFrame, id_col: str, before: str, after: str) -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, before, after).mapInPandas(run, f"{id_col} {kind}, ord int, op string, words string")
+
+
+def embed(df: DataFrame, keys: list[str], text_col: str, provider: Callable[[pd.DataFrame], pd.DataFrame], vec_col: str = "embedding", ddl_keys: str = "") -> DataFrame:
+    """df with unit vectors from a provider (keys, vec_col) where it has none yet; rows that have one are not sent."""
+    from ledgerloom.functions.vectors import norm
+
+    kinds = ddl_keys or ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    asked = df.filter(F.col(vec_col).isNull()).withColumn(text_col, F.trim(F.regexp_replace(text_col, r"\s+", " ")))
+    made = enrich(asked, keys, text_col, provider, f"{kinds}, {vec_col} array<double>")
+    unit = F.when(norm(F.col(vec_col)) > 0, F.transform(vec_col, lambda x: x / norm(F.col(vec_col)))).otherwise(F.col(vec_col))
+    made = made.select(*keys, unit.alias("_made"))
+    return df.join(made, keys, "left").withColumn(vec_col, F.coalesce(vec_col, F.col("_made").cast(df.schema[vec_col].dataType))).drop("_made")

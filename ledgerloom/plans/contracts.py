@@ -105,23 +105,36 @@ def fact_category(spark, sf):
     return rows.select("contract_id", "segment_index", F.explode(facts.categories(F.col("raw_text"))).alias("category"))
 
 
-_FILL = " and everything else in this agreement stays as it is written."
-TRAPS = [
-    (1, "In a pandemic the obligation to deliver is suspended but payment remains absolute" + _FILL),
-    (2, "Vendor shall indemnify the client for its own negligence" + _FILL),
-    (3, "Each party shall indemnify the other, even for own negligence" + _FILL),
-    (4, "The employee waives all moral rights" + _FILL),
-    (5, "Probation may be prolonged and run on without limit" + _FILL),
-    (6, "Waives all moral rights."),
-    (7, "Company may terminate at any time without payment" + _FILL),
-    (8, "Similar technology is prohibited for life" + _FILL),
-    (9, "Similar technology may be used" + _FILL),
-]
-
-
-@query(values([(1, "predatory force majeure", "critical"), (2, "one-sided indemnification", "critical"), (4, "moral rights waiver", "critical"), (5, "indefinite probation trap", "high"), (7, "termination without payment", "high"), (8, "post-hire technology prohibition", "critical")], "id BIGINT, trap_type VARCHAR, severity VARCHAR"))
+_FILL = " and everything else in this agreement stays as it was written on that day."
+
+
+def _trap_texts() -> list[tuple[int, str]]:
+    """For each rule a text that satisfies it, one without its last group, and one with what it excludes."""
+    texts = []
+    for k, (_, _, groups) in enumerate(lexicon.DEFAULT_TRAPS, 1):
+        said = [(g.split("|") if isinstance(g, str) else g)[0] for g in groups]
+        must = [p for p in said if not p.startswith("!")]
+        texts += [(10 * k, "; ".join(must) + _FILL), (10 * k + 1, "; ".join(must[:-1]) + _FILL), (10 * k + 2, "; ".join(p.removeprefix("!") for p in said) + _FILL)]
+    return [*texts, (5, "waive all moral rights"), (6, "Probation may run on and on to an indefinite date" + _FILL), (7, "Probation. The rest. It is kept at an INDEFINITE distance from it and no nearer"), (8, "")]
+
+
+def _trap_sql() -> str:
+    """All rules as SQL over the texts."""
+    rules: dict = {}
+    for no, _, kind, severity, group, phrase, negated, pattern in lexicon.rows_of(lexicon.DEFAULT_TRAPS):
+        quoted = phrase.replace("'", "''")
+        said = f"regexp_matches(t, '{quoted}')" if pattern else f"contains(t, '{quoted}')"
+        rules.setdefault((no, kind, severity), {}).setdefault((group, negated), []).append(said)
+    body = " UNION ALL ".join(
+        f"SELECT id, {no} AS rule_id, '{kind}' AS trap_type, '{severity}' AS severity FROM l WHERE " + " AND ".join(("NOT " if negated else "") + "(" + " OR ".join(said) + ")" for (_, negated), said in groups.items())
+        for (no, kind, severity), groups in rules.items()
+    )
+    return f"WITH l AS (SELECT id, lower(raw_text) AS t FROM ({values(_trap_texts(), 'id BIGINT, raw_text VARCHAR')}) WHERE length(raw_text) >= 50), h AS ({body}) SELECT id, trap_type, severity FROM h"
+
+
+@query(_trap_sql())
 def trap_literals(spark, sf):
-    rows = spark.createDataFrame(TRAPS, "id long, raw_text string")
+    rows = spark.createDataFrame(_trap_texts(), "id long, raw_text string")
     return lexicon.match(rows, "raw_text", lexicon.table(spark, lexicon.DEFAULT_TRAPS)).select("id", "trap_type", "severity")
 
 

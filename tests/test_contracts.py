@@ -115,3 +115,9 @@ def test_upsert_null_keys_and_fan_out(spark):
     hooks = spark.createDataFrame([(1, True, ["x"]), (1, False, ["x"]), (1, True, ["y"])], "user_id long, active boolean, events array<string>")
     assert upsert.fan_out(spark.createDataFrame([(9, 1)], "contract_id long, user_id long"), hooks, "x").count() == 1
     assert upsert.delete_where(now, F.col("k") == 1).count() == 1
+
+
+def test_embedding_fills_gaps_with_unit_vectors(spark):
+    rows = spark.createDataFrame([(1, "a  b", [1.0, 0.0]), (2, "c  d", None)], "id long, t string, embedding array<double>")
+    made = enrich.embed(rows, ["id"], "t", lambda f: f.assign(embedding=[[3.0, 4.0] if t == "c d" else [0.0, 0.0] for t in f["t"]])[["id", "embedding"]])
+    assert {r["id"]: r["embedding"] for r in made.collect()} == {1: [1.0, 0.0], 2: [0.6, 0.8]}

@@ -103,3 +103,10 @@ def test_small_functions(spark):
     assert one(spark, "an act to provide for much more", T.act_title) == "an act to provide for..."
     assert one(spark, "Rule 7 says", lambda t: T.cited_section(F.lit(""), t)) == "Rule 7"
     assert one(spark, "<p>a<script>b</script> &amp; <b>c</b></p>", T.html_text) == "a &amp; c"
+
+
+def test_windows_at_headers(spark):
+    text = "intro Definitions one two DEFINITIONS inside " + "x" * 30 + " definitions last"
+    got = one(spark, text, lambda t: T.windows_at(t, size=30))
+    assert [g[:15] for g in got] == ["Definitions one", "definitions las"] and one(spark, "none", T.windows_at) == []
+    assert one(spark, "definitions first", T.windows_at) == ["definitions first"]
