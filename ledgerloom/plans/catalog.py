@@ -7,7 +7,7 @@ from ledgerloom.plans.registry import ORACLE, QUERIES
 
 
 def flagship(spark, sf_dir):
-    """Risk summary a document: cleaned, cut into clauses, matched with a lexicon, scored, summarised."""
+    """Risk summary a document: normalised, cut into clauses, matched with a lexicon, scored, summarised."""
     return documents.risk_summary(spark, sf_dir)
 
 
