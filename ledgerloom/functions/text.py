@@ -154,7 +154,11 @@ def word_set(text: Column, longer_than: int = 2) -> Column:
 
 def overlap_pct(claim: Column, text: Column, upto: int = 2000) -> Column:
     """Share of the claim's words that the first characters of text have, in rounded percent; 0 if either has no words."""
-    a, b = word_set(claim), word_set(F.substring(text, 1, upto))
+    return overlap_of_sets(word_set(claim), word_set(F.substring(text, 1, upto)))
+
+
+def overlap_of_sets(a: Column, b: Column) -> Column:
+    """The same of two word sets, for where many pairs share a side."""
     share = F.floor(100 * F.size(F.array_intersect(a, b)) / F.size(a) + 0.5)
     return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), share), F.lit(0)).cast("int")
 

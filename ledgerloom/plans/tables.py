@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import money, resolve_jurisdiction
+from ledgerloom.functions.text import money, overlap_of_sets, resolve_jurisdiction, word_set
 from ledgerloom.operators import citations, enrich, retrieval, scoring, summaries
 from ledgerloom.plans.registry import query, values
 from ledgerloom.session import table
@@ -370,11 +370,9 @@ b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replac
 SELECT doc_id, item_id, CAST(CASE WHEN len(a) > 0 AND len(b) > 0 THEN floor(100.0 * len(list_intersect(a, b)) / len(a) + 0.5) ELSE 0 END AS INT) AS overlap FROM w, b""")
 def citation_overlap(spark, sf):
     """Claims (every twentieth document, a stated set) against all reference texts; the reference table is small."""
-    from ledgerloom.functions.text import overlap_pct
-
-    claims = table(spark, sf, "documents").filter("doc_id % 20 = 0").select("doc_id", F.substring("text", 1, 300).alias("claim"))
-    refs = table(spark, sf, "benchmark").withColumnRenamed("text", "content")
-    return claims.join(refs, F.lit(True)).select("doc_id", "item_id", overlap_pct(F.col("claim"), F.col("content")).alias("overlap"))
+    claims = table(spark, sf, "documents").filter("doc_id % 20 = 0").select("doc_id", word_set(F.substring("text", 1, 300)).alias("a"))
+    refs = table(spark, sf, "benchmark").select("item_id", word_set(F.substring("text", 1, 2000)).alias("b"))
+    return claims.join(refs, F.lit(True)).select("doc_id", "item_id", overlap_of_sets(F.col("a"), F.col("b")).alias("overlap"))
 
 
 def _refs(spark, sf):
