@@ -102,24 +102,95 @@ def offline_advice(text: Column) -> Column:
     return first_match(made, F.struct(F.lit("No specific advice.").alias("advice"), F.lit("low").alias("compliance")))
 
 
+def aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places (in x, in y) of a longest common subsequence of two lists of words, in order.
+
+    Equal ends and words that one side lacks are set aside, which keeps it longest. For the rest a row of the table of
+    lengths is one integer: bit j is 0 where word j of y makes the subsequence longer. Every so many rows are kept, the rows
+    between made again on the way back, so memory grows with the square root of x times y."""
+    head, most = 0, min(len(x), len(y))
+    while head < most and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    ends = [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+    both = set(x[head : len(x) - tail]) & set(y[head : len(y) - tail])
+    rows = [i for i in range(head, len(x) - tail) if x[i] in both]
+    cols = [j for j in range(head, len(y) - tail) if y[j] in both]
+    width = len(cols) // 8 + 1
+    at: dict[str, bytearray] = {w: bytearray(width) for w in both}
+    for k, j in enumerate(cols):
+        at[y[j]][k >> 3] |= 1 << (k & 7)
+    places = {w: int.from_bytes(bits, "little") for w, bits in at.items()}
+    full = (1 << len(cols)) - 1
+
+    def below(v: int, i: int) -> int:
+        u = v & places[x[rows[i]]]
+        return ((v + u) | (v - u)) & full
+
+    step = int(len(rows) ** 0.5) + 1
+    v, kept = full, []
+    for i in range(len(rows)):
+        if i % step == 0:
+            kept.append(v)
+        v = below(v, i)
+    found, j = [], len(cols)
+    for block in range(len(kept) - 1, -1, -1):
+        first, last = block * step, min(len(rows), (block + 1) * step)
+        lines, v = [kept[block].to_bytes(width, "little")], kept[block]
+        for i in range(first, last):
+            v = below(v, i)
+            lines.append(v.to_bytes(width, "little"))
+        i = last - first
+        while i and j:
+            byte, bit = (j - 1) >> 3, 1 << ((j - 1) & 7)
+            if lines[i][byte] & bit:
+                j -= 1
+            elif lines[i - 1][byte] & bit:
+                i, j = i - 1, j - 1
+                found.append((rows[first + i], cols[j]))
+            else:
+                i -= 1
+    return [(k, k) for k in range(head)] + found[::-1] + ends
+
+
+def changes(before: str | None, after: str | None) -> Iterator[tuple[str, list[str]]]:
+    """(op, words) of the runs of words kept, removed and added from one text to the next: as few changed words as can be."""
+    x, y = (before or "").split(), (after or "").split()
+    i = j = 0
+    same: list[str] = []
+    for a, b in [*aligned(x, y), (len(x), len(y))]:
+        if a > i or b > j:
+            gap = (("same", same), ("removed", x[i:a]), ("added", y[j:b]))
+            yield from ((op, words) for op, words in gap if words)
+            same = []
+        same += x[a : a + 1]
+        i, j = a + 1, b + 1
+    if same:
+        yield "same", same
+
+
+#: Rows and characters of an output batch of word_diff.
+DIFF_ROWS, DIFF_CHARS = 50_000, 8_000_000
+
+
 def word_diff(df: DataFrame, id_col: str, before: str, after: str) -> DataFrame:
-    """Runs of words that were kept, removed or added between two texts: id, ord, op, words. A map over rows, as no built-in
-    aligns sequences."""
-    import difflib
+    """Runs of words that were kept, removed or added between two whole texts: id, ord, op, words. A map over rows, as no
+    built-in aligns sequences; work grows with the product of the words in which both differ, 30 of them at once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [id_col, "ord", "op", "words"]
         for frame in frames:
-            rows = []
+            rows, chars = [], 0
             for i, a, b in frame.itertuples(index=False):
-                x, y = (a or "").split(), (b or "").split()
-                ops = []
-                for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                    if op == "equal":
-                        ops.append(("same", x[i1:i2]))
-                    else:
-                        ops += [(o, w) for o, w in (("removed", x[i1:i2]), ("added", y[j1:j2])) if w]
-                rows += [(i, k, op, " ".join(w)) for k, (op, w) in enumerate(ops)]
-            yield pd.DataFrame(rows, columns=[id_col, "ord", "op", "words"])
+                for k, (op, words) in enumerate(changes(a, b)):
+                    rows.append((i, k, op, " ".join(words)))
+                    chars += len(rows[-1][3])
+                    if len(rows) >= DIFF_ROWS or chars >= DIFF_CHARS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, chars = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, before, after).mapInPandas(run, f"{id_col} {kind}, ord int, op string, words string")

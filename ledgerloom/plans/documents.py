@@ -245,5 +245,8 @@ def enrich_with_provider(spark, sf):
 
 @query()
 def word_diff(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("before"), F.substring("text", 20, 400).alias("after"))
+    """Every document, whole, against the whole document of the next id; where there is none, all its words are removed."""
+    docs = table(spark, sf, "documents")
+    later = docs.select((F.col("doc_id") - 1).alias("_id"), F.col("text").alias("after"))
+    rows = docs.select("doc_id", F.col("text").alias("before")).join(later, F.col("doc_id") == F.col("_id"), "left")
     return enrich.word_diff(rows, "doc_id", "before", "after")
