@@ -2,12 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.text import CHUNK, cited_section, overlap_pct, word_set
 
 
+#: References that meet the claims at once, and claims whose pairs are counted at once.
+REF_BLOCK, CLAIM_SLICE = 1024, 16
+
+
+def overlaps(claims: DataFrame, refs: DataFrame, claim_id: str, claim_text: str, ref_id: str, ref_text: str, upto: int = 2000) -> DataFrame:
+    """Overlap of every claim, whole, with every reference's first characters: claim_id, ref_id, overlap, as overlap_pct.
+
+    References are the small side: they come to the driver and meet the claims in blocks, as lists of the references of a
+    word, so that a pair costs its common words only."""
+    known = refs.select(ref_id, word_set(F.substring(ref_text, 1, upto)).alias("_b")).collect()
+    words = claims.select(claim_id, word_set(F.col(claim_text)).alias("_a"))
+    kinds = f"{claim_id} {claims.schema[claim_id].dataType.simpleString()}, {ref_id} {refs.schema[ref_id].dataType.simpleString()}, overlap int"
+    made = claims.sparkSession.createDataFrame([], kinds)
+    for k in range(0, len(known), REF_BLOCK):
+        part = words.mapInArrow(_counted(known[k : k + REF_BLOCK], to_arrow_type(refs.schema[ref_id].dataType), [claim_id, ref_id, "overlap"]), kinds)
+        made = part if k == 0 else made.unionByName(part)
+    return made
+
+
+def _counted(known: list, kind: pa.DataType, names: list[str]):
+    """A map from batches of (id, words) to their pairs with the references (id, words) in known."""
+    ids, size = [r[0] for r in known], len(known)
+    of: dict[str, list[int]] = {}
+    for k, r in enumerate(known):
+        for w in r[1] or ():
+            of.setdefault(w, []).append(k)
+    lens = np.array([len(v) for v in of.values()], np.int64)
+    starts, items = np.cumsum(lens) - lens, np.array([k for v in of.values() for k in v], np.int64)
+    vocabulary = list(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            for at in range(0, len(batch), CLAIM_SLICE):
+                part = batch.slice(at, CLAIM_SLICE)
+                column, n = part.column(1), len(part)
+                total = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = pc.fill_null(pc.index_in(pc.cast(column.flatten(), pa.string()), keys), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(n), total)
+                row, code = row[code >= 0], code[code >= 0]
+                each = lens[code]
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[code], each)
+                common = np.bincount(np.repeat(row, each) * size + items[place], minlength=n * size).reshape(n, size)
+                share = np.floor(100 * common / np.maximum(total, 1)[:, None] + 0.5).astype(np.int32)
+                left = part.column(0).take(pa.array(np.repeat(np.arange(n), size)))
+                yield pa.RecordBatch.from_arrays([left, pa.array(ids * n, kind), pa.array(share.ravel())], names)
+
+    return run
+
+
 def plain_act(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[,.\s]+", " "))
 

@@ -375,6 +375,14 @@ def citation_overlap(spark, sf):
     return claims.join(refs, F.lit(True)).select("doc_id", "item_id", overlap_of_sets(F.col("a"), F.col("b")).alias("overlap"))
 
 
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS a FROM documents),
+b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substring(text, 1, 2000)), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS b FROM benchmark)
+SELECT doc_id, item_id, CAST(CASE WHEN len(a) > 0 AND len(b) > 0 THEN floor(100.0 * len(list_intersect(a, b)) / len(a) + 0.5) ELSE 0 END AS INT) AS overlap FROM w, b""")
+def citation_overlap_all(spark, sf):
+    """Claims, whole (every document), against all reference texts; citation_overlap has a part of this only."""
+    return citations.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def _refs(spark, sf):
     status = F.when(F.col("l_returnflag") == "R", "misquoted").when(F.col("l_returnflag") == "A", "not_found").when(F.col("l_linestatus") == "O", "verified").otherwise("not_applicable")
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("contract_id"), F.col("l_orderkey").alias("segment_index"), status.alias("status"))
