@@ -68,9 +68,9 @@ def siblings(clauses: DataFrame, group: str, c_id: str, vec: str, k: int = 3) ->
     return _top(pairs, "query_id", "sibling_id", k).filter("query_id <> sibling_id")
 
 
-def zone_route(queries: DataFrame, traps: DataFrame, q_id: str, q_vec: str, t_id: str, t_vec: str, hi: float = 0.88, lo: float = 0.75) -> DataFrame:
-    """The nearest trap of each query and what follows: hit, ask (a model) or none."""
-    best = scores(queries, traps, q_vec, t_vec).groupBy(q_id).agg(F.max(F.struct("score", (-F.col(t_id)).alias("t"))).alias("b"))
+def zone_route(queries: DataFrame, traps: DataFrame, q_id: str, q_vec: str, t_id: str, t_vec: str, hi: float = 0.88, lo: float = 0.75, on: Column | None = None) -> DataFrame:
+    """The nearest trap of each query, of those that on allows, and what follows: hit, ask (a model) or none."""
+    best = scores(queries, traps, q_vec, t_vec, on).groupBy(q_id).agg(F.max(F.struct("score", (-F.col(t_id)).alias("t"))).alias("b"))
     return best.select(q_id, (-F.col("b.t")).alias(t_id), F.col("b.score").alias("score"), F.when(F.col("b.score") >= hi, "hit").when(F.col("b.score") >= lo, "ask").otherwise("none").alias("zone"))
 
 

@@ -334,6 +334,13 @@ def argmax_zone(spark, sf):
     return retrieval.zone_route(q, c.filter("c_id % 17 = 1"), "q_id", "qv", "c_id", "cv", 0.5, 0.3).select("q_id", "c_id", "zone")
 
 
+@query(_PAIRS + "SELECT q_id, arg_max(c_id, (score, -c_id)) AS c_id, CASE WHEN max(score) >= 0.5 THEN 'hit' WHEN max(score) >= 0.3 THEN 'ask' ELSE 'none' END AS zone FROM s WHERE c_id <> q_id GROUP BY 1")
+def argmax_zone_all(spark, sf):
+    """The nearest of all vectors but the query itself; argmax_zone searches one class of ids only."""
+    q, c = _vectors(spark, sf)
+    return retrieval.zone_route(q, c, "q_id", "qv", "c_id", "cv", 0.5, 0.3, F.col("c_id") != F.col("q_id")).select("q_id", "c_id", "zone")
+
+
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id % 100 AS g FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS sibling_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.g = b.g QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) <= 3)
 SELECT query_id, sibling_id, round(score, 6) AS score FROM s WHERE query_id <> sibling_id""")
