@@ -1,7 +1,7 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
 Base kinds (email, ip, card, phone) are confirmed by their own rule alone and always stay. Added kinds are proposed by a
-pattern, confirmed by a checksum where one exists (iban: mod 97; card13: Luhn over 13 digits), and kept when their score
+pattern, confirmed by a checksum where one exists (iban: mod 97 over its country's length; card13: Luhn over 13 digits), and kept when their score
 reaches THRESHOLD: a kind's base score, plus CONTEXT_GAIN when one of its context words stands within CONTEXT_CHARS
 characters before it. An added span that overlaps a base span, or an added span found earlier, is dropped.
 """
@@ -46,6 +46,19 @@ ADDED = {
 }
 
 
+#: Characters of an IBAN by country, of the registry and of the countries that use the form without being in it. Fixed values.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE IM JE GG ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+        26: "IR IS TR DZ", 27: "BI CF CG CM DJ FR GA GF GP GQ GR IT KM MC MG MQ MR NC PF PM RE SM TD TF WF YT", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+        29: "BR EG PS QA UA YE", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -110,8 +123,41 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
                 yield found.span()
 
 
+def iban_end(proposed: str) -> int:
+    """Where the number ends in what the pattern took, which may run on over words in capitals or digits; 0 if none does.
+
+    The country says how long it is; for a country not listed, ends of words are tried from the last one back."""
+    length = IBAN_LENGTHS.get(proposed[:2])
+    ends = [k for k in range(len(proposed), 14, -1) if k == len(proposed) or proposed[k] == " "]
+    for k in ends:
+        size = k - proposed.count(" ", 0, k)
+        if size >= 15 and size == (length or size) and mod97(proposed[:k]):
+            return k
+    return 0
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The search goes on where a number ends, or behind the first character of what holds none."""
+    pattern, at = ADDED["iban"][0], 0
+    while found := pattern.search(text, at):
+        end = iban_end(found.group())
+        if end:
+            yield found.start(), found.start() + end
+        at = found.start() + (end or 1)
+
+
 _BASE_FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones}
-_CONFIRM = {"iban": mod97, "card13": luhn}
+_CONFIRM = {"card13": luhn}
+
+
+def added(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Spans of an added kind that its checksum, if it has one, confirms."""
+    if kind == "iban":
+        yield from ibans(text)
+        return
+    for found in ADDED[kind][0].finditer(text):
+        if kind not in _CONFIRM or _CONFIRM[kind](found.group()):
+            yield found.span()
 
 
 def find(text: str | None) -> list[Span]:
@@ -125,15 +171,13 @@ def find(text: str | None) -> list[Span]:
             spans += [Span(kind, a, b, 1.0) for a, b in _BASE_FINDERS[kind](text)]
     taken = sorted((s.start, s.end) for s in spans)
     if digit:
-        for kind, (pattern, score, words) in ADDED.items():
-            for found in pattern.finditer(text):
-                if kind in _CONFIRM and not _CONFIRM[kind](found.group()):
-                    continue
-                before = text[max(0, found.start() - CONTEXT_CHARS) : found.start()].lower()
+        for kind, (_, score, words) in ADDED.items():
+            for start, end in added(kind, text):
+                before = text[max(0, start - CONTEXT_CHARS) : start].lower()
                 total = score + CONTEXT_GAIN * any(w in before for w in words)
-                if total >= THRESHOLD and all(b <= found.start() or a >= found.end() for a, b in taken):
-                    spans.append(Span(kind, *found.span(), min(total, 1.0)))
-                    taken.append(found.span())
+                if total >= THRESHOLD and all(b <= start or a >= end for a, b in taken):
+                    spans.append(Span(kind, start, end, min(total, 1.0)))
+                    taken.append((start, end))
     kinds = [*BASE, *ADDED]
     return sorted(spans, key=lambda s: (s.start, kinds.index(s.kind)))
 
