@@ -30,9 +30,12 @@ _UNSET: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share, with its scheme.
 
-    Only where it is unset, as in tests, one of this machine, the same for the whole application."""
+    Where it is unset a folder of this machine, the same for the whole application, if driver and executors are one
+    process, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _UNSET[app] = _UNSET.get(app) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
@@ -40,6 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
+#: Short rows (ids, links, labels) that one file of a scratch table holds, about, where their number is known.
+FILE_ROWS = 200_000
+
+
 class Scratch:
     """Tables below the shared folder that cut lineage; keep() writes and rereads, drop() deletes one early."""
 
@@ -50,7 +57,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df written and reread; rows says how many short rows it has at most, so that few rows make few tasks."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.parquet(path := self.path(name))
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
@@ -76,7 +86,9 @@ BATCH_BYTES = "4m"
 
 
 def map_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
-    """df.mapInArrow(run, ddl) in batches of BATCH_BYTES, unless the session has set a size of its own."""
+    """df.mapInArrow(run, ddl) in batches of BATCH_BYTES, unless the session has set a size of its own.
+
+    Spark reads the size when it plans the map, which is when the result is run, so it is the session's from here on."""
     conf = df.sparkSession.conf
     if conf.get(_BATCH_BYTES, None) in (None, "64m", "64MB", "67108864", "67108864b"):
         conf.set(_BATCH_BYTES, BATCH_BYTES)
@@ -170,6 +182,56 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK)
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def pieces(raw: np.ndarray, step: int, cut: np.ndarray = BLANK) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches of about step bytes of one text that begin after a byte of cut; a stretch without such a byte goes on to the next one."""
+    at, n = 0, len(raw)
+    while at < n:
+        to = min(at + step, n)
+        if to < n:
+            back = np.flatnonzero(cut[raw[at:to]])
+            if len(back):
+                to = at + int(back[-1]) + 1
+            else:
+                while to < n:
+                    ahead = np.flatnonzero(cut[raw[to : to + step]])
+                    if len(ahead):
+                        to += int(ahead[0]) + 1
+                        break
+                    to = min(to + step, n)
+        yield at, to
+        at = to
+
+
+def span_hash(raw: np.ndarray, step: int) -> np.ndarray:
+    """What spans_hash gives of one span that is all of raw, summed in steps, so that its length does not matter."""
+    up = powers(step)[0]
+    total, scale = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(raw), step):
+            part = raw[a : a + step]
+            total += (_TABLE[part] * up[: len(part)]).sum(dtype=np.uint64) * scale
+            scale *= up[step]
+        return mix(np.array([total + np.uint64(len(raw))], np.uint64))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words of each row); bytes go through fold first. A single text of any length is done in steps."""
+    if len(offsets) == 2 and len(raw) > 2 * STEP_BYTES:
+        found = []
+        for a, b in pieces(raw, STEP_BYTES):
+            part = raw[a:b] if fold is None else fold[raw[a:b]]
+            if b - a > 2 * STEP_BYTES:  # one word, with the blank after it or without
+                found.append(span_hash(part[: b - a - int(BLANK[part[-1]])], STEP_BYTES))
+            else:
+                starts, ends, _ = word_spans(part, np.array([0, b - a]))
+                found.append(spans_hash(part, starts, ends))
+        every = np.concatenate(found)
+        return every, np.array([len(every)])
+    raw = raw if fold is None else fold[raw]
+    starts, ends, rows = word_spans(raw, offsets)
+    return spans_hash(raw, starts, ends), np.bincount(rows, minlength=len(offsets) - 1)
+
+
 def windows_hash(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive entries; the caller drops windows that cross rows."""
     n = len(words) - k + 1

@@ -8,17 +8,21 @@ leave little of it to be formed:
 - Equal rows are one row: documents of one set are a class, known by a digest of the set.
 - Only sets with percent * larger <= 100 * smaller can link, and only if they overlap in enough n-grams.
 - With the n-grams of each row in one order, rare ones first, two rows that reach the bound share an n-gram among their
-  first n - ceil(percent * n / 100) + 1, so only these entries enter the product. Rare is judged by a sketch of fixed
-  size that counts the n-grams of all documents; any order gives right results, a good one gives short columns.
+  first n - ceil(percent * n / 100) + 1, so only these entries say which rows must be multiplied. Rare is judged by a
+  sketch of fixed size that counts the n-grams of all documents; any order gives right results, a good one short columns.
 - From where a shared n-gram stands in both rows follows how much the rows can still share at most; pairs below the
   bound are discarded.
 
-The entries are dealt into column blocks by hash. A block sorts its entries and drops columns with one row. Then groups
-of near copies are taken together without forming their pairs: in every column the rows are set against the first row
-of another component, overlaps are added up over all columns, each component is compared in full where its overlap is
-largest, and components are formed anew; this is repeated while it joins components (at first each row is one). Only
-then are the pairs of each column formed, across components, a block of a column against a block of it where columns
-are long, and compared in full, and components are formed for good.
+1. These entries are dealt into column blocks by hash. A block sorts its entries, drops columns with one row, and sets each
+   row against the head of its column, the smallest row that it could link with.
+2. Rows that could link with anything are written as pieces of their full incidence, cut by columns.
+3. Row blocks are multiplied: a head and up to STAR_ROWS of the rows set against it most often meet in one task, piece by
+   piece of the columns, and the overlaps of all their pairs are added up over the pieces. What reaches the bound in the
+   end is a link. A block gives a spanning forest of its links, so a group of near copies costs a row each, not its pairs.
+4. Components are formed, and rows are set against heads of other components, as long as that joins many.
+5. Only then are the pairs of each column formed, across components and within a band of sizes, a block of a column
+   against a block of it where columns are long; they go through the product like the rest, and components are formed
+   for good.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, Scratch, map_arrow, mix, slices, spans_hash, table, text_buffers, windows_hash, word_spans
+from ledgerloom.llm.common import LOWER, Scratch, map_arrow, mix, slices, table, text_buffers, windows_hash, word_hashes
 from ledgerloom.llm.components import connected_components
 
 N = 5
@@ -41,36 +45,45 @@ PERCENT = 80
 SKETCH_BITS = 21
 SKETCH_PARTS = 16
 #: Entries of a column block, about, and entries a task holds before it writes them.
-BLOCK_ENTRIES = 1_000_000
+BLOCK_ENTRIES = 250_000
 HELD_ENTRIES = 1_000_000
-#: Rows of one side of a pair of blocks of a column, and members compared with one row in a task.
+#: Rows of one side of a pair of blocks of a column.
 COLUMN_ROWS = 256
+#: Rows of a row block beside its head, and n-grams they have together, about.
 STAR_ROWS = 128
+STAR_GRAMS = 200_000
+#: N-grams of a piece of a row, about, and columns that one step of the product holds as a dense matrix.
+PIECE_BITS = 16
+DENSE_COLUMNS = 4096
+#: Pairs of a column that are looked at in one step.
+PAIRS_HELD = 500_000
 #: Neighbours in size order that an entry of a column is tried against.
 NEAR = 8
-#: Rounds of joining components at most, and the share of compared pairs that must link for one more.
-ROUNDS = 6
-WORTH = 0.05
-#: Bits of the filter that keeps texts nobody asks for from being shuffled; fixed as well.
+#: Rounds of joining components at most, and the share of multiplied pairs that must link for one more.
+ROUNDS = 3
+WORTH = 0.3
+#: Bits of the filter that keeps rows nobody asks for from being written; fixed as well.
 FILTER_BITS = 24
 
 
 # --- sets -----------------------------------------------------------------------------------------
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of x, which is sorted in place."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def ngram_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text, A-Z in lower case; a text of fewer words is one gram of all of them."""
-    raw, offsets = text_buffers(column)
-    raw = LOWER[raw]
-    starts, ends, rows = word_spans(raw, offsets)
-    words = spans_hash(raw, starts, ends)
-    count = np.bincount(rows, minlength=len(column))
+    words, count = word_hashes(*text_buffers(column), LOWER)
     first = np.cumsum(count) - count
     grams = windows_hash(words, n)
     out = []
     for a, c in zip(first.tolist(), count.tolist(), strict=True):
         if c >= n:
-            out.append(np.unique(grams[a : a + c - n + 1]))
+            out.append(distinct(grams[a : a + c - n + 1]))
         elif c:
             out.append(mix(windows_hash(words[a : a + c], c) + np.uint64(c)))
         else:
@@ -79,13 +92,21 @@ def ngram_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
 
 
 def prefix_length(size, percent: int = PERCENT):
-    """Entries of a row of this size that enter the product."""
+    """Entries of a row of this size that enter the search."""
     return size - -(-percent * size // 100) + 1
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+def rare_first(grams: np.ndarray, k: int, sketch: np.ndarray) -> np.ndarray:
+    """The first k of a sorted set in the order of (count in the sketch, value)."""
+    shift = np.uint64(64 - SKETCH_BITS)
+    counts = np.concatenate([sketch[(grams[a : a + 65536] >> shift).astype(np.int64)] for a in range(0, len(grams), 65536)])
+    if k < len(grams):
+        last = np.partition(counts, k - 1)[k - 1]
+        chosen = counts < last
+        ties = np.flatnonzero(counts == last)
+        chosen[ties[: k - int(chosen.sum())]] = True
+        grams, counts = grams[chosen], counts[chosen]
+    return grams[np.argsort(counts, kind="stable")]
 
 
 # --- first scan: sizes, digests, sketch -----------------------------------------------------------
@@ -98,9 +119,10 @@ def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     shift = np.uint64(64 - SKETCH_BITS)
     for batch in slices(batches, "text"):
         sets = ngram_sets(batch.column(1), n)
-        every = np.concatenate(sets)
-        sketch += np.bincount((every >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+        every = np.concatenate(sets) if len(sets) > 1 else sets[0]
+        for a in range(0, len(every), 1 << 20):
+            sketch += np.bincount((every[a : a + (1 << 20)] >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(s.data, digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
         size = pa.array([len(s) for s in sets], pa.int64())
         nulls = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(digests[:, 0]), pa.array(digests[:, 1]), *nulls], names)
@@ -122,7 +144,8 @@ def _summed(parts: DataFrame, add) -> dict[int, np.ndarray]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())], ["part", "counts"])
 
-    done = map_arrow(parts.select("part", "counts").repartition(SKETCH_PARTS, "part"), run, "part int, counts binary")
+    near = map_arrow(parts.select("part", "counts"), run, "part int, counts binary")
+    done = map_arrow(near.repartition(SKETCH_PARTS, "part"), run, "part int, counts binary")
     return {r["part"]: np.frombuffer(r["counts"], np.uint32) for r in done.collect()}
 
 
@@ -132,7 +155,6 @@ def _summed(parts: DataFrame, add) -> dict[int, np.ndarray]:
 def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, n_blocks: int, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(id, text) to packed entries, a row a block: sets and their sizes, and for each entry its set, column and place."""
     names = ["block", "sets", "sizes", "at", "column", "place"]
-    shift = np.uint64(64 - SKETCH_BITS)
     seen: set[bytes] = set()
     keys, sizes, grams = [], [], []
     held = 0
@@ -159,11 +181,11 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, n_blocks:
         for s in ngram_sets(batch.column(1), n):
             if not len(s):
                 continue
-            key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]
+            key = hashlib.blake2b(s.data, digest_size=16).digest()[:8]
             if key in seen:
                 continue
             seen.add(key)
-            first = s[np.argsort(sketch[(s >> shift).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]]
+            first = rare_first(s, prefix_length(len(s), percent), sketch)
             keys.append(key)
             sizes.append(len(s))
             grams.append(first)
@@ -174,8 +196,9 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, n_blocks:
         yield flush()
 
 
-def admissible(columns: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
-    """Which entries, sorted by column, have another in their column with which the bounds leave a link possible.
+def admissible(columns: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which entries, sorted by column, have another in their column with which the bounds leave a link possible; the
+    smallest entry that fits in size with each, or the next in size of those that are the smallest themselves).
 
     In size order an entry's partners stand near it: each is tried against the NEAR next ones. Entries of columns with more
     rows are kept if they fit with the smallest row that could be their partner, where the bound is lowest.
@@ -190,18 +213,20 @@ def admissible(columns: np.ndarray, sizes: np.ndarray, places: np.ndarray, perce
         ok[d:] |= fits
     starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
     lengths = np.diff(np.append(starts, len(c)))
+    key = np.repeat(np.arange(len(starts)), lengths) << 40
+    least = np.minimum(np.searchsorted(key + size, key + -(-percent * size // 100)), len(c) - 1)
     long = np.repeat(lengths > NEAR + 1, lengths)
-    if long.any():
-        key = np.repeat(np.arange(len(starts)), lengths) << 40
-        least = np.minimum(np.searchsorted(key + size, key + -(-percent * size // 100)), len(c) - 1)
-        ok |= long & (room >= -(-percent * (size + size[least]) // (100 + percent)))
-    keep = np.zeros(len(c), bool)
-    keep[order] = ok
-    return keep
+    ok |= long & (room >= -(-percent * (size + size[least]) // (100 + percent)))
+    here = np.arange(len(c))
+    after = np.minimum(here + 1, len(c) - 1)
+    heads = np.where(least == here, np.where((c[after] == c) & (percent * size[after] <= 100 * size), after, here), least)
+    keep, head = np.zeros(len(c), bool), np.zeros(len(c), np.int64)
+    keep[order], head[order] = ok, order[heads]
+    return keep, head
 
 
 def _columns(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of packed entries, sorted by block, to those entries (list, set, size, place) that can still link."""
+    """Blocks of packed entries, sorted by block, to those entries (list, set, size, place, head) that can still link."""
 
     def done(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         sets, sizes, columns, places = [], [], [], []
@@ -217,10 +242,10 @@ def _columns(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         new = np.ones(len(sets), bool)
         new[1:] = (sets[1:] != sets[:-1]) | (columns[1:] != columns[:-1])
         sets, sizes, columns, places = sets[new], sizes[new], columns[new], places[new]
-        keep = admissible(columns.astype(np.int64), sizes.astype(np.int64), places.astype(np.int64), percent)
+        keep, head = admissible(columns.astype(np.int64), sizes.astype(np.int64), places.astype(np.int64), percent)
         if keep.any():
             list_ = columns[keep].astype(np.int64) | np.int64(block) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(list_), pa.array(sets[keep]), pa.array(sizes[keep].astype(np.int32)), pa.array(places[keep].astype(np.int32))], ["list", "set", "size", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(list_), pa.array(sets[keep]), pa.array(sizes[keep].astype(np.int32)), pa.array(places[keep].astype(np.int32)), pa.array(sets[head[keep]])], ["list", "set", "size", "place", "head"])
 
     held: list[dict] = []
     for batch in batches:
@@ -233,22 +258,111 @@ def _columns(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield from done(held[0]["block"], held)
 
 
-# --- full comparison ------------------------------------------------------------------------------
+# --- the product ----------------------------------------------------------------------------------
 
 
-def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Texts sorted by (hub, part, member), where the hub's own row has no member, to the links (a, b)."""
-    hub, own = None, np.zeros(0, np.uint64)
+def _pieces(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to pieces of their rows: (id, size, start, grams), cut by leading bits of the n-grams.
+
+    start is where a piece begins, as a share of all columns in 2 ** -30; longer rows are cut finer, always in halves."""
     for batch in slices(batches, "text"):
-        sets = ngram_sets(batch.column(batch.schema.get_field_index("text")), n)
-        a, b = [], []
-        for h, m, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
-            if m is None:
-                hub, own = h, s
-            elif h == hub and linked(own, s, percent):
-                a.append(h)
-                b.append(m)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        ids, size, start, grams = [], [], [], []
+        for id_, s in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1), n), strict=True):
+            bits = max(0, len(s).bit_length() - PIECE_BITS)
+            cuts = np.searchsorted(s, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
+            for k, part in enumerate(np.split(s, cuts)):
+                if len(part):
+                    ids.append(id_)
+                    size.append(len(s))
+                    start.append(k << 30 - bits)
+                    grams.append(part.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(start, pa.int64()), pa.array(grams, pa.binary())], ["id", "size", "start", "grams"])
+
+
+def overlaps(rows: list[np.ndarray], of: np.ndarray, counts: np.ndarray) -> None:
+    """Add to counts what every two rows share in these pieces; of says whose piece each is."""
+    every = np.concatenate(rows)
+    if len(rows) == 2 and of[0] != of[1]:
+        every.sort()
+        counts[of[0], of[1]] += (both := int((every[1:] == every[:-1]).sum()))
+        counts[of[1], of[0]] += both
+        return
+    owner = np.repeat(of, [len(r) for r in rows])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    starts = np.flatnonzero(new)
+    shared = np.repeat(np.diff(np.append(starts, len(every))) > 1, np.diff(np.append(starts, len(every))))
+    column, owner = (np.cumsum(new & shared) - 1)[shared], owner[shared]
+    last = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, last, DENSE_COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + DENSE_COLUMNS])
+        dense = np.zeros((len(counts), min(DENSE_COLUMNS, last - a)), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - a] = 1
+        counts += (dense @ dense.T).astype(np.int64)
+
+
+def forest(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least id of a component, other id) that join what the overlaps of a row block link."""
+    linked = (counts > 0) & (100 * counts >= percent * (sizes[:, None] + sizes - counts))
+    least = ids.copy()
+    while True:
+        new = np.minimum(least, np.where(linked, least, np.iinfo(np.int64).max).min(1))
+        if (new == least).all():
+            return least[least != ids], ids[least != ids]
+        least = new
+
+
+def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pieces (hub, part, step, of, size, start, grams) sorted by (hub, part, step, of, start) to the links (a, b) of each row block.
+
+    A piece that comes twice, as its document's id does, counts once."""
+    group, step, last = None, None, None
+    at: dict[int, int] = {}
+    sizes: list[int] = []
+    counts = np.zeros((0, 0), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def add() -> None:
+        nonlocal counts
+        if len(sizes) > len(counts):
+            counts = np.pad(counts, (0, len(sizes) - len(counts)))
+        if len(held) > 1:
+            overlaps([g for _, g in held], np.array([k for k, _ in held]), counts)
+        held.clear()
+
+    def done() -> tuple[np.ndarray, np.ndarray]:
+        add()
+        np.fill_diagonal(counts, 0)
+        return forest(np.array(list(at)), np.array(sizes), counts, percent)
+
+    for batch in batches:
+        found = []
+        columns = [batch.column(k).to_pylist() for k in range(7)]
+        for hub, part, step_, of, size, start, grams in zip(*columns, strict=True):
+            if last == (hub, part, of, start):
+                continue
+            last = (hub, part, of, start)
+            if group != (hub, part):
+                if len(at) > 1:
+                    found.append(done())
+                group, step, at, sizes, counts = (hub, part), step_, {}, [], np.zeros((0, 0), np.int64)
+                held.clear()
+            elif step != step_:
+                add()
+                step = step_
+            if of not in at:
+                at[of] = len(sizes)
+                sizes.append(size)
+            held.append((at[of], np.frombuffer(grams, np.uint64)))
+        yield _links(found)
+    if len(at) > 1:
+        yield _links([done()])
+
+
+def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -280,79 +394,82 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_arrow(docs.select("id", "text", spot("id").alias("s")), keep, "id long, text string")
 
 
-def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (hub, member) of docs (id, text) that link, as (a, b)."""
-    load = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("parts"))
-    members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member", F.col("member").alias("of"))
-    hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"), F.col("hub").alias("of"))
-    asked = members.unionByName(hubs)
-    texts = _wanted(docs, asked.select(F.col("of").alias("id")))
-    rows = asked.join(texts, F.col("of") == F.col("id")).select("hub", "part", "member", "text")
-    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
-    return map_arrow(rows, lambda b: _compare(b, n, percent), "a long, b long")
+def multiplied(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the row blocks that pairs (hub, member, hub_size) of rows (id, size, start, grams) make up.
+
+    A head with many members is dealt over several blocks, each with a copy of the head's row. A step is a range of columns
+    that no piece of the block's rows crosses: sizes that can link differ little, and the finest cut of a head's size is taken
+    coarser by one for that."""
+    load = pairs.groupBy("hub").agg(F.max("hub_size").alias("hub_size"), F.count(F.lit(1)).alias("n"))
+    load = load.select("hub", "hub_size", F.ceil(F.greatest(F.col("n") / STAR_ROWS, F.col("n") * F.col("hub_size") / STAR_GRAMS)).cast("int").alias("parts"))
+    members = pairs.drop("hub_size").join(load, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.col("member").alias("of"), "hub_size")
+    hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("of"), "hub_size")
+    bits = F.greatest(F.lit(0), F.length(F.bin(F.floor(F.col("hub_size") * percent / 100))) - PIECE_BITS)
+    step = F.floor(F.col("start") / F.pow(F.lit(2.0), 30 - bits))
+    asked = members.unionByName(hubs).join(rows, F.col("of") == F.col("id")).select("hub", "part", step.alias("step"), "of", "size", "start", "grams")
+    dealt = asked.repartition("hub", "part").sortWithinPartitions("hub", "part", "step", "of", "start")
+    return map_arrow(dealt, lambda b: _product(b, percent), "a long, b long")
 
 
 # --- pairs across components ----------------------------------------------------------------------
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (list, first, second) to the pairs (hub, member) across components that the bounds leave."""
-
-    def done(x: np.ndarray) -> Iterator[np.ndarray]:
-        comp, size, place, id_, side = x
-        if comp.min() == comp.max():
-            return
-        order = np.argsort(size, kind="stable")
-        comp, size, place, id_, side = (v[order] for v in (comp, size, place, id_, side))
-        two = side.any()
-        upto = np.searchsorted(size, size * 100 // percent, side="right")
-        for start in range(0, len(size), COLUMN_ROWS):
-            i = np.arange(start, min(start + COLUMN_ROWS, len(size)))
-            reach = upto[i] - i - 1
-            a = np.repeat(i, reach)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
-            least = -(-percent * (size[a] + size[b]) // (100 + percent))
-            ok = (comp[a] != comp[b]) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= least)
-            if two:
-                ok &= side[a] != side[b]
-            if ok.any():
-                yield np.stack([np.minimum(id_[a[ok]], id_[b[ok]]), np.maximum(id_[a[ok]], id_[b[ok]])], 1)
-
-    def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["hub", "member"])
-
-    found, n_found = [], 0
-    left = None
+    """Entries sorted by (list, band, first, second) to the pairs (hub, member, hub_size) across components that the bounds leave.
+
+    own is 1 for entries of the band itself; pairs of others meet under their own band."""
+
+    def done(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups, all at once: in order of (group, size) the partners of a row are those next to it."""
+        group = np.cumsum(np.concatenate([[0], (x[:4, 1:] != x[:4, :-1]).any(0)])) << 40
+        order = np.argsort(group + x[5], kind="stable")
+        group, (first, second, comp, size, place, id_, side, own) = group[order], x[2:, order]
+        reach = np.searchsorted(group + size, group + size * 100 // percent, side="right") - np.arange(len(size)) - 1
+        total, start = np.cumsum(reach), 0
+        while start < len(size):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_HELD)))
+            n = reach[start:end]
+            a = np.repeat(np.arange(start, end), n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            start = end
+            # Rows dealt to two blocks of a column meet across these only.
+            ok = (comp[a] != comp[b]) & (own[a] | own[b] > 0) & ((side[a] != side[b]) | (first[a] == second[a]))
+            a, b = a[ok], b[ok]
+            ok = np.minimum(size[a] - place[a], size[b] - place[b]) >= -(-percent * (size[a] + size[b]) // (100 + percent))
+            a, b = a[ok], b[ok]
+            a, b = np.where(id_[a] < id_[b], a, b), np.where(id_[a] < id_[b], b, a)
+            pairs = np.unique(np.stack([id_[a], id_[b], size[a]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], ["hub", "member", "hub_size"])
+
+    left = np.zeros((10, 0), np.int64)
     for batch in batches:
-        got = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(8)])
-        if left is not None:
-            got = np.concatenate([left, got], 1)
-        cuts = np.flatnonzero((got[:3, 1:] != got[:3, :-1]).any(0)) + 1
-        groups = np.split(got, cuts, axis=1)
-        left = groups.pop()
-        for g in groups:
-            for pairs in done(g[3:]):
-                found.append(pairs)
-                n_found += len(pairs)
-                if n_found > 500_000:
-                    yield out(found)
-                    found, n_found = [], 0
-    if left is not None:
-        found += done(left[3:])
-    if found:
-        yield out(found)
-
-
-def _labelled(entries: DataFrame, near: DataFrame | None) -> DataFrame:
-    """entries with comp, the component of the row so far."""
-    if near is None:
-        return entries.withColumn("comp", F.col("rep"))
-    return entries.join(near, F.col("rep") == F.col("node"), "left").select("list", "rep", "size", "place", F.coalesce("component", "rep").alias("comp"))
-
-
-def _best(labelled: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
-    """A pair (hub, member) for each component: where it shares most columns with a first row of another component.
+        got = np.concatenate([left, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(10)])], 1)
+        cuts = np.flatnonzero((got[:4, 1:] != got[:4, :-1]).any(0))
+        whole = int(cuts[-1]) + 1 if len(cuts) else 0
+        left = got[:, whole:]
+        if whole:
+            yield from done(got[:, :whole])
+    if left.shape[1]:
+        yield from done(left)
+
+
+def across(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member, hub_size) of different components that share a column and that the bounds leave.
+
+    Sizes fall into bands wider than what can link, so a row meets those of its band and of the next one only."""
+    band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent + 0.01)).cast("int")
+    rows = labelled.withColumn("band", band).withColumn("own", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("band", F.col("band") - 1 + F.col("own"))
+    key = ["list", "band"]
+    mixed = rows.groupBy(*key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("own").alias("_own"), F.ceil(F.count(F.lit(1)) / COLUMN_ROWS).cast("int").alias("n")).filter("_lo < _hi AND _own = 1")
+    rows = rows.join(mixed.select(*key, "n"), key)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select(*key, F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), "comp", "size", "place", "rep", (F.col("mine") > F.col("other")).cast("int").alias("side"), "own")
+    group = [*key, "first", "second"]
+    return map_arrow(rows.repartition(*group).sortWithinPartitions(*group), lambda b: _across(b, percent), "hub long, member long, hub_size long").distinct()
+
+
+def _best(labelled: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """A pair (hub, member, hub_size) for each component: where it shares most columns with a first row of another component.
 
     The first rows of a column are those of its least and its greatest component, so there is a row an entry, not a pair.
     """
@@ -360,68 +477,100 @@ def _best(labelled: DataFrame, tried: DataFrame | None, percent: int) -> DataFra
     heads = labelled.groupBy("list").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo.comp < hi.comp")
     rows = labelled.join(heads, "list").withColumn("h", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")))
     fits = percent * F.greatest("size", F.col("h.size")) <= 100 * F.least("size", F.col("h.size"))
-    rows = rows.filter(fits).select("comp", F.least("rep", F.col("h.rep")).alias("hub"), F.greatest("rep", F.col("h.rep")).alias("member"))
-    counts = rows.groupBy("comp", "hub", "member").count()
-    if tried is not None:
-        counts = counts.join(tried, ["hub", "member"], "left_anti")
-    best = counts.groupBy("comp").agg(F.max(F.struct("count", "hub", "member")).alias("b"))
-    return best.select("b.hub", "b.member").distinct()
+    hub_size = F.when(F.col("rep") < F.col("h.rep"), F.col("size")).otherwise(F.col("h.size")).cast("long")
+    rows = rows.filter(fits).select("comp", F.least("rep", F.col("h.rep")).alias("hub"), F.greatest("rep", F.col("h.rep")).alias("member"), hub_size.alias("hub_size"))
+    counts = rows.groupBy("comp", "hub", "member", "hub_size").count().join(tried, ["hub", "member"], "left_anti")
+    best = counts.groupBy("comp").agg(F.max(F.struct("count", "hub", "member", "hub_size")).alias("b"))
+    return best.select("b.hub", "b.member", "b.hub_size").distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row a document: _id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Texts that are null, empty or blank have no n-grams and link with nothing; rows that repeat an id stay rows of their
-    own, and are taken to repeat its text; ids must be integers; an empty table gives no rows; other columns are not read.
+    own, and are taken to repeat its text; a row with a null id keeps it, and has the component of the documents that have
+    its very set, or null; ids must be integers; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = scratch.keep(map_arrow(docs, lambda b: _scan(b, n), "id long, size long, d1 long, d2 long, part int, counts binary"), "scan")
     sets = scan.filter("part IS NULL").select("id", "size", "d1", "d2")
+    total, n_sets = sets.agg(F.sum(F.when(F.col("size") > 0, prefix_sql(F.col("size"), percent))), F.count(F.lit(1))).first()
     # The class of each set and the document that stands for it.
-    classes = scratch.keep(sets.filter("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    total = sets.agg(F.sum(F.when(F.col("size") > 0, prefix_sql(F.col("size"), percent)))).first()[0] or 0
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BLOCK_ENTRIES))
+    classes = scratch.keep(sets.filter("size > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("size").alias("hub_size")), "classes", n_sets)
+    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // BLOCK_ENTRIES))
     parts = _summed(scan.filter("part IS NOT NULL"), np.add)
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
     sketch = spark.sparkContext.broadcast(np.concatenate([parts.get(k, np.zeros(width, np.uint32)) for k in range(SKETCH_PARTS)]))
 
     packed = map_arrow(docs, lambda b: _entries(b, n, percent, n_blocks, sketch.value), "block int, sets binary, sizes binary, at binary, column binary, place binary")
     packed = packed.repartition(n_blocks, "block").sortWithinPartitions("block")
-    met = map_arrow(packed, lambda b: _columns(b, percent), "list long, set long, size int, place int")
-    entries = scratch.keep(met.join(classes.select("d1", "rep"), F.col("set") == F.col("d1")).select("list", "rep", "size", "place"), "entries")
-    texts = scratch.keep(_wanted(docs, entries.select(F.col("rep").alias("id"))), "texts")
-
-    links, near, tried = [], None, None
-    for _ in range(ROUNDS):
-        pairs = scratch.keep(_best(_labelled(entries, near), tried, percent), "best")
-        new = scratch.keep(compared(texts, pairs, n, percent), "links")
+    met = map_arrow(packed, lambda b: _columns(b, percent), "list long, set long, size int, place int, head long")
+    entries = scratch.keep(met.join(classes.select("d1", "rep"), F.col("set") == F.col("d1")).select("list", "rep", "size", "place", "head"), "entries")
+    n_entries = entries.count()
+    rows = scratch.keep(map_arrow(_wanted(docs, entries.select(F.col("rep").alias("id"))), lambda b: _pieces(b, n), "id long, size long, start long, grams binary"), "rows")
+
+    # Each row against the head that it has in most columns, then components against heads of others.
+    counts = entries.groupBy("rep", "head").count().join(classes.select(F.col("d1").alias("head"), F.col("rep").alias("other"), "hub_size"), "head").filter("rep != other")
+    best = counts.groupBy("rep").agg(F.max(F.struct("count", "other", "hub_size")).alias("b"))
+    first = best.select(F.col("b.other").alias("hub"), F.col("rep").alias("member"), "b.hub_size")
+    links, near, tried, n_links = [], None, None, 0
+    for k in range(ROUNDS):
+        pairs = scratch.keep(first if k == 0 else _best(_labelled(entries, near), tried, percent), "pairs", n_sets)
+        both = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
+        tried = both if tried is None else tried.unionByName(both)
+        n_pairs = pairs.count()
+        if not n_pairs:
+            break
+        new = scratch.keep(multiplied(rows, pairs, percent), "links")
         links.append(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        n_pairs, n_new = pairs.count(), new.count()
-        if n_new or near is None:
-            near = connected_components(reduce(DataFrame.unionByName, links), scratch)
-        if n_new < WORTH * n_pairs or not n_pairs:
+        n_new = new.count()
+        n_links += n_new
+        if n_new:
+            near = _joined(near, new, n_links, scratch)
+        if n_new < WORTH * n_pairs:
             break
 
     # Columns with rows of several components are left.
-    labelled = _labelled(entries, near)
-    mixed = labelled.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.ceil(F.count(F.lit(1)) / COLUMN_ROWS).cast("int").alias("n")).filter("_lo < _hi")
-    rows = labelled.join(mixed.select("list", "n"), "list")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("list", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "comp", "size", "place", "rep", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    group = ["list", "first", "second"]
-    pairs = map_arrow(rows.repartition(*group).sortWithinPartitions(*group), lambda b: _across(b, percent), "hub long, member long")
-    pairs = scratch.keep(pairs.distinct().join(tried, ["hub", "member"], "left_anti"), "pairs")
-    links.append(scratch.keep(compared(texts, pairs, n, percent), "links"))
-    found = connected_components(reduce(DataFrame.unionByName, links), scratch) if links[-1].take(1) else near
-
-    known = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("component_id"))
+    pairs = scratch.keep(across(_labelled(entries, near), percent).join(tried, ["hub", "member"], "left_anti") if tried is not None else across(_labelled(entries, near), percent), "pairs")
+    if pairs.take(1):
+        new = scratch.keep(multiplied(rows, pairs, percent), "links")
+        n_new = new.count()
+        if n_new:
+            near = _joined(near, new, n_links + n_new, scratch)
+
+    known = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep")
+    if near is None:
+        known = known.withColumnRenamed("rep", "component_id")
+    else:
+        known = known.join(near, F.col("rep") == F.col("node"), "left").select("_d1", "_d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(known, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("size") > 0), "left")
     return out.select(F.col("id").alias("_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _labelled(entries: DataFrame, near: DataFrame | None) -> DataFrame:
+    """entries with comp, the component of the row so far."""
+    if near is None:
+        return entries.select("list", "rep", "size", "place", F.col("rep").alias("comp"))
+    return entries.join(near, F.col("rep") == F.col("node"), "left").select("list", "rep", "size", "place", F.coalesce("component", "rep").alias("comp"))
+
+
+def _joined(near: DataFrame | None, links: DataFrame, n_links: int, scratch: Scratch) -> DataFrame:
+    """Components (node, component) near with more links (a, b): only components that new links meet are joined."""
+    if near is None:
+        return connected_components(links, scratch, rows=n_links)
+    of = lambda c: near.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"_{c}to"))
+    raised = links.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+    raised = scratch.keep(raised.select("a", "b", F.coalesce("_ato", "a").alias("x"), F.coalesce("_bto", "b").alias("y")), "raised", n_links)
+    over = connected_components(raised.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, rows=n_links)
+    over = over.select(F.col("node").alias("_n"), F.col("component").alias("_to"))
+    # Nodes that the links meet for the first time come in as components of their own.
+    ends = raised.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("e")).select("e.*").filter("node = component")
+    nodes = near.unionByName(ends.join(near.select("node"), "node", "left_anti").distinct())
+    return scratch.keep(nodes.join(over, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_to", "component").alias("component")), "near", 2 * n_links)
+
+
 def prefix_sql(size: Column, percent: int) -> Column:
     return size - F.ceil(size * percent / 100) + 1
 

@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import embedding_dedup, ngram_join
+from ledgerloom.llm import common, embedding_dedup, ngram_join
 from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.components import connected_components
 
@@ -76,6 +77,43 @@ def test_near_copies_chains_and_shared_passages(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "COLUMN_ROWS", 8)
     monkeypatch.setattr(ngram_join, "STAR_ROWS", 4)
     check(spark, texts)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)  # every link by pairs across
+    check(spark, texts)
+
+
+def test_product_adds_up_over_pieces(monkeypatch):
+    """Rows of different length, cut finer the longer they are, against overlaps of whole sets."""
+    monkeypatch.setattr(ngram_join, "PIECE_BITS", 4)
+    monkeypatch.setattr(ngram_join, "DENSE_COLUMNS", 8)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(w if rng.random() > 0.02 else rng.choice(base) for w in base[: 150 - 3 * k]) for k in range(7)]
+    sets = ngram_join.ngram_sets(pa.array(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts)], ["id", "text"])
+    pieces = [r for b in ngram_join._pieces(iter([batch]), 5) for r in b.to_pylist()]
+    assert len(pieces) > 20
+    bits = max(0, int(0.8 * len(sets[0])).bit_length() - 4)
+    rows = sorted((1, 0, r["start"] >> 30 - bits, r["id"], r["start"], r["size"], r["grams"]) for r in pieces for _ in range(2))
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    at = [0, 1, 2, 3, 5, 4, 6]
+    found = []
+    for percent in (20, 60, 80, 100):
+        batches = (pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 5]], kinds[k]) for k in at], list("abcdefg")) for a in range(0, len(rows), 5))
+        got = [(r["a"], r["b"]) for b in ngram_join._product(batches, percent) for r in b.to_pylist()]
+        want = [(i, j) for i in range(7) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))]
+        assert roots(range(7), got) == roots(range(7), want)
+        found.append(len(set(roots(range(7), got).values())))
+    assert found[0] == 1 < found[-1]
+
+
+def test_long_texts_hash_alike_in_steps(monkeypatch):
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("ab  \n") for _ in range(3000)), "x" * 1000, " " * 500 + "y" * 700 + " z", "é" * 400]
+    whole = [common.word_hashes(*common.text_buffers(pa.array([t]))) for t in texts]
+    monkeypatch.setattr(common, "STEP_BYTES", 64)
+    for t, (hashes, count) in zip(texts, whole, strict=True):
+        got, n = common.word_hashes(*common.text_buffers(pa.array([t])))
+        assert got.tolist() == hashes.tolist() and n.tolist() == count.tolist() == [len(t.split())]
 
 
 def test_odd_texts(spark):
