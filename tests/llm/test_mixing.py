@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, text string, source string, size string, taken int"
 
 def mix(spark, rows):
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
-    return [r.asDict() for r in mixing.queue(docs, range_rows=3).collect()]
+    return [r.asDict() for r in mixing.queue(docs).collect()]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -49,6 +49,7 @@ def test_targets_and_amounts(spark, seed):
         assert {r["source_size"] for r in own} == {sizes[source]}
         assert own[0]["target"] == pytest.approx(want[source])
         assert sum(r["rounds"] * r["size"] for r in own) == pytest.approx(want[source], abs=15)
+    assert sum(r["rounds"] * r["size"] for r in got) <= 1.5 * sum(sizes.values())
     assert all(0 <= r["rounds"] <= 2 and (r["size"] or not r["rounds"]) for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mix(spark, rows[::-1])))
 
