@@ -4,23 +4,26 @@ A run is a stretch of consecutive lines with at least min_words words that stand
 earlier is by document id, then line. Every line of the later run goes. Lines without a word count for nothing: a run
 goes on over them, and they go with it.
 
-1. Lines become (document, position, hash, words). Around each line lie two windows: the shortest stretch that starts
-   with it and the shortest that ends with it and has min_words words. Where a window lies follows from its own lines,
-   so equal runs hold equal windows, and every run is the union of its windows.
+1. A document becomes its sheet, the hashes and words of its lines. Around each line lie two windows: the shortest stretch
+   that starts with it and the shortest that ends with it and has min_words words. Where a window lies follows from its own
+   lines, so equal runs hold equal windows, and every run is the union of its windows.
 2. The least line hash of a window is its fingerprint. Equal windows have equal ones at the same place, so a repeated run
    is guaranteed to hold fingerprints that occur at two places or more. Fingerprints met at one place only, which are
    most, end here together with their windows.
-3. What is left is extended both ways from the fingerprint to the windows' ends and compared: windows of equal lines
-   form a group, whose first place is found; all others are repeats.
-4. The lines that repeats cover, taken together per document, are deleted.
-
-Groups are reduced to counts and least places before they are shuffled and never collected, so a line in a third of all
-documents costs one row a task.
+3. Positions of fingerprints are joined: each with the first position that has the same fingerprint in the same company, so
+   that a frequent line pairs with one place for each company it keeps, never with all its places. The company is a
+   digest; it only proposes.
+4. Each proposed match is extended both ways from the fingerprint, line by line over both sheets, by other hashes of the
+   lines than those that proposed it, as far as its windows reach. A matched stretch with min_words words is a repeated run.
+5. The lines of later runs, taken together per document, are deleted.
+
+Groups are reduced to least places before they are shuffled and never collected, and the tables that places are joined with
+are written first, so that Spark can split the rows of a frequent key over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WORD, Scratch, table
@@ -29,43 +32,72 @@ MIN_WORDS = 50
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """A row a window: _id, _th, start, end (positions), anchor (hash of the fingerprint's place), least (fingerprint), key."""
+    """A row a window: _id, _th, start, end and anchor (numbers of lines), least (the fingerprint), company (digest of all lines)."""
     doc = Window.partitionBy("_id", "_th")
-    c = lines.withColumn("upto", F.sum("words").over(doc.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("words"))
+    c = lines.withColumn("upto", F.sum("words").over(doc.orderBy("n"))).withColumn("before", F.col("upto") - F.col("words"))
     ahead, back = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("upto").rangeBetween(1 - min_words, 0)
     for name, frame in (("a", ahead), ("b", back)):
         window = F.struct(
-            F.min("pos").over(frame).alias("start"),
-            F.max("pos").over(frame).alias("end"),
+            F.min("n").over(frame).alias("start"),
+            F.max("n").over(frame).alias("end"),
             F.sum("words").over(frame).alias("words"),
-            F.min(F.struct("h", "pos")).over(frame).alias("low"),
+            F.min(F.struct("h", "n")).over(frame).alias("low"),
             F.collect_list("h").over(frame).alias("all"),
         )
         c = c.withColumn(name, window)
     c = c.select("_id", "_th", F.explode(F.array("a", "b")).alias("w")).filter(F.col("w.words") >= min_words)
-    return c.select(
-        "_id", "_th", "w.start", "w.end",
-        F.xxhash64("_id", "_th", "w.low.pos").alias("anchor"),
-        F.col("w.low.h").alias("least"),
-        F.xxhash64(F.lit(1), "w.all").alias("key"),
-    )
+    return c.select("_id", "_th", "w.start", "w.end", F.col("w.low.n").alias("anchor"), F.col("w.low.h").alias("least"), F.xxhash64(F.lit(1), "w.all").alias("company"))
+
+
+def _run(equal: Column, length: Column) -> Column:
+    """How many entries at the head of an array of booleans hold."""
+    stop = F.array_position(equal, F.lit(False))
+    return F.when(stop > 0, stop - 1).otherwise(length).cast("int")
+
+
+def _extended(pairs: DataFrame, sheets: DataFrame, min_words: int) -> DataFrame:
+    """pairs (_id, _th, anchor, back, ahead and the first place f_id, f_th, f_anchor) to the runs (_id, _th, start, end) of positions.
+
+    back and ahead say how many lines on either side the windows of the pair reach."""
+    size = F.col("back") + F.col("ahead") + 1
+    part = lambda a, at: F.slice(a, F.greatest(at - F.col("back"), F.lit(1)), size)
+    first = sheets.select(F.col("_id").alias("_fi"), F.col("_th").alias("_ft"), F.col("lines.h2").alias("_fl"))
+    own = sheets.select(F.col("_id").alias("_oi"), F.col("_th").alias("_ot"), "lines")
+    found = pairs.join(first, F.col("f_id").eqNullSafe(F.col("_fi")) & F.col("f_th").eqNullSafe(F.col("_ft")))
+    found = found.select("_id", "_th", "anchor", "back", "ahead", part(F.col("_fl"), F.col("f_anchor")).alias("there"))
+    found = found.join(own, F.col("_id").eqNullSafe(F.col("_oi")) & F.col("_th").eqNullSafe(F.col("_ot")))
+    same = F.zip_with(part(F.col("lines.h2"), F.col("anchor")), "there", lambda x, y: x.eqNullSafe(y))
+    found = found.withColumn("same", same).filter(F.get("same", F.col("back")))
+    left, right = F.reverse(F.slice("same", F.lit(1), F.col("back"))), F.slice("same", F.col("back") + 2, F.col("ahead"))
+    found = found.withColumn("from", F.col("anchor") - _run(left, F.col("back"))).withColumn("to", F.col("anchor") + _run(right, F.col("ahead")))
+    words = F.aggregate(F.slice("lines.words", F.col("from"), F.col("to") - F.col("from") + 1), F.lit(0), lambda a, x: a + x)
+    at = lambda n: F.get("lines", n - 1)["pos"]
+    return found.filter(words >= min_words).select("_id", "_th", at(F.col("from")).alias("start"), at(F.col("to")).alias("end"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row a document that repeats earlier lines: _id, _th (hash of the text), gone (positions of its lines to delete)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    lines = lines.select("_id", "_th", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words")).filter("words > 0")
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.cast("int").alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(2), x).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    sheets = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.filter(lines, lambda x: x["words"] > 0).alias("lines"))
     # Rows that repeat an id and its text are one document here.
-    lines = lines.repartition("_id", "_th").groupBy("_id", "_th", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))
-    windows = scratch.keep(_windows(lines, min_words), "windows")
-
-    twice = windows.groupBy("least").agg(F.min("anchor").alias("_a"), F.max("anchor").alias("_b")).filter("_a < _b").select("least")
-    windows = scratch.keep(windows.join(twice, "least", "left_semi").select("_id", "_th", "start", "end", "key"), "repeated")
+    sheets = scratch.keep(sheets.filter(F.size("lines") > 0).groupBy("_id", "_th").agg(F.first("lines").alias("lines")), "sheets")
+    numbered = sheets.select("_id", "_th", F.posexplode("lines").alias("n", "line")).select("_id", "_th", (F.col("n") + 1).alias("n"), "line.h", "line.words")
+    windows = scratch.keep(_windows(numbered, min_words), "windows")
+
+    # Fingerprints met at two places or more.
+    met = F.xxhash64("_id", "_th", "anchor")
+    twice = windows.groupBy("least").agg(F.min(met).alias("_a"), F.max(met).alias("_b")).filter("_a < _b").select("least")
+    windows = scratch.keep(windows.join(scratch.keep(twice, "twice"), "least", "left_semi"), "met")
+    # Positions joined: a place with the first one in the same company.
     place = F.struct("_id", "_th", "start")
-    first = windows.groupBy("key").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last").select("key", "_first")
-    later = windows.join(first, "key").filter(place > F.col("_first"))
-    return later.select("_id", "_th", F.explode(F.sequence("start", "end")).alias("pos")).groupBy("_id", "_th").agg(F.collect_set("pos").alias("gone"))
+    first = windows.groupBy("least", "company").agg(F.min(F.struct("_id", "_th", "start", "anchor")).alias("f"), F.max(place).alias("_last"))
+    first = first.filter(F.struct("f._id", "f._th", "f.start") < F.col("_last")).select("least", "company", "f")
+    later = windows.join(scratch.keep(first, "first"), ["least", "company"]).filter(place > F.struct("f._id", "f._th", "f.start"))
+    pairs = later.groupBy("_id", "_th", "anchor", F.col("f._id").alias("f_id"), F.col("f._th").alias("f_th"), F.col("f.anchor").alias("f_anchor"))
+    pairs = scratch.keep(pairs.agg(F.max(F.col("anchor") - F.col("start")).alias("back"), F.max(F.col("end") - F.col("anchor")).alias("ahead")), "pairs")
+    runs = _extended(pairs, sheets, min_words)
+    return runs.select("_id", "_th", F.explode(F.sequence("start", "end")).alias("pos")).groupBy("_id", "_th").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
