@@ -1,16 +1,19 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens and accepts exactly the token sequences that the merges produce. It starts with one state and
-an arc for every base symbol, and every merge (u, v) -> w in turn adds its gadget:
+The token automaton reads tokens and accepts exactly the token sequences that the merges produce. It starts with one state
+and an arc for every base symbol, and every merge (u, v) -> w in turn adds its gadget:
 - the state after u loses its arc v, for u followed by v is now written w;
 - w gets an arc from each state that has an arc u (after this loss, so that of u u u the first two are joined);
 - the state after w is a copy of the state after v as it stood before this merge.
 So there is one state a token. Rows are kept as differences: what a copy inherits is looked up in the state it was
-copied from as of the merge of the copy, and an arc w as of its creation in the arc u; arcs once decided stay in a table.
+copied from as of the merge of the copy, and an arc w as of its creation in the arc u.
 
-A word is encoded from left to right. Since every sequence of symbols has one accepted spelling, each place in the word
-has one token that ends there: the one that an arc leads to from the token which ends where it begins. Work grows with the
-length of the word. Decoding emits the labels of the arcs.
+Words are read symbol by symbol through a table of transitions, which the token automaton determines: every prefix of a
+word has one accepted spelling, so one token ends at each place. A state of the table stands for what can still matter of
+a prefix: its longest end that begins some token, and the tokens that end at the places inside it where a token may begin.
+From there and the next symbol follows the token that ends behind the symbol: of the tokens that do, the one that an arc
+leads to from the token which ends where it begins. A row is compiled when it is first reached and is then only looked up.
+The tokens of a word are read off from its end backwards. Decoding emits the labels of the arcs.
 
 The text rules around the automaton (normal form, white space, lower case, splitting, byte symbols, special strings) are
 those of the vocabulary file.
@@ -32,25 +35,30 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import map_arrow, slices, table
 
-#: Words, and arcs decided, that a task remembers before it gives the memory back.
+#: Words, and states of the table, that a task remembers before it gives the memory back.
 CACHE = 300_000
+#: Characters of a text that are encoded at a time; a longer text is cut at spaces.
+PART = 1 << 20
 
 
 class Automaton:
     """Compiled from the merges, in order; tokens are their ids."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
+        """suffix belongs to the last symbol of a word."""
         self.label = {i: t for t, i in vocab.items()}
         size = max(vocab.values()) + 1
         self.born, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.lost: dict[int, int] = {}
-        self.known: dict[int, bool] = {}
         self.by_text: dict[str, int] = {}
         merged = {a + b for a, b in merges}
         self.by_text.update((t, i) for t, i in vocab.items() if t not in merged)
         for step, (a, b) in enumerate(merges):
             self._gadget(step, vocab[a], vocab[b], a + b, vocab[a + b])
-        self.longest = max(map(len, self.by_text))
+        self.begins = {t[:k] for t in self.by_text for k in range(len(t))}
+        self.length = {i: len(t.removesuffix(suffix)) if suffix else len(t) for t, i in self.by_text.items()}
+        self.suffix = suffix
+        self._start()
 
     def _gadget(self, step: int, u: int, v: int, text: str, w: int) -> None:
         # Where an earlier merge has already taken v from the state after u, there is nothing to join.
@@ -72,44 +80,63 @@ class Automaton:
             else:
                 return True
 
-    def encode(self, text: str, suffix: str = "") -> list[int]:
-        """Token ids of a word, a character a base symbol; suffix belongs to the last symbol.
-
-        Follows the longest arc from each state and steps back where none leads on. A prefix has one accepted spelling,
-        so a place given up once is never entered again, and work grows with the length of the word.
-        """
-        get, known, lost = self.by_text.get, self.known, len(self.lost)
-        n, longest = len(text), self.longest
-        out: list[int] = []
-        places = [0]
-        state, at, reach = -1, 0, min(n, longest)
-        given_up = set()
-        while at < n:
-            for k in range(reach, at, -1):
-                token = get(text[at:k] + suffix if k == n else text[at:k])
-                if token is None or k in given_up:
-                    continue
-                if at:
-                    key = state << 20 | token
-                    follows = known.get(key)
-                    if follows is None:
-                        if len(known) > CACHE:
-                            known.clear()
-                        follows = known[key] = self._arc(state, token, lost)
-                    if not follows:
-                        continue
-                out.append(token)
-                places.append(k)
-                state, at = token, k
-                reach = min(n, at + longest)
-                break
-            else:
-                if not out:
-                    raise ValueError(f"no arcs spell {text!r}")
-                given_up.add(at)
-                out.pop()
-                reach = places.pop() - 1
-                state, at = out[-1] if out else -1, places[-1]
+    def _start(self) -> None:
+        """An empty table: of each state its row by symbol, by last symbol, the token that ends there, and what it stands for."""
+        self.rows: list[dict[str, int]] = [{}]
+        self.ends: list[dict[str, int]] = [{}]
+        self.token = [-1]
+        self.means: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
+        self.states = {self.means[0]: 0}
+
+    def _next(self, state: int, symbol: str) -> tuple[str, int]:
+        """(end of the prefix, token that ends behind the symbol)."""
+        tail, before = self.means[state]
+        text, last = tail + symbol, len(self.lost)
+        for k in range(len(tail) + 1):
+            token = self.by_text.get(text[k:])
+            if token is not None and before[k] != -2 and (before[k] == -1 or self._arc(before[k], token, last)):
+                return text, token
+        raise ValueError(f"no arcs spell {text!r}")
+
+    def _compile(self, state: int, symbol: str) -> int:
+        text, token = self._next(state, symbol)
+        before = (*self.means[state][1], token)
+        cut = next(k for k in range(len(text) + 1) if text[k:] in self.begins)
+        # Places where no token can begin any more do not tell states apart.
+        means = (text[cut:], tuple(t if text[k + cut :] in self.begins else -2 for k, t in enumerate(before[cut:])))
+        found = self.states.get(means)
+        if found is None:
+            found = self.states[means] = len(self.rows)
+            self.rows.append({})
+            self.ends.append({})
+            self.token.append(token)
+            self.means.append(means)
+        self.rows[state][symbol] = found
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        """Token ids of a word, a character a base symbol."""
+        if not text:
+            return []
+        if len(self.rows) > CACHE:
+            self._start()
+        rows, state, passed = self.rows, 0, []
+        for symbol in text[:-1]:
+            try:
+                state = rows[state][symbol]
+            except KeyError:
+                state = self._compile(state, symbol)
+            passed.append(state)
+        last = self.ends[state].get(text[-1])
+        if last is None:
+            last = self.ends[state][text[-1]] = self._next(state, text[-1] + self.suffix)[1]
+        length, token, out = self.length, self.token, [last]
+        at = len(text) - length[last]
+        while at:
+            last = token[passed[at - 1]]
+            out.append(last)
+            at -= length[last]
+        out.reverse()
         return out
 
 
@@ -121,44 +148,37 @@ class Codec:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], self.suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton.label.update((i, t) for t, i in self.special.items())
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # Text rules of the file, by the library it is written for: they follow its tables of characters.
         rules = Tokenizer.from_file(path)
         self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        #: Marks that the file splits off a word of letters, as a word of their own.
+        self.marks = tuple(m for m in ".,;:!?" if [w for w, _ in self.split(f"ab{m}")] == ["ab", m])
         self.spaces = re.compile("[\t-\r\x85\xa0]")
-        self.words: dict[str, list[int]] = {}
-        #: Of each piece between spaces: (ids as little-endian bytes, labels joined by spaces).
-        self.cache: dict[str, tuple[bytes, str]] = {}
-
-    def word(self, word: str) -> list[int]:
-        """Ids of a pre-split word, given as its byte symbols."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            found = self.words[word] = self.automaton.encode(word, self.suffix)
-        return found
+        #: Ids of each piece between spaces.
+        self.cache: dict[str, list[int]] = {}
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined by a space, as the vocabulary file names no decoder."""
-        label = self.automaton.label
-        return " ".join([label[i] for i in ids])
-
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = self.word(piece) if piece.isascii() and piece.isalpha() else [i for w, _ in self.split(piece) for i in self.word(w)]
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-
-    def encoded(self, text: str | None) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text) of a text; nothing of a null or empty one."""
-        if not text:
-            return b"", ""
+        return " ".join(map(self.automaton.label.__getitem__, ids))
+
+    def _piece(self, piece: str) -> list[int]:
+        word = self.automaton.encode
+        if piece.isascii():
+            if piece.isalpha():
+                return word(piece)
+            if piece.endswith(self.marks) and piece[:-1].isalpha():
+                return word(piece[:-1]) + word(piece[-1])
+        return [i for w, _ in self.split(piece) for i in word(w)]
+
+    def ids(self, text: str) -> list[int]:
         cache, found = self.cache, []
         for part in self.special_split.split(text) if self.special_split else [text]:
             if part in self.special:
-                found.append((struct.pack("<I", self.special[part]), part))
+                found.append(self.special[part])
                 continue
             try:
                 part.encode("latin-1")  # these characters are in normal form, and each has one lower case
@@ -171,8 +191,21 @@ class Codec:
                         if len(cache) > CACHE:
                             cache.clear()
                         known = cache[piece] = self._piece(piece)
-                    found.append(known)
-        return b"".join([a for a, _ in found]), " ".join([b for a, b in found if a])
+                    found += known
+        return found
+
+    def encoded(self, text: str | None) -> Iterator[tuple[list[int], str]]:
+        """(ids, decoded text) of one part of a text after the other; decoded parts are joined by a space. Nothing of a null or empty text."""
+        at, n = 0, len(text or "")
+        while at < n:
+            to = at + PART
+            if to < n:
+                to = text.rfind(" ", at, to) + 1 or text.find(" ", to) + 1 or n
+                to = to if to > at else n
+            ids = self.ids(text[at:to])
+            if ids:
+                yield ids, self.decode(ids)
+            at = to
 
 
 @functools.lru_cache(maxsize=4)
@@ -186,12 +219,25 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     A narrow map; null and empty texts have no ids and an empty text, repeated rows give repeated rows, an empty table
     gives none. Other columns are not read. vocab_path must be readable on every executor.
     """
-    return _map(docs, vocab_path, id_col, text_col, "ids array<long>, decoded string", lambda ids, decoded: ([i for (i,) in struct.iter_unpack("<I", ids)], decoded), [pa.list_(pa.int64()), pa.large_string()])
+
+    def row(parts) -> tuple:
+        parts = list(parts)
+        return [i for ids, _ in parts for i in ids], " ".join(decoded for _, decoded in parts)
+
+    return _map(docs, vocab_path, id_col, text_col, "ids array<long>, decoded string", row, [pa.list_(pa.int64()), pa.large_string()])
 
 
 def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode(), with n_tokens, ids_sha256 and decoded_sha256 in place of the ids and the text."""
-    row = lambda ids, decoded: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+
+    def row(parts) -> tuple:
+        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+        for ids, decoded in parts:
+            of_text.update((" " * bool(n) + decoded).encode("utf-8", "surrogatepass"))
+            of_ids.update(struct.pack(f"<{len(ids)}I", *ids))
+            n += len(ids)
+        return n, of_ids.hexdigest(), of_text.hexdigest()
+
     return _map(docs, vocab_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, [pa.int64(), pa.string(), pa.string()])
 
 
@@ -201,7 +247,7 @@ def _map(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, ddl: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab_path)
         for batch in slices(batches, "_text"):
-            found = [row(*own.encoded(t)) for t in batch.column(1).to_pylist()]
+            found = [row(own.encoded(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
