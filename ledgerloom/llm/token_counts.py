@@ -4,14 +4,15 @@ A text becomes one space-marked sequence (spaces are written as the mark, one ma
 a mark after another character, so a sequence may be cut before each run of marks; characters that are no piece of
 their own can never merge, so a sequence may be cut there too, and each costs its bytes. What lies between the cuts are
 pre-tokens. The distinct pre-tokens of a batch that no earlier batch of the task had are laid out as one ragged array of
-piece ids. In each round every sequence finds its lowest-rank mergeable pair, leftmost among equals, all of these merges
-are applied at once, and finished sequences leave the array; the symbols that survive are the count.
+piece ids. In each round every sequence finds its lowest-rank mergeable pair, all of these merges are applied at once, in every
+place of the sequence, from the left where places overlap, and finished sequences leave the array; the symbols that
+survive are the count. Merging a pair in all places at once is merging it place by place if the symbol that it makes has no
+pair of as low a rank; where it has one, the round applies the leftmost of places that lie within a piece's length only.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from ledgerloom.llm.common import map_arrow, slices, table
 MARK = "▁"
 #: Distinct pre-tokens whose counts a task remembers; beyond it memory is given back and counting goes on.
 CACHE = 400_000
-#: A pre-token of more symbols is merged through a heap, whose work does not grow with the square of its length.
-LONG = 1024
+#: Characters of a text that are cut into pre-tokens at a time; a longer text is cut at spaces.
+PART = 1 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -49,10 +50,15 @@ class Merger:
                 a, b = self.pieces.get(text[:cut]), self.pieces.get(text[cut:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = (rank[model.get_score(i)], i)
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        # Merges whose symbol has no pair of as low a rank: nothing that they make comes before their other places.
+        side = np.full(model.get_piece_size(), _NONE)
+        for part in (self.keys >> 20, self.keys & 0xFFFFF):
+            np.minimum.at(side, part, self.ranks)
+        self.safe = side[self.made] > self.ranks
+        self.longest = max(map(len, self.pieces))
         single = "".join(re.escape(p) for p in self.pieces if len(p) == 1 and p != MARK)
         #: A run of marks with the known characters after it, or one unknown character.
         self.split = re.compile(f"{MARK}+[{single}]*|[{single}]+|[^{single}{MARK}]")
@@ -66,19 +72,12 @@ class Merger:
 
     def merge(self, sequences: list[str]) -> np.ndarray:
         """Symbols left of each sequence of known characters."""
-        left = np.empty(len(sequences), np.int64)
-        short = []
-        for k, s in enumerate(sequences):
-            if len(s) > LONG:
-                left[k] = self.merge_long(s)
-            else:
-                short.append(k)
-        if not short:
-            return left
-        ids = np.fromiter((self.pieces[c] for k in short for c in sequences[k]), np.int64)
-        lengths = np.array([len(sequences[k]) for k in short])
-        owner = np.array(short)
-        left[owner] = lengths
+        if not sequences:
+            return np.zeros(0, np.int64)
+        ids = np.fromiter((self.pieces[c] for s in sequences for c in s), np.int64)
+        lengths = np.array([len(s) for s in sequences])
+        owner = np.arange(len(sequences))
+        left = lengths.copy()
         rank, row = self._pairs(ids, lengths)
         while len(ids):
             starts = np.cumsum(lengths) - lengths
@@ -92,25 +91,29 @@ class Merger:
                     break
                 starts = np.cumsum(lengths) - lengths
             hits = np.flatnonzero(rank == np.repeat(best, lengths))
+            # Every place; or, where a merge makes a symbol that comes before the others, places that no piece reaches from one before.
             seq = np.searchsorted(starts, hits, side="right") - 1
-            first = np.ones(len(hits), bool)
-            first[1:] = seq[1:] != seq[:-1]
-            at = hits[first]
+            safe = np.bincount(seq, ~self.safe[row[hits]], len(starts)) == 0
+            far = np.concatenate([[True], (seq[1:] != seq[:-1]) | (hits[1:] - hits[:-1] > self.longest)])
+            hits = hits[far | safe[seq]]
+            # Of places that overlap every second one from the left.
+            run = np.concatenate([[True], hits[1:] != hits[:-1] + 1])
+            at = hits[(np.arange(len(hits)) - np.maximum.accumulate(np.where(run, np.arange(len(hits)), 0))) % 2 == 0]
             ids[at] = self.made[row[at]]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             # The new symbol's pair is with what follows the one merged away; the pair before it changes too.
             moved = np.cumsum(keep) - 1
-            at = moved[at]
+            at, at_old = moved[at], at
             ids, rank, row = ids[keep], rank[keep], row[keep]
-            lengths = lengths - 1
+            lengths = lengths - np.bincount(np.searchsorted(starts, at_old, side="right") - 1, minlength=len(lengths))
             left[owner] = lengths
             starts = np.cumsum(lengths) - lengths
-            ends = starts + lengths - 1
+            seq = np.searchsorted(starts, at, side="right") - 1
             rank[at] = _NONE
-            inner = at[at < ends]
+            inner = at[at < (starts + lengths - 1)[seq]]
             rank[inner], row[inner] = self.rank_of(ids[inner], ids[inner + 1])
-            before = at[at > starts] - 1
+            before = at[at > starts[seq]] - 1
             rank[before], row[before] = self.rank_of(ids[before], ids[before + 1])
         return left
 
@@ -120,49 +123,44 @@ class Merger:
         rank[np.cumsum(lengths) - 1] = _NONE
         return rank, row
 
-    def merge_long(self, text: str) -> int:
-        """The same merges in the same order for one long sequence, through a heap of (rank, place)."""
-        ids = [self.pieces[c] for c in text]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < len(ids) and (found := self.pairs.get(ids[i] << 20 | ids[j])):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
-
-        for i in range(len(ids) - 1):
-            push(i)
-        count = len(ids)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = made, -1
-            after[i] = after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            count -= 1
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return count
-
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text."""
         split, cache = self.split.findall, self.cache
-        cut = [split(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-        new = list({w for words in cut for w in words if w not in cache})
-        if new:
-            known = [w for w in new if w[0] == MARK or w[0] in self.pieces]
-            cache.update(zip(known, self.merge(known).tolist(), strict=True))
-            cache.update({w: len(w.encode("utf-8", "surrogatepass")) for w in new if w not in cache})
-        out = [sum(map(cache.__getitem__, words)) for words in cut]
-        if len(cache) > CACHE:
-            cache.clear()
+        out = [0] * len(texts)
+        for k, part in parts(texts):
+            words = split(part)
+            new = list({w for w in words if w not in cache})
+            if new:
+                self.learn(new)
+            out[k] += sum(map(cache.__getitem__, words))
+            if len(cache) > CACHE:
+                cache.clear()
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Put the tokens of these pre-tokens into the cache."""
+        known = [w for w in words if w[0] == MARK or w[0] in self.pieces]
+        self.cache.update(zip(known, self.merge(known).tolist(), strict=True))
+        self.cache.update({w: len(w.encode("utf-8", "surrogatepass")) for w in words if w not in self.cache})
+
+
+def parts(texts: list[str | None]) -> Iterator[tuple[int, str]]:
+    """(number of the text, part) of all texts, space-marked; texts longer than PART are cut before runs of spaces."""
+    spaces = " " + MARK
+    for k, text in enumerate(texts):
+        at, n = 0, len(text or "")
+        while at < n:
+            to = at + PART
+            if to < n:
+                while to > at and not (text[to] in spaces and text[to - 1] not in spaces):
+                    to -= 1
+                if to == at:  # no such place: on to the next one
+                    to = at + PART
+                    while to < n and not (text[to] in spaces and text[to - 1] not in spaces):
+                        to += 1
+            yield k, (MARK if at == 0 else "") + text[at:to].replace(" ", MARK)
+            at = to
+
 
 @functools.lru_cache(maxsize=4)
 def merger(path: str) -> Merger:

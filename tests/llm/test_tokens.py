@@ -33,11 +33,31 @@ def test_counts_equal_sentencepiece(spark):
     assert token_counts.token_counts(frame(spark, []), path).collect() == []
 
 
-def test_long_sequences_are_merged_alike():
-    merger = token_counts.Merger(P.path("piece_bpe_32k.model"))
-    for seed in range(3):
-        text = "".join(random.Random(seed).choice("theinga") for _ in range(700))
-        assert merger.merge([text, text[:50]]).tolist() == [merger.merge_long(text), merger.merge_long(text[:50])]
+def test_long_texts_and_sequences(monkeypatch):
+    """Sequences of thousands of symbols, and texts cut into parts, against the library."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("theinga") for _ in range(n)) for n in (700, 5000, 20_000, *[300] * 40)]
+    texts += [rng.choice(("the", "ing", "anan")) * 400 for _ in range(3)]
+    texts += ["ab" * 3000, "a" * 9999, "the  a " * 500, " " * 300, " x" * 90, *ODD]
+    want = [len(library.encode(t or "")) for t in texts]
+    assert token_counts.Merger(path).counts(texts) == want
+    monkeypatch.setattr(token_counts, "PART", 40)
+    assert token_counts.Merger(path).counts(texts) == want
+
+
+def test_texts_encoded_in_parts(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    codec = bpe_automaton.Codec(path)
+    whole = [[i for ids, _ in codec.encoded(t) for i in ids] for t in ODD]
+    monkeypatch.setattr(bpe_automaton, "PART", 20)
+    monkeypatch.setattr(bpe_automaton, "CACHE", 50)
+    for t, ids in zip(ODD, whole, strict=True):
+        parts = list(codec.encoded(t))
+        assert [i for a, _ in parts for i in a] == ids and " ".join(d for _, d in parts) == codec.decode(ids)
 
 
 def test_encoding_equals_tokenizers_and_decodes(spark):
