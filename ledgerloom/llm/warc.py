@@ -15,6 +15,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -39,17 +40,26 @@ def _open(path: str, mode: str):
     return store.open_input_file(where)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id) -> str:
+    """The record id of a page; any id can be read back from it as text, a missing one as None."""
+    return "<urn:page-without-id>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def _page(urn: str) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn.startswith("<urn:page:") else None
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """A response record, or a revisit record without payload that refers to the response of another page."""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", _urn(page_id)),
         ("WARC-Target-URI", "".join(c for c in url or "" if c >= " ")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Payload-Length", len(payload)),
     ]
     if refers_to is not None:
-        head += [("WARC-Profile", "identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", "identical-payload-digest"), ("WARC-Refers-To", _urn(refers_to))]
         payload = b""
     head.append(("Content-Length", len(payload)))
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + payload + b"\r\n\r\n"
@@ -187,24 +197,29 @@ class _Plain(io.RawIOBase):
         return len(data)
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages as (_id, _url, _html, _digest, _bytes, _refers_to): of equal payloads of LEAST_BYTES and more the largest id is the response."""
+def plan(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """pages as (_id, _url, _html, _digest, _bytes, _refers_to): of equal payloads of LEAST_BYTES and more the largest id is the response.
+
+    The responses that others refer to are written first: Spark then knows their size, and broadcasts them below the session's
+    threshold or splits the rows of a frequent digest."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), F.sha1(payload.cast("binary")).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"))
-    response = rows.filter(F.col("_bytes") >= LEAST_BYTES).groupBy("_digest").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_digest").alias("_d"), "_last")
-    return rows.join(response, F.col("_digest") == F.col("_d"), "left").select("_id", "_url", "_html", "_digest", "_bytes", F.when(F.col("_last") != F.col("_id"), F.col("_last")).alias("_refers_to"))
+    response = rows.filter(F.col("_bytes") >= LEAST_BYTES).groupBy("_digest").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _last IS NOT NULL").select(F.col("_digest").alias("_d"), "_last")
+    response = scratch.keep(response, "responses")
+    return rows.join(response, F.col("_digest") == F.col("_d"), "left").select("_id", "_url", "_html", "_digest", "_bytes", F.when(~F.col("_last").eqNullSafe(F.col("_id")), F.col("_last")).alias("_refers_to"))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:
     """(what the normalised archives say of each page, folder of the archives).
 
     Rows: page_id, payload_bytes, payload_digest, record_type, refers_to. Responses are inflated and hashed anew; a
-    revisit states the length and digest of the payload it refers to. Null payloads are empty; rows that repeat an id and
-    a long payload are all responses; an empty table gives no rows and no files. Other columns are not read.
+    revisit states the length and digest of the payload it refers to. Null payloads are empty; ids may be numbers or texts; a
+    null id comes back as null, is less than all others, and is referred to by none; rows that repeat an id and a long payload
+    are all responses; an empty table gives no rows and no files. Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     plain, final = scratch.path("streams"), scratch.path("archives")
-    streams = scratch.keep(write_archives(plan(pages, id_col, url_col, html_col), plain), "written")
+    streams = scratch.keep(write_archives(plan(pages, scratch, id_col, url_col, html_col), plain), "written")
     n = max(1, streams.count())
 
     def rewrite(path):
@@ -216,7 +231,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def read(path):
         for headers, payload in read_indexed(path):
-            name = lambda k: int(headers[k][len("<urn:page:") : -1])
+            name = lambda k: _page(headers[k])
             stated = headers["WARC-Payload-Digest"].removeprefix("sha1:")
             if headers["WARC-Type"] == "response":
                 if hashlib.sha1(payload).hexdigest() != stated:
@@ -225,7 +240,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             else:
                 yield name("WARC-Record-ID"), int(headers["WARC-Payload-Length"]), stated, "revisit", name("WARC-Refers-To")
 
-    return _by_file(archives, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", n), final
+    found = _by_file(archives, read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string", n)
+    kind = pages.schema[id_col].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}), final
 
 
 def op3_warc(spark, sf_dir):

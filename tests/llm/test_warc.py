@@ -28,6 +28,16 @@ def test_round_trip(spark):
     assert folder.startswith("file:")
 
 
+def test_missing_and_text_ids(spark):
+    long = "x" * 2000
+    pages = [(None, "u", long), (5, "u", long), (7, "u", long), (None, "v", "short"), (None, "w", "y" * 1500)]
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(rows(spark, pages))[0].collect())
+    assert got == [(0, 5, "response", None), (0, 1500, "response", None), (0, 2000, "revisit", 7), (5, 2000, "revisit", 7), (7, 2000, "response", None)]
+    texts = spark.createDataFrame([("a b>", "u", long), ("c:1", "u", long), (None, "u", long)], "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(texts)[0].collect()}
+    assert got == {"a b>": ("revisit", "c:1"), "c:1": ("response", None), None: ("revisit", "c:1")}
+
+
 def test_no_pages(spark):
     assert warc.round_trip(rows(spark, []))[0].collect() == []
 
