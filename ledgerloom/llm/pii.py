@@ -8,13 +8,15 @@ characters before it. An added span that overlaps a base span, or an added span
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_arrow, table
 
@@ -169,23 +171,28 @@ def find(text: str | None) -> list[Span]:
     for kind in BASE:
         if kind == "email" or digit:
             spans += [Span(kind, a, b, 1.0) for a, b in _BASE_FINDERS[kind](text)]
-    taken = sorted((s.start, s.end) for s in spans)
+    # Base spans may overlap each other: a span meets one of them if the farthest end of those that start before its end lies
+    # behind its start. Added spans never do.
+    starts = sorted(s.start for s in spans)
+    reach = list(accumulate((s.end for s in sorted(spans, key=lambda s: s.start)), max))
+    more: list[tuple[int, int]] = []
+
+    def free(start: int, end: int) -> bool:
+        k, m = bisect_left(starts, end), bisect_left(more, (end, 0))
+        return not (k and reach[k - 1] > start) and not (m and more[m - 1][1] > start)
+
     if digit:
         for kind, (_, score, words) in ADDED.items():
             for start, end in added(kind, text):
                 before = text[max(0, start - CONTEXT_CHARS) : start].lower()
                 total = score + CONTEXT_GAIN * any(w in before for w in words)
-                if total >= THRESHOLD and all(b <= start or a >= end for a, b in taken):
+                if total >= THRESHOLD and free(start, end):
                     spans.append(Span(kind, start, end, min(total, 1.0)))
-                    taken.append((start, end))
+                    insort(more, (start, end))
     kinds = [*BASE, *ADDED]
     return sorted(spans, key=lambda s: (s.start, kinds.index(s.kind)))
 
 
-def listed(spans: list[Span]) -> str:
-    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
-
-
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: _id, spans array of (kind, start, end, score), in code points, end exclusive.
 
@@ -205,14 +212,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def op10_pii(spark, sf_dir):
     """Personal data of all documents: counts and digest of the base spans, and all spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for found in batch.column(1):
-                all_spans = [Span(**s) for s in found.as_py()]
-                base = [s for s in all_spans if s.kind in BASE]
-                rows.append([*(sum(s.kind == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(all_spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2, strict=True))], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-
-    return map_arrow(spans(table(spark, sf_dir, "documents")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    listed = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    found = spans(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*BASE)))
+    of = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select(F.col("_id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

@@ -52,3 +52,10 @@ def test_query_shape(spark, tmp_path):
     assert [r["n_email"] for r in got] == [1, 1, 0, 0] and got[0]["spans"] == "email:5:11,ip:15:22" and got[2]["spans"] == ""
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert pii.op10_pii(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_many_spans_take_linear_time_and_do_not_overlap():
+    text = " ".join(f"social security number {100 + k % 500}-45-{1000 + k % 9000}, IBAN DE89370400440532013000" for k in range(4000))
+    found = pii.find(text)
+    assert sum(s.kind == "ssn" for s in found) == sum(s.kind == "iban" for s in found) == 4000
+    assert all(a.end <= b.start for a, b in zip(found, found[1:], strict=False) if b.kind not in pii.BASE)
