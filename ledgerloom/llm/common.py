@@ -237,8 +237,12 @@ def windows_hash(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(n, np.uint64)
-        for j in range(k):
-            total = (total + words[j : j + n]) * np.uint64(0xD6E8FEB86659FD93)
-        return mix(total)
+        for a in range(0, n, STEP_BYTES):
+            total = np.zeros(min(STEP_BYTES, n - a), np.uint64)
+            for j in range(k):
+                total += words[a + j : a + j + len(total)]
+                total *= np.uint64(0xD6E8FEB86659FD93)
+            out[a : a + len(total)] = mix(total)
+    return out

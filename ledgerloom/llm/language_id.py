@@ -8,6 +8,7 @@ of a bounded number a language (SAMPLE), with the language of the document as th
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ SAMPLE = 600
 PASSAGE = 256
 HIDDEN = 12
 WINDOW = 128
-#: Windows that go through the network together.
+#: Windows that go through the network together, and windows of a long text that are laid out at a time.
 BATCH = 512
+LONG = 8192
 UNKNOWN = "und"
 
 
@@ -177,25 +179,49 @@ def train(texts: list[str], langs: list[str], rounds: int = 400, batch: int = 19
 
 def pooled(net: Network, column: pa.Array) -> np.ndarray:
     """Average over the bytes of each text of the probabilities of the languages; 0 of an empty text."""
-    x, mask, rows = windows(*text_buffers(column))
+    raw, offsets = text_buffers(column)
     out = np.zeros((len(column), len(net.b)))
+    if len(column) == 1:  # a text of any length, in steps of whole windows
+        for a in range(0, len(raw), LONG * WINDOW):
+            part = raw[a : a + LONG * WINDOW]
+            out += _summed(net, part, np.array([0, len(part)]))
+    else:
+        out += _summed(net, raw, offsets)
+    return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
+
+
+def _summed(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probabilities summed over the bytes of each text."""
+    x, mask, rows = windows(raw, offsets)
+    out = np.zeros((len(offsets) - 1, len(net.b)))
     # Full windows go together, so that only the batches of short ones need the mask.
     full = mask[:, -1] > 0
     for group in (np.flatnonzero(full), np.flatnonzero(~full)):
         for k in range(0, len(group), BATCH):
             at = group[k : k + BATCH]
             np.add.at(out, rows[at], net.sums(x[at], mask[at]))
-    return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
+    return out
+
+
+def has_letter(text: pa.Scalar) -> bool:
+    """Whether a text, if there is one, holds a letter; it is decoded in steps."""
+    if not text.is_valid:
+        return False
+    raw = memoryview(text.as_buffer())
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    return any(any(map(str.isalpha, decode(raw[a : a + 65536]))) for a in range(0, len(raw), 65536))
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE, seed: int = 11) -> tuple[list[str], list[str]]:
-    """(passages, languages): about per_language documents of each language, chosen by a hash of the id, a passage of each."""
+    """(passages, languages): about per_language documents of each language, chosen by a hash of id and text, a passage of each.
+
+    Rows that repeat an id and its text are drawn once."""
     rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.groupBy("lang").count().select(F.col("lang").alias("_l"), F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1 << 30)) / float(1 << 30)
+    draw = lambda k: F.pmod(F.xxhash64("id", "text", F.lit(seed + k)), F.lit(1 << 30)) / float(1 << 30)
     start = F.floor(draw(1) * F.greatest(F.length("text") - PASSAGE + 1, F.lit(1))).cast("int") + 1
     taken = rows.join(F.broadcast(counts), F.col("lang") == F.col("_l")).filter(draw(0) < F.col("share"))
-    found = taken.select("lang", "id", F.substring("text", start, F.lit(PASSAGE)).alias("passage")).orderBy("id", "passage").collect()
+    found = taken.select("lang", "id", F.substring("text", start, F.lit(PASSAGE)).alias("passage")).distinct().orderBy("id", "passage").collect()
     return [r["passage"] for r in found], [r["lang"] for r in found]
 
 
@@ -211,7 +237,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Network] | None, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             text = batch.column(1)
-            lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in text.to_pylist()], bool)
+            lettered = np.array([has_letter(t) for t in text], bool)
             names, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
             if shared.value is not None:
                 langs, net = shared.value

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BLANK, Scratch, map_arrow, slices, spans_hash, table, text_buffers, windows_hash, word_spans
+from ledgerloom.llm import common
+from ledgerloom.llm.common import BLANK, Scratch, map_arrow, pieces, slices, span_hash, spans_hash, table, text_buffers, windows_hash, word_spans
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_letters", "n_symbol_words", "n_stop_like", "n_stutters")
@@ -58,6 +59,8 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     """BASE and MORE of each text of a column, in whole arrays; null counts as empty."""
     raw, offsets = text_buffers(column)
     n = len(offsets) - 1
+    if n == 1 and len(raw) > 2 * common.STEP_BYTES:
+        return {c: np.array([x], np.int64) for c, x in _long_counts(raw).items()}
     starts, ends, rows = word_spans(raw, offsets)
     chars = np.concatenate([[0], np.cumsum(_HEAD[raw], dtype=np.int64)])
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL[raw], dtype=np.int64)])
@@ -92,6 +95,66 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     return {c: x.astype(np.int64) for c, x in out.items()}
 
 
+def _long_counts(raw: np.ndarray) -> dict[str, int]:
+    """What counts() gives of one long text, in steps; a hash a word and a hash a window is what it holds of the whole."""
+    step = common.STEP_BYTES
+    out = dict.fromkeys((*BASE, *MORE), 0)
+    hashes = []
+
+    def total(flags: np.ndarray, part: np.ndarray) -> int:
+        return sum(int(flags[part[a : a + step]].sum()) for a in range(0, len(part), step))
+
+    for a, b in pieces(raw, step):
+        part = raw[a:b]
+        out["n_symbols"] += (symbols := total(_SYMBOL, part))
+        out["n_upper"] += total(_UPPER, part)
+        out["n_letters"] += total(_UPPER | _LOWER | _HIGH, part)
+        if b - a > 2 * step:  # one word, with the blank after it or without
+            part = part[: b - a - int(BLANK[part[-1]])]
+            length, marked, hashed = np.array([total(_HEAD, part)]), np.array([symbols > 0]), span_hash(part, step)
+        else:
+            starts, ends, _ = word_spans(part, np.array([0, b - a]))
+            chars = np.concatenate([[0], np.cumsum(_HEAD[part], dtype=np.int64)])
+            marks = np.concatenate([[0], np.cumsum(_SYMBOL[part], dtype=np.int64)])
+            length, marked, hashed = chars[ends] - chars[starts], marks[ends] > marks[starts], spans_hash(part, starts, ends)
+        out["n_words"] += len(length)
+        out["word_chars"] += int(length.sum())
+        out["n_symbol_words"] += int(marked.sum())
+        out["n_stop_like"] += int((length <= 3).sum())
+        hashes.append(hashed)
+    words = np.concatenate(hashes)
+    del hashes
+    out["n_stutters"] = int((words[1:] == words[:-1]).sum())
+    found = windows_hash(words, REPEAT_WINDOW)
+    del words
+    twice = np.sort(found)
+    twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+    covered = np.zeros(out["n_words"], bool)
+    for a in range(0, len(found), step):
+        some = found[a : a + step]
+        at = np.minimum(np.searchsorted(twice, some), max(0, len(twice) - 1))
+        seen = twice[at] == some if len(twice) else np.zeros(len(some), bool)
+        for k in range(REPEAT_WINDOW):
+            covered[a + k : a + k + len(some)] |= seen
+    out["n_repeat_words"] = int(covered.sum())
+
+    lines = []
+    for a, b in pieces(raw, step, _NEWLINE):
+        part = raw[a:b]
+        if b - a > 2 * step:  # one line
+            part = part[: b - a - int(_NEWLINE[part[-1]])]
+            if total(~BLANK, part):
+                lines.append(span_hash(part, step))
+            continue
+        starts, _, _ = word_spans(part, np.array([0, b - a]))
+        froms, tos, _ = word_spans(part, np.array([0, b - a]), _NEWLINE)
+        worded = np.searchsorted(starts, tos) > np.searchsorted(starts, froms)
+        lines.append(spans_hash(part, froms[worded], tos[worded]))
+    every = np.concatenate(lines) if lines else np.zeros(0, np.uint64)
+    out["n_lines"], out["n_dup_lines"] = len(every), len(every) - len(np.unique(every))
+    return out
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row a document: _id and BASE and MORE counts; a narrow map over whole texts.
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import quality
+from ledgerloom.llm import common, quality
 
 
 def brute(text):
@@ -70,3 +70,13 @@ def test_keep_has_the_same_rows_and_all_columns(rows, spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["_id"] or -1 for r in quality.judge(rows).filter("kept").collect())
     none = spark.createDataFrame([], SCHEMA)
     assert quality.keep(none).collect() == [] and quality.judge(none).collect() == []
+
+
+def test_long_texts_are_counted_alike_in_steps(monkeypatch):
+    rng = random.Random(7)
+    texts = ["\n".join(" ".join(rng.choice(["a", "bb", "c#", "THE", "Élan", "word"]) for _ in range(rng.randint(0, 12))) for _ in range(60)) for _ in range(8)]
+    texts += ["x" * 900 + " y", "\n".join(["q " * 20] * 50), "z" * 700, "line\n" * 80, " " * 300 + "#" * 300]
+    want = quality.counts(pa.array(texts))
+    monkeypatch.setattr(common, "STEP_BYTES", 64)
+    for k, text in enumerate(texts):
+        assert {c: x[0] for c, x in quality.counts(pa.array([text])).items()} == {c: x[k] for c, x in want.items()}
