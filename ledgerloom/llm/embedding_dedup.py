@@ -41,7 +41,7 @@ def plan_tables(n: int, min_cosine: float = MIN_COSINE, recall: float = RECALL)
 
 
 def signatures(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """(id, label, copies, embedding) to (id, label, copies, dim, vec, sig): vec as bytes of doubles, sig the keys of all tables."""
+    """(id, label, copies, embedding) to (id, label, copies, dim, vec, sig): vec as bytes of doubles, scaled so that the largest component is 1 or -1; sig the keys of all tables."""
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
     planes: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -49,6 +49,8 @@ def signatures(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Ite
         lengths = np.diff(column.offsets.to_numpy())
         flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float)
         at = np.concatenate([[0], np.cumsum(lengths)])
+        if len(flat):  # so that products neither over- nor underflow
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), at[:-1]), lengths)
         keys = np.zeros((len(lengths), tables), np.int64)
         for dim in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == dim)
@@ -67,7 +69,7 @@ def compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, sigs: np.ndarray
     side is 0 for the rows of the first block and 1 for those of the second; of two different blocks only pairs across count.
     """
     norm = np.sqrt((x * x).sum(1))
-    linked = x @ x.T >= min_cosine * (norm[:, None] * norm)
+    linked = x @ x.T >= min_cosine * (norm[:, None] * norm)  # x is scaled, so norms lie between 1 and the root of its length
     if side.any():
         linked &= side[:, None] != side
     np.fill_diagonal(linked, False)

@@ -146,6 +146,13 @@ def test_vectors(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_any_scale(spark):
+    """Products of tiny and of huge components neither link what is orthogonal nor part what is parallel."""
+    rows = [(1, [1e-200, 0.0], 1), (2, [0.0, 1e-200], 1), (3, [1e200, 0.0], 1), (4, [0.0, 1e200], 1), (5, [2e-200, 1e-203], 1), (6, [5e-324, 0.0], 1)]
+    got = {r["_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 3: (3, 1), 5: (3, 1), 6: (3, 1), 2: (1, 2), 4: (1, 2)}
+
+
 def test_tables_reach_the_recall():
     for n in (10, 10**4, 10**8, 10**11):
         bits, tables = embedding_dedup.plan_tables(n)
