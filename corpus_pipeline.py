@@ -16,11 +16,6 @@ from ledgerloom.llm.common import Scratch, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _by_id(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs with the columns of verdicts (_id, ...), of which there is one row an id."""
-    return docs.join(verdicts, docs["doc_id"] == verdicts["_id"]).drop("_id")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep(docs).select(*COLUMNS)
@@ -34,15 +29,23 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id."""
-    kept = ngram_join.components(docs).filter(F.col("_id") == F.col("component_id")).select("_id").distinct()
-    return _by_id(docs, kept).select(*COLUMNS)
+    """Of each group of near duplicates the row of least id, of rows that repeat an id one, and one without an id only if none has one.
+
+    Rows are numbered in a table first, so that a row is told from another of its id."""
+    numbered = Scratch(spark, "near").keep(docs.select("*", F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = ngram_join.components(numbered, "_row").select("_id", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
+    ids = found.join(numbered.select("_row", "doc_id"), F.col("_id") == F.col("_row")).select("component_id", order.alias("o"))
+    first = ids.groupBy("component_id").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = ids.join(first, "component_id").filter("o._row != first._row").select(F.col("o._row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    rounds = mixing.queue(docs).groupBy("_id").agg(F.max("rounds").alias("rounds")).filter("rounds > 0")
-    return _by_id(docs, rounds).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("rounds")))).select(*COLUMNS)
+    """Documents as often as the mix takes them; rows of one id and source are taken together."""
+    rounds = mixing.queue(docs).filter("rounds > 0").groupBy(F.col("_id"), F.col("source").alias("_source")).agg(F.max("rounds").alias("_rounds"))
+    found = docs.join(rounds, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
+    return found.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_rounds")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
