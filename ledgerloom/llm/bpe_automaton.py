@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.common import map_arrow, slices, table
 
 #: Words, and states of the table, that a task remembers before it gives the memory back.
-CACHE = 300_000
+CACHE = 100_000
 #: Characters of a text that are encoded at a time; a longer text is cut at spaces.
 PART = 1 << 20
 
@@ -81,9 +81,9 @@ class Automaton:
                 return True
 
     def _start(self) -> None:
-        """An empty table: of each state its row by symbol, by last symbol, the token that ends there, and what it stands for."""
+        """An empty table: of each state its row by symbol, the token that ends there, and what it stands for; tokens by state and last symbol."""
         self.rows: list[dict[str, int]] = [{}]
-        self.ends: list[dict[str, int]] = [{}]
+        self.ends: dict[tuple[int, str], int] = {}
         self.token = [-1]
         self.means: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
         self.states = {self.means[0]: 0}
@@ -108,7 +108,6 @@ class Automaton:
         if found is None:
             found = self.states[means] = len(self.rows)
             self.rows.append({})
-            self.ends.append({})
             self.token.append(token)
             self.means.append(means)
         self.rows[state][symbol] = found
@@ -118,7 +117,7 @@ class Automaton:
         """Token ids of a word, a character a base symbol."""
         if not text:
             return []
-        if len(self.rows) > CACHE:
+        if len(self.rows) > CACHE or len(self.ends) > 2 * CACHE:
             self._start()
         rows, state, passed = self.rows, 0, []
         for symbol in text[:-1]:
@@ -127,9 +126,9 @@ class Automaton:
             except KeyError:
                 state = self._compile(state, symbol)
             passed.append(state)
-        last = self.ends[state].get(text[-1])
+        last = self.ends.get((state, text[-1]))
         if last is None:
-            last = self.ends[state][text[-1]] = self._next(state, text[-1] + self.suffix)[1]
+            last = self.ends[state, text[-1]] = self._next(state, text[-1] + self.suffix)[1]
         length, token, out = self.length, self.token, [last]
         at = len(text) - length[last]
         while at:
