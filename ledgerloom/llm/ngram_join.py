@@ -21,8 +21,8 @@ leave little of it to be formed:
    end is a link. A block gives a spanning forest of its links, so a group of near copies costs a row each, not its pairs.
 4. Components are formed, and rows are set against heads of other components, as long as that joins many.
 5. Only then are the pairs of each column formed, across components and within a band of sizes, a block of a column
-   against a block of it where columns are long; they go through the product like the rest, and components are formed
-   for good.
+   against a block of it where columns are long: first one for every two components, then all of those that this does
+   not join. They go through the product like the rest, and components are formed for good.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ PAIRS_HELD = 500_000
 #: Neighbours in size order that an entry of a column is tried against.
 NEAR = 8
 #: Rounds of joining components at most, and the share of multiplied pairs that must link for one more.
-ROUNDS = 3
-WORTH = 0.3
+ROUNDS = 4
+WORTH = 0.05
 #: Bits of the filter that keeps rows nobody asks for from being written; fixed as well.
 FILTER_BITS = 24
 
@@ -414,10 +414,10 @@ def multiplied(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 # --- pairs across components ----------------------------------------------------------------------
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (list, band, first, second) to the pairs (hub, member, hub_size) across components that the bounds leave.
+def _across(batches: Iterator[pa.RecordBatch], percent: int, one: bool) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by (list, band, first, second) to the pairs (hub, member, hub_size, lo, hi) across components that the bounds leave.
 
-    own is 1 for entries of the band itself; pairs of others meet under their own band."""
+    lo and hi are the components; with one, a step gives one pair for every two components. own is 1 for entries of the band itself; pairs of others meet under their own band."""
 
     def done(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole groups, all at once: in order of (group, size) the partners of a row are those next to it."""
@@ -438,8 +438,10 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             ok = np.minimum(size[a] - place[a], size[b] - place[b]) >= -(-percent * (size[a] + size[b]) // (100 + percent))
             a, b = a[ok], b[ok]
             a, b = np.where(id_[a] < id_[b], a, b), np.where(id_[a] < id_[b], b, a)
-            pairs = np.unique(np.stack([id_[a], id_[b], size[a]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], ["hub", "member", "hub_size"])
+            both = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], 1)
+            _, at = np.unique(both if one else np.stack([id_[a], id_[b]], 1), axis=0, return_index=True)
+            a, b, both = a[at], b[at], both[at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (id_[a], id_[b], size[a], both[:, 0].copy(), both[:, 1].copy())], ["hub", "member", "hub_size", "lo", "hi"])
 
     left = np.zeros((10, 0), np.int64)
     for batch in batches:
@@ -453,8 +455,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield from done(left)
 
 
-def across(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, member, hub_size) of different components that share a column and that the bounds leave.
+def across(labelled: DataFrame, percent: int, one: bool) -> DataFrame:
+    """Pairs (hub, member, hub_size) of different components that share a column and that the bounds leave; with one, a pair for
+    every two components.
 
     Sizes fall into bands wider than what can link, so a row meets those of its band and of the next one only."""
     band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent + 0.01)).cast("int")
@@ -465,11 +468,14 @@ def across(labelled: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.select(*key, F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), "comp", "size", "place", "rep", (F.col("mine") > F.col("other")).cast("int").alias("side"), "own")
     group = [*key, "first", "second"]
-    return map_arrow(rows.repartition(*group).sortWithinPartitions(*group), lambda b: _across(b, percent), "hub long, member long, hub_size long").distinct()
+    found = map_arrow(rows.repartition(*group).sortWithinPartitions(*group), lambda b: _across(b, percent, one), "hub long, member long, hub_size long, lo long, hi long")
+    if one:
+        return found.groupBy("lo", "hi").agg(F.min(F.struct("hub", "member", "hub_size")).alias("p")).select("p.*")
+    return found.select("hub", "member", "hub_size").distinct()
 
 
-def _best(labelled: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """A pair (hub, member, hub_size) for each component: where it shares most columns with a first row of another component.
+def _best(labelled: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """A pair (hub, member, hub_size) for each row: with the first row of another component that it shares most columns with.
 
     The first rows of a column are those of its least and its greatest component, so there is a row an entry, not a pair.
     """
@@ -478,9 +484,11 @@ def _best(labelled: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     rows = labelled.join(heads, "list").withColumn("h", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")))
     fits = percent * F.greatest("size", F.col("h.size")) <= 100 * F.least("size", F.col("h.size"))
     hub_size = F.when(F.col("rep") < F.col("h.rep"), F.col("size")).otherwise(F.col("h.size")).cast("long")
-    rows = rows.filter(fits).select("comp", F.least("rep", F.col("h.rep")).alias("hub"), F.greatest("rep", F.col("h.rep")).alias("member"), hub_size.alias("hub_size"))
-    counts = rows.groupBy("comp", "hub", "member", "hub_size").count().join(tried, ["hub", "member"], "left_anti")
-    best = counts.groupBy("comp").agg(F.max(F.struct("count", "hub", "member", "hub_size")).alias("b"))
+    rows = rows.filter(fits).select(F.col("rep").alias("row"), F.least("rep", F.col("h.rep")).alias("hub"), F.greatest("rep", F.col("h.rep")).alias("member"), hub_size.alias("hub_size"))
+    counts = rows.groupBy("row", "hub", "member", "hub_size").count()
+    if tried is not None:
+        counts = counts.join(tried, ["hub", "member"], "left_anti")
+    best = counts.groupBy("row").agg(F.max(F.struct("count", "hub", "member", "hub_size")).alias("b"))
     return best.select("b.hub", "b.member", "b.hub_size").distinct()
 
 
@@ -515,30 +523,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = entries.groupBy("rep", "head").count().join(classes.select(F.col("d1").alias("head"), F.col("rep").alias("other"), "hub_size"), "head").filter("rep != other")
     best = counts.groupBy("rep").agg(F.max(F.struct("count", "other", "hub_size")).alias("b"))
     first = best.select(F.col("b.other").alias("hub"), F.col("rep").alias("member"), "b.hub_size")
-    links, near, tried, n_links = [], None, None, 0
-    for k in range(ROUNDS):
-        pairs = scratch.keep(first if k == 0 else _best(_labelled(entries, near), tried, percent), "pairs", n_sets)
-        both = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
-        tried = both if tried is None else tried.unionByName(both)
-        n_pairs = pairs.count()
-        if not n_pairs:
-            break
+    near, tried, n_links = None, None, 0
+
+    def joined(candidates: DataFrame) -> tuple[int, int]:
+        """Multiply pairs and join what links; how many pairs and links there were."""
+        nonlocal near, tried, n_links
+        pairs = scratch.keep(candidates, "pairs")
+        if not (n_pairs := pairs.count()):
+            return 0, 0
+        ordered = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
+        tried = ordered if tried is None else tried.unionByName(ordered)
         new = scratch.keep(multiplied(rows, pairs, percent), "links")
-        links.append(new)
-        n_new = new.count()
-        n_links += n_new
+        n_links += (n_new := new.count())
         if n_new:
             near = _joined(near, new, n_links, scratch)
-        if n_new < WORTH * n_pairs:
-            break
+        return n_pairs, n_new
 
-    # Columns with rows of several components are left.
-    pairs = scratch.keep(across(_labelled(entries, near), percent).join(tried, ["hub", "member"], "left_anti") if tried is not None else across(_labelled(entries, near), percent), "pairs")
-    if pairs.take(1):
-        new = scratch.keep(multiplied(rows, pairs, percent), "links")
-        n_new = new.count()
-        if n_new:
-            near = _joined(near, new, n_links + n_new, scratch)
+    for k in range(ROUNDS):
+        n_pairs, n_new = joined(first if k == 0 else _best(_labelled(entries, near), tried, percent))
+        if n_new <= WORTH * n_pairs:
+            break
+    # Columns with rows of several components are left: one pair of every two components, then all that still are two.
+    for one in (True, False):
+        left = across(_labelled(entries, near), percent, one)
+        joined(left if tried is None else left.join(tried, ["hub", "member"], "left_anti"))
 
     known = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep")
     if near is None:
