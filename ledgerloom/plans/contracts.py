@@ -220,7 +220,11 @@ def tolerant_number(spark, sf):
     return rows.select("raw", T.tolerant_number(F.col("raw")).alias("value"))
 
 
-_ACTS = [("Industrial Disputes Act", "labor_law"), ("Indian Contract Act", "contract_law"), ("Copyright Act", "intellectual_property"), ("Lighthouse Act", "general_contract_law")]
+_ACTS = [
+    ("Industrial Disputes Act", "labor_law"), ("Code on Wages", "labor_law"), ("Indian Contract Act", "general_contract_law"), ("Copyright Act", "intellectual_property"),
+    ("Digital Personal Data Protection Act", "data_privacy"), ("IT Rules 2021", "data_privacy"), ("Transfer of Property Act", "real_estate_law"), ("Consumer Protection Act", "consumer_protection"),
+    ("Specific Relief Act", "dispute_resolution"), ("Labour Code", "general_contract_law"), ("Lighthouse Act", "general_contract_law"),
+]
 
 
 @query(values(_ACTS, "act VARCHAR, domain VARCHAR"))
@@ -229,6 +233,54 @@ def act_domain(spark, sf):
     return rows.select("act", readers.domain_of(F.col("act")).alias("domain"))
 
 
+_CLASSES = [
+    ("The employee shall not compete and the court decides.", "non_compete"),
+    ("No solicitation of clients during litigation.", "non_solicitation"),
+    ("Every invention under a patent.", "intellectual_property"),
+    ("Proprietary notes stay secret.", "confidentiality"),
+    ("A dispute on personal info.", "dispute_resolution"),
+    ("Privacy ends on breach.", "privacy_data"),
+    ("Either side may terminate and hold harmless.", "termination"),
+    ("The vendor shall indemnify against a pandemic.", "indemnification"),
+    ("An act of God excuses payment.", "force_majeure"),
+    ("We may withhold what we amend.", "compensation"),
+    ("They may modify it.", "amendment"),
+    ("Nothing of note here.", "other"),
+]
+
+
+@query(values(_CLASSES, "clause VARCHAR, class VARCHAR"))
+def clause_classes(spark, sf):
+    """The offline classes of clauses written down one by one; in each text words of a later class stand too."""
+    from ledgerloom.operators import lexicon
+
+    rows = spark.createDataFrame([(c,) for c, _ in _CLASSES], "clause string")
+    return rows.select("clause", lexicon.classify(F.col("clause"), lexicon.CLAUSE_CASCADE).alias("class"))
+
+
+_OFFLINE = [
+    ("Salary may be deferred to 2030.", "other", "wage_deferral", "high", 2),
+    ("Round the clock, 24/7, with training.", "other", "availability_waiver", "high", 2),
+    ("A bond of two years.", "non_compete", "training_bond", "high", 2),
+    ("Work of a weekend is ours.", "ip_ownership", "ip_life_capture", "high", 2),
+    ("Work of a weekend is ours.", "other", None, "low", 0),
+    ("Liquidated sums fall due.", "privacy_data", "liquidated_penalty", "high", 2),
+    ("No rival work.", "non_compete", None, "high", 2),
+    ("One judge.", "dispute_resolution", None, "medium", 1),
+    ("Secrets.", "confidentiality", None, "low", 0),
+    ("We share records.", "privacy_data", None, "high", 1),
+]
+
+
+@query(values(_OFFLINE, "clause VARCHAR, kind VARCHAR, flag VARCHAR, compliance VARCHAR, n_issues INT"))
+def offline_literals(spark, sf):
+    """What the offline stand-in says of clauses written down one by one."""
+    from ledgerloom.operators.enrich import offline_advice
+
+    rows = spark.createDataFrame([o[:2] for o in _OFFLINE], "clause string, kind string").withColumn("a", offline_advice(F.col("clause"), F.col("kind")))
+    return rows.select("clause", "kind", "a.flag", "a.compliance", F.size("a.issues").alias("n_issues"))
+
+
 _SUMMARIES = [("Short text.", "Short text."), ("First sentence here. " * 13, ("First sentence here. " * 13)[:250].rsplit(".", 1)[0] + "."), ("x" * 300, "x" * 250 + "...")]
 
 
@@ -258,12 +310,21 @@ def json_recovery(spark, sf):
     return rows.select("raw", parse_json(F.col("raw"), "a int")["a"].cast("string").alias("a"))
 
 
-_TERMS = [(1, "Losses", "any and all losses"), (1, "Fee", "the amount paid")]
+_TERMS = [(1, "Loss", "direct, indirect and other harm"), (1, "Fee", "the amount paid"), (1, "Work Product", "what the consultant or a spouse makes"), (1, "Restricted Period", "12 months"), (3, "Term", "5 years from signing"), (3, "It", "unlimited losses")]
+_USES = [
+    (1, 0, "Pay all Loss.", 8, "high"),
+    (1, 1, "Pay the Fee.", 3, "low"),
+    (1, 2, "The Work Product and any Loss are ours.", 9, "critical"),
+    (1, 3, "In the Restricted Period no rival work.", 3, "low"),
+    (1, 4, "This Agreement is entered into for any Loss.", 3, "low"),
+    (2, 0, "Pay all Loss.", 3, "low"),
+    (3, 0, "During the Term it stands.", 8, "high"),
+]
 
 
-@query(values([(1, 0, 9, "critical"), (1, 1, 3, "low"), (2, 0, 3, "low")], "contract_id BIGINT, segment_index INT, risk_score INT, risk_level VARCHAR"))
+@query(values([(c, k, n, v) for c, k, _, n, v in _USES], "contract_id BIGINT, segment_index INT, risk_score INT, risk_level VARCHAR"))
 def defined_terms(spark, sf):
-    rows = spark.createDataFrame([(1, 0, "Pay all Losses."), (1, 1, "Pay the Fee."), (2, 0, "Pay all Losses.")], "contract_id long, segment_index int, raw_text string")
+    rows = spark.createDataFrame([u[:3] for u in _USES], "contract_id long, segment_index int, raw_text string")
     rows = rows.withColumns({"risk_score": F.lit(3), "risk_level": F.lit("low"), "risk_reasons": F.array().cast("array<string>")})
     terms = spark.createDataFrame(_TERMS, "contract_id long, term string, definition string")
     return scoring.defined_terms(rows, terms, ["contract_id", "segment_index"]).select("contract_id", "segment_index", "risk_score", "risk_level")

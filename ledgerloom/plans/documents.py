@@ -225,10 +225,12 @@ def prompt_chunks(spark, sf):
     return rows.select("doc_id", "chunk_no", F.md5("part").alias("digest"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)sole discretion') THEN 'review' WHEN regexp_matches(text, '(?i)without (?:prior )?notice') THEN 'review' WHEN regexp_matches(text, '(?i)indemnif') THEN 'review'
-WHEN regexp_matches(text, '(?i)non-?compet') OR regexp_matches(text, '(?i)forfeit') THEN 'high' ELSE 'low' END AS compliance FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'defer|withhold|deduct|negative margin|reserve') THEN 'wage_deferral'
+WHEN regexp_matches(lower(text), '24/7|availability|latency|weekly working hours|45-minute|45 minute|shops') THEN 'availability_waiver'
+WHEN regexp_matches(lower(text), 'training|repay|bond|administrative fee|compounding interest|36 months|[$]450') THEN 'training_bond'
+WHEN regexp_matches(lower(text), '200%|liquidated|ex-parte|injunct|without proving|compensation penalty|penalty clause') THEN 'liquidated_penalty' END AS flag FROM documents""")
 def offline_advice(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", enrich.offline_advice(F.col("text"))["compliance"].alias("compliance"))
+    return table(spark, sf, "documents").select("doc_id", enrich.offline_advice(F.col("text"), F.lit("other"))["flag"].alias("flag"))
 
 
 def _provider(frame):

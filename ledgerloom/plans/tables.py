@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import money, overlap_of_sets, resolve_jurisdiction, word_set
+from ledgerloom.functions.text import money, resolve_jurisdiction
 from ledgerloom.operators import citations, enrich, retrieval, scoring, summaries
 from ledgerloom.plans.registry import query, values
 from ledgerloom.session import table
@@ -57,16 +57,16 @@ def pairwise_conflict(spark, sf):
     return a.join(b, on & far).groupBy("a.l_orderkey").agg(F.min(F.col("a.l_linenumber") * 100 + F.col("b.l_linenumber")).alias("pair"))
 
 
-@query("""WITH named AS (SELECT c_custkey % 40 AS contract_id, n_name AS place, r_name AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 7 = 0
-UNION SELECT c_custkey % 40, r_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 11 = 0),
+@query("""WITH named AS (SELECT c_custkey % 40 AS contract_id, n_name AS place, r_name AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0
+UNION SELECT c_custkey % 40, r_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0),
 left_over AS (SELECT * FROM named n WHERE NOT EXISTS (SELECT 1 FROM named m WHERE m.contract_id = n.contract_id AND m.parent = n.place))
 SELECT contract_id, count(DISTINCT place) AS places FROM left_over GROUP BY 1 HAVING count(DISTINCT place) >= 2""")
 def jurisdiction_closure(spark, sf):
     """Places named by a contract that do not lie above another that it names."""
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     rows = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("contract_id", F.col("c_custkey") % 40)
-    named = rows.filter("c_custkey % 7 = 0").select("contract_id", F.col("n_name").alias("place"), F.col("r_name").alias("parent"))
-    named = named.unionByName(rows.filter("c_custkey % 11 = 0").select("contract_id", F.col("r_name").alias("place"), F.lit(None).cast("string").alias("parent"))).distinct()
+    named = rows.filter("c_acctbal >= 0").select("contract_id", F.col("n_name").alias("place"), F.col("r_name").alias("parent"))
+    named = named.unionByName(rows.filter("c_acctbal < 0").select("contract_id", F.col("r_name").alias("place"), F.lit(None).cast("string").alias("parent"))).distinct()
     above = named.filter("parent IS NOT NULL").select("contract_id", F.col("parent").alias("place")).distinct()
     return named.join(above, ["contract_id", "place"], "left_anti").groupBy("contract_id").agg(F.count_distinct("place").alias("places")).filter("places >= 2")
 
@@ -328,15 +328,17 @@ def knn_filtered(spark, sf):
     return retrieval.knn_filtered(q, c, "q_id", "qv", "c_id", "cv", pre, F.col("c_id") % 3 != 0, min_score=0.1).select("q_id", "c_id", "rank", "confidence")
 
 
-@query(_PAIRS + "SELECT q_id, arg_max(c_id, (score, -c_id)) AS c_id, CASE WHEN max(score) >= 0.5 THEN 'hit' WHEN max(score) >= 0.3 THEN 'ask' ELSE 'none' END AS zone FROM s WHERE c_id % 17 = 1 GROUP BY 1")
+@query(_PAIRS + "SELECT q_id, arg_max(c_id, (score, -c_id)) AS c_id, CASE WHEN max(score) >= 0.5 THEN 'hit' WHEN max(score) >= 0.3 THEN 'ask' ELSE 'none' END AS zone FROM s WHERE label = q_label AND c_id <> q_id GROUP BY 1")
 def argmax_zone(spark, sf):
+    """The nearest of all other vectors of the query's label."""
     q, c = _vectors(spark, sf)
-    return retrieval.zone_route(q, c.filter("c_id % 17 = 1"), "q_id", "qv", "c_id", "cv", 0.5, 0.3).select("q_id", "c_id", "zone")
+    mine = (F.col("label") == F.col("q_label")) & (F.col("c_id") != F.col("q_id"))
+    return retrieval.zone_route(q, c, "q_id", "qv", "c_id", "cv", 0.5, 0.3, mine).select("q_id", "c_id", "zone")
 
 
 @query(_PAIRS + "SELECT q_id, arg_max(c_id, (score, -c_id)) AS c_id, CASE WHEN max(score) >= 0.5 THEN 'hit' WHEN max(score) >= 0.3 THEN 'ask' ELSE 'none' END AS zone FROM s WHERE c_id <> q_id GROUP BY 1")
 def argmax_zone_all(spark, sf):
-    """The nearest of all vectors but the query itself; argmax_zone searches one class of ids only."""
+    """The nearest of all vectors but the query itself, whatever its label."""
     q, c = _vectors(spark, sf)
     return retrieval.zone_route(q, c, "q_id", "qv", "c_id", "cv", 0.5, 0.3, F.col("c_id") != F.col("q_id")).select("q_id", "c_id", "zone")
 
@@ -372,21 +374,20 @@ def graph_hop(spark, sf):
     return found.select("q_id", "c_id", "rank", F.when(F.col("dependencies").isNull(), 0).otherwise(n("dependencies")).cast("long").alias("n_out"), F.when(F.col("precedents").isNull(), 0).otherwise(n("precedents")).cast("long").alias("n_in"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substring(text, 1, 300)), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS a FROM documents WHERE doc_id % 20 = 0),
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS a FROM documents WHERE doc_id % 50 = 0),
 b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substring(text, 1, 2000)), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS b FROM benchmark)
 SELECT doc_id, item_id, CAST(CASE WHEN len(a) > 0 AND len(b) > 0 THEN floor(100.0 * len(list_intersect(a, b)) / len(a) + 0.5) ELSE 0 END AS INT) AS overlap FROM w, b""")
 def citation_overlap(spark, sf):
-    """Claims (every twentieth document, a stated set) against all reference texts; the reference table is small."""
-    claims = table(spark, sf, "documents").filter("doc_id % 20 = 0").select("doc_id", word_set(F.substring("text", 1, 300)).alias("a"))
-    refs = table(spark, sf, "benchmark").select("item_id", word_set(F.substring("text", 1, 2000)).alias("b"))
-    return claims.join(refs, F.lit(True)).select("doc_id", "item_id", overlap_of_sets(F.col("a"), F.col("b")).alias("overlap"))
+    """Claims, whole (documents whose id is divisible by 50, the query set), against all reference texts."""
+    claims = table(spark, sf, "documents").filter("doc_id % 50 = 0")
+    return citations.overlaps(claims, table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS a FROM documents),
 b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substring(text, 1, 2000)), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2)) AS b FROM benchmark)
 SELECT doc_id, item_id, CAST(CASE WHEN len(a) > 0 AND len(b) > 0 THEN floor(100.0 * len(list_intersect(a, b)) / len(a) + 0.5) ELSE 0 END AS INT) AS overlap FROM w, b""")
 def citation_overlap_all(spark, sf):
-    """Claims, whole (every document), against all reference texts; citation_overlap has a part of this only."""
+    """Claims, whole (every document), against all reference texts."""
     return citations.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
 
 

@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import collapse, first_match, html_text
 
 MAX_UPLOAD = 10 * 1024 * 1024
-#: Subject of an act by words of its name, in order. Fixed values.
+#: Subject of an act by words that its name contains, in order; general_contract_law otherwise. Fixed values.
 DOMAINS = (
-    ("labor_law", "labour|labor|wage|employee|provident|gratuity|industrial disputes"),
-    ("data_protection", "data protection|information technology"),
-    ("tax_law", "tax|customs|excise"),
-    ("property_law", "property|rent|tenancy|real estate"),
-    ("intellectual_property", "copyright|patent|trade marks|trademark"),
-    ("consumer_law", "consumer"),
-    ("company_law", "companies|company|insolvency|partnership"),
-    ("dispute_resolution", "arbitration|mediation|evidence|procedure"),
-    ("contract_law", "contract|sale of goods|specific relief"),
+    ("labor_law", "wages|industrial disputes|industrial relations|maternity benefit|sexual harassment|epfscheme"),
+    ("data_privacy", "digital personal data|intermediary guidelines|it rules|it act|cert-in|telecommunications"),
+    ("intellectual_property", "copyright|trade marks|patents|spacepolicy"),
+    ("real_estate_law", "real estate|transfer of property|transferofproperty"),
+    ("consumer_protection", "consumer protection"),
+    ("dispute_resolution", "specific relief|dispute"),
 )
 
 

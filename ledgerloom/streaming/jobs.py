@@ -81,12 +81,20 @@ def retained(metrics: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return metrics.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
+#: Patterns of repealed acts that one sweep takes.
+MOST_PATTERNS = 1000
+
+
 def repeal_sweep(statutes: DataFrame, repealed: DataFrame) -> DataFrame:
-    """Statutes with is_repealed and repealed_by set where an act's name matches (pattern, repealed_by); few patterns."""
-    hit = statutes.join(F.broadcast(repealed), F.regexp_like(statutes["act_name"], F.concat(F.lit("(?i)"), "pattern")), "left")
-    first = hit.groupBy("act_name", "section_number").agg(F.min(repealed["repealed_by"]).alias("_by"))
-    rows = statutes.join(first, ["act_name", "section_number"])
-    return rows.withColumns({"is_repealed": F.col("_by").isNotNull() | F.coalesce("is_repealed", F.lit(False)), "repealed_by": F.coalesce("_by", "repealed_by")}).drop("_by")
+    """Statutes with is_repealed and repealed_by set where an act's name matches (pattern, repealed_by), the least of several.
+
+    One pass over the statutes, which may have nulls in any column; the patterns are a short list, whose length is checked."""
+    found = [r for r in repealed.select("pattern", "repealed_by").limit(MOST_PATTERNS + 1).collect() if r["pattern"] is not None]
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    by = [F.when(F.col("act_name").rlike("(?i)" + r["pattern"]), F.lit(r["repealed_by"])).cast("string") for r in found]
+    first = F.array_min(F.array(*by)) if by else F.lit(None).cast("string")
+    return statutes.withColumn("_by", first).withColumns({"is_repealed": F.col("_by").isNotNull() | F.coalesce("is_repealed", F.lit(False)), "repealed_by": F.coalesce("_by", "repealed_by")}).drop("_by")
 
 
 def reset_quotas(users: DataFrame, now: Column, days: int = 30) -> DataFrame:
