@@ -65,7 +65,7 @@ def test_one_row_of_each_group_stays(spark):
     """Rows that repeat an id, rows without one, and near copies of them."""
     text, other = " ".join(f"word{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
     near = text + " more"
-    rows = [(5, text, "en", "a", 1), (3, near, "en", "b", 1), (3, near, "en", "b", 1), (None, text, "en", "a", 1), (None, other, "en", None, 1), (None, other, "en", None, 1)]
+    rows = [(5, text, "en", "a", 1), (3, near, "en", "a", 1), (3, near, "en", "a", 1), (None, text, "en", "a", 1), (None, other, "en", "a", 1), (None, other, "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[4]], key=repr)
