@@ -160,6 +160,11 @@ class Codec:
         #: Ids of each piece between spaces.
         self.cache: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Give back what was remembered of the words so far; the automaton stays."""
+        self.cache = {}
+        self.automaton._start()
+
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined by a space, as the vocabulary file names no decoder."""
         return " ".join(map(self.automaton.label.__getitem__, ids))
@@ -245,9 +250,12 @@ def _map(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, ddl: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab_path)
-        for batch in slices(batches, "_text"):
-            found = [row(own.encoded(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names)
+        try:
+            for batch in slices(batches, "_text"):
+                found = [row(own.encoded(t)) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names)
+        finally:
+            own.forget()  # workers outlive their tasks
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, {ddl}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -85,6 +86,14 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = "4m"
 
 
+def give_back() -> None:
+    """Return what a task freed to the machine: its worker waits for other tasks and would hold it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
     """df.mapInArrow(run, ddl) in batches of BATCH_BYTES, unless the session has set a size of its own.
 
@@ -92,7 +101,14 @@ def map_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(_BATCH_BYTES, None) in (None, "64m", "64MB", "67108864", "67108864b"):
         conf.set(_BATCH_BYTES, BATCH_BYTES)
-    return df.mapInArrow(run, ddl)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, ddl)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
