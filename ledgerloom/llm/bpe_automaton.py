@@ -21,7 +21,6 @@ those of the vocabulary file.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -160,11 +159,6 @@ class Codec:
         #: Ids of each piece between spaces.
         self.cache: dict[str, list[int]] = {}
 
-    def forget(self) -> None:
-        """Give back what was remembered of the words so far; the automaton stays."""
-        self.cache = {}
-        self.automaton._start()
-
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined by a space, as the vocabulary file names no decoder."""
         return " ".join(map(self.automaton.label.__getitem__, ids))
@@ -212,11 +206,6 @@ class Codec:
             at = to
 
 
-@functools.lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: _id, ids array<long>, decoded text.
 
@@ -249,13 +238,10 @@ def _map(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, ddl: str,
     names = ["_id", *(f.split(" ")[0] for f in ddl.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocab_path)
-        try:
-            for batch in slices(batches, "_text"):
-                found = [row(own.encoded(t)) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names)
-        finally:
-            own.forget()  # workers outlive their tasks
+        own = Codec(vocab_path)  # of this task alone: workers outlive their tasks, and several wait beside an executor's heap
+        for batch in slices(batches, "_text"):
+            found = [row(own.encoded(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, {ddl}")
