@@ -7,6 +7,7 @@ import hmac
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
 from ledgerloom.functions.digest import changed, hmac_sha256
 from ledgerloom.operators import retrieval, summaries
 from ledgerloom.plans.registry import query, values
@@ -113,3 +114,22 @@ def rerank_threshold(spark, sf):
 def request_tokens(spark, sf):
     """Estimated tokens of what would be sent, four characters a token."""
     return table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.length("text") / 4)).alias("tokens"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9\s_-]', '', 'g') AS identifier FROM pages")
+def sanitised_identifiers(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.identifier(F.col("url")).alias("identifier"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN length(text) <= 20000 OR regexp_matches(left(text, 20000), '(?i)governing law') THEN left(text, 20000)
+ELSE left(text, 20000) || chr(10) || '...' || chr(10) || right(text, 5000) END) AS ends FROM documents""")
+def text_ends(spark, sf):
+    """Digests of what a first look at a whole document reads: its beginning, and its end where the beginning lacks a governing law."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.ends_of(F.col("text"))).alias("ends"))
+
+
+@query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, l_returnflag AS provider, avg(l_quantity) AS latency FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' GROUP BY 1, 2")
+def daily_latency(spark, sf):
+    """The daily mean of each provider."""
+    rows = table(spark, sf, "lineitem").select(F.lit("latency").alias("metric_type"), F.col("l_shipdate").alias("created_at"), F.col("l_returnflag").alias("provider"), F.col("l_quantity").alias("value"))
+    return summaries.daily(rows, "latency", F.lit("1995-01-01").cast("timestamp"), F.avg, "latency")
