@@ -26,6 +26,8 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import getitem
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +42,19 @@ CACHE = 100_000
 PART = 1 << 20
 
 
+class State(dict):
+    """A row of the table of transitions, by symbol; what is not there yet is compiled."""
+
+    __slots__ = ("means", "of", "token")
+
+    def __missing__(self, symbol: str):
+        found = self[symbol] = self.of.compile(self, symbol)
+        return found
+
+    def __bool__(self) -> bool:
+        return True
+
+
 class Automaton:
     """Compiled from the merges, in order; tokens are their ids."""
 
@@ -80,58 +95,53 @@ class Automaton:
                 return True
 
     def _start(self) -> None:
-        """An empty table: of each state its row by symbol, the token that ends there, and what it stands for; tokens by state and last symbol."""
-        self.rows: list[dict[str, int]] = [{}]
-        self.ends: dict[tuple[int, str], int] = {}
-        self.token = [-1]
-        self.means: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
-        self.states = {self.means[0]: 0}
-
-    def _next(self, state: int, symbol: str) -> tuple[str, int]:
+        """A table of the state before a word alone."""
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states refer to each other
+        self.states: dict[tuple[str, tuple[int, ...]], State] = {}
+        self.arcs = 0
+        self.start = self._state(("", (-1,)), -1)
+
+    def _state(self, means: tuple[str, tuple[int, ...]], token: int) -> State:
+        state = self.states[means] = State()
+        state.of, state.means, state.token = self, means, token
+        return state
+
+    def next(self, state: State, symbol: str) -> tuple[str, int]:
         """(end of the prefix, token that ends behind the symbol)."""
-        tail, before = self.means[state]
-        text, last = tail + symbol, len(self.lost)
-        for k in range(len(tail) + 1):
-            token = self.by_text.get(text[k:])
-            if token is not None and before[k] != -2 and (before[k] == -1 or self._arc(before[k], token, last)):
+        tail, before = state.means
+        text, by_text, last = tail + symbol, self.by_text, len(self.lost)
+        for k, x in enumerate(before):
+            if x != -2 and (token := by_text.get(text[k:])) is not None and (x == -1 or self._arc(x, token, last)):
                 return text, token
         raise ValueError(f"no arcs spell {text!r}")
 
-    def _compile(self, state: int, symbol: str) -> int:
-        text, token = self._next(state, symbol)
-        before = (*self.means[state][1], token)
-        cut = next(k for k in range(len(text) + 1) if text[k:] in self.begins)
+    def compile(self, state: State, symbol: str) -> State | int:
+        """Where the symbol leads from a state: a token behind a word's last symbol, else a state."""
+        text, token = self.next(state, symbol)
+        self.arcs += 1
+        if self.suffix and symbol.endswith(self.suffix):
+            return token
+        before, begins, cut = (*state.means[1], token), self.begins, 0
+        while before[cut] == -2 or text[cut:] not in begins:
+            cut += 1
+        tail = text[cut:]
         # Places where no token can begin any more do not tell states apart.
-        means = (text[cut:], tuple(t if text[k + cut :] in self.begins else -2 for k, t in enumerate(before[cut:])))
-        found = self.states.get(means)
-        if found is None:
-            found = self.states[means] = len(self.rows)
-            self.rows.append({})
-            self.token.append(token)
-            self.means.append(means)
-        self.rows[state][symbol] = found
-        return found
+        means = (tail, tuple([t if t != -2 and tail[k:] in begins else -2 for k, t in enumerate(before[cut:])]))
+        return self.states.get(means) or self._state(means, token)
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a word, a character a base symbol."""
         if not text:
             return []
-        if len(self.rows) > CACHE or len(self.ends) > 2 * CACHE:
+        if len(self.states) > CACHE or self.arcs > 3 * CACHE:
             self._start()
-        rows, state, passed = self.rows, 0, []
-        for symbol in text[:-1]:
-            try:
-                state = rows[state][symbol]
-            except KeyError:
-                state = self._compile(state, symbol)
-            passed.append(state)
-        last = self.ends.get((state, text[-1]))
-        if last is None:
-            last = self.ends[state, text[-1]] = self._next(state, text[-1] + self.suffix)[1]
-        length, token, out = self.length, self.token, [last]
-        at = len(text) - length[last]
+        passed = list(accumulate(text[:-1], getitem, initial=self.start))
+        last = passed[-1][text[-1] + self.suffix]
+        length, out = self.length, [last if self.suffix else last.token]
+        at = len(text) - length[out[0]]
         while at:
-            last = token[passed[at - 1]]
+            last = passed[at].token
             out.append(last)
             at -= length[last]
         out.reverse()
@@ -153,8 +163,13 @@ class Codec:
         # Text rules of the file, by the library it is written for: they follow its tables of characters.
         rules = Tokenizer.from_file(path)
         self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
-        #: Marks that the file splits off a word of letters, as a word of their own.
-        self.marks = tuple(m for m in ".,;:!?" if [w for w, _ in self.split(f"ab{m}")] == ["ab", m])
+        parts = {c: [w for w, _ in self.split(f"a{c}a")] for c in map(chr, range(33, 256)) if c.isprintable()}
+        #: Letters make one word, marks a word of their own; both as the file has them, up to U+00FF.
+        letters = "".join(re.escape(c) for c, words in parts.items() if len(words) == 1)
+        marks = "".join(re.escape(c) for c, words in parts.items() if len(words) == 3 and len(self.split(f"a{c}!")) == 2)
+        self.simple = re.compile(f"([{letters}]+)([{marks}]*)").fullmatch
+        #: Their byte symbols.
+        self.symbols = {ord(c): self.split(c)[0][0] for c, words in parts.items() if len(words) in (1, 3)}
         self.spaces = re.compile("[\t-\r\x85\xa0]")
         #: Ids of each piece between spaces.
         self.cache: dict[str, list[int]] = {}
@@ -165,11 +180,11 @@ class Codec:
 
     def _piece(self, piece: str) -> list[int]:
         word = self.automaton.encode
-        if piece.isascii():
-            if piece.isalpha():
-                return word(piece)
-            if piece.endswith(self.marks) and piece[:-1].isalpha():
-                return word(piece[:-1]) + word(piece[-1])
+        if simple := self.simple(piece):
+            letters, marks = simple.groups()
+            if not piece.isascii():
+                letters, marks = letters.translate(self.symbols), marks.translate(self.symbols)
+            return word(letters) + word(marks) if marks else word(letters)
         return [i for w, _ in self.split(piece) for i in word(w)]
 
     def ids(self, text: str) -> list[int]:
