@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, warc
+from ledgerloom.llm import bpe_automaton, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_bpe": bpe_automaton.op9_bpe,
         "op10_pii": pii.op10_pii,
+        "op11_decontamination": decontamination.op11_decontamination,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op3_warc": warc.OP3_SQL,
         "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op11_decontamination": decontamination.OP11_SQL,
     }
