@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe_automaton, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, warc
+from ledgerloom.llm import bpe_automaton, decontamination, embedding_dedup, language_id, line_dedup, merkle, mixing, ngram_join, pii, quality, token_counts, warc, whitening
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_bpe": bpe_automaton.op9_bpe,
         "op10_pii": pii.op10_pii,
         "op11_decontamination": decontamination.op11_decontamination,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql():
         "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op11_decontamination": decontamination.OP11_SQL,
+        "op12_merkle": merkle.OP12_SQL,
     }
