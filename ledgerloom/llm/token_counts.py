@@ -8,11 +8,14 @@ piece ids. In each round every sequence finds its lowest-rank mergeable pair, al
 place of the sequence, from the left where places overlap, and finished sequences leave the array; the symbols that
 survive are the count. Merging a pair in all places at once is merging it place by place if the symbol that it makes has no
 pair of as low a rank; where it has one, the round applies the leftmost of places that lie within a piece's length only.
+A sequence that would so put off many places, such as one short word thousands of times without a space, leaves the rounds
+and is merged place by place from a heap, in n log n.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ CACHE = 400_000
 #: Characters of a text that are cut into pre-tokens at a time; a longer text is cut at spaces.
 PART = 1 << 20
 _NONE = np.int64(1 << 40)
+#: Places that a round may put off in one sequence; with more of them it is merged from a heap.
+PUT_OFF = 64
 
 
 class Merger:
@@ -59,6 +64,11 @@ class Merger:
             np.minimum.at(side, part, self.ranks)
         self.safe = side[self.made] > self.ranks
         self.longest = max(map(len, self.pieces))
+        #: Piece of each code point.
+        self.single = np.zeros(0x110000, np.int32)
+        for piece, i in self.pieces.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
         single = "".join(re.escape(p) for p in self.pieces if len(p) == 1 and p != MARK)
         #: A run of marks with the known characters after it, or one unknown character.
         self.split = re.compile(f"{MARK}+[{single}]*|[{single}]+|[^{single}{MARK}]")
@@ -74,7 +84,7 @@ class Merger:
         """Symbols left of each sequence of known characters."""
         if not sequences:
             return np.zeros(0, np.int64)
-        ids = np.fromiter((self.pieces[c] for s in sequences for c in s), np.int64)
+        ids = self.single[np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32)].astype(np.int64)
         lengths = np.array([len(s) for s in sequences])
         owner = np.arange(len(sequences))
         left = lengths.copy()
@@ -94,8 +104,15 @@ class Merger:
             # Every place; or, where a merge makes a symbol that comes before the others, places that no piece reaches from one before.
             seq = np.searchsorted(starts, hits, side="right") - 1
             safe = np.bincount(seq, ~self.safe[row[hits]], len(starts)) == 0
-            far = np.concatenate([[True], (seq[1:] != seq[:-1]) | (hits[1:] - hits[:-1] > self.longest)])
-            hits = hits[far | safe[seq]]
+            far = np.concatenate([[True], (seq[1:] != seq[:-1]) | (hits[1:] - hits[:-1] > self.longest)]) | safe[seq]
+            slow = np.bincount(seq, ~far, len(starts)) > PUT_OFF
+            if slow.any():
+                for k in np.flatnonzero(slow).tolist():
+                    left[owner[k]] = self.one_by_one(ids[starts[k] : starts[k] + lengths[k]].tolist())
+                keep = np.repeat(~slow, lengths)
+                ids, rank, row, owner, lengths = ids[keep], rank[keep], row[keep], owner[~slow], lengths[~slow]
+                continue
+            hits = hits[far]
             # Of places that overlap every second one from the left.
             run = np.concatenate([[True], hits[1:] != hits[:-1] + 1])
             at = hits[(np.arange(len(hits)) - np.maximum.accumulate(np.where(run, np.arange(len(hits)), 0))) % 2 == 0]
@@ -117,6 +134,31 @@ class Merger:
             rank[before], row[before] = self.rank_of(ids[before], ids[before + 1])
         return left
 
+    @functools.cached_property
+    def by_pair(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+
+    def one_by_one(self, ids: list[int]) -> int:
+        """Symbols left of a sequence: the pair of lowest rank, of these the leftmost, merged until there is none."""
+        pairs, n = self.by_pair, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(pairs[k][0], i, k) for i in range(n - 1) if (k := ids[i] << 20 | ids[i + 1]) in pairs]
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            if j == n or ids[i] << 20 | ids[j] != key:
+                continue
+            ids[i], ids[j], after[i] = pairs[key][1], -1, after[j]
+            left -= 1
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (k := ids[a] << 20 | ids[b]) in pairs:
+                    heapq.heappush(heap, (pairs[k][0], a, k))
+        return left
+
     def _pairs(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, row = np.full(len(ids), _NONE), np.zeros(len(ids), np.int64)
         rank[:-1], row[:-1] = self.rank_of(ids[:-1], ids[1:])
@@ -124,19 +166,27 @@ class Merger:
         return rank, row
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text."""
-        split, cache = self.split.findall, self.cache
-        out = [0] * len(texts)
+        """Tokens of each text. What is new in all of them is merged at once, or, if they are long, about PART characters at a time."""
+        out, held, size = [0] * len(texts), [], 0
         for k, part in parts(texts):
-            words = split(part)
-            new = list({w for w in words if w not in cache})
-            if new:
-                self.learn(new)
-            out[k] += sum(map(cache.__getitem__, words))
-            if len(cache) > CACHE:
-                cache.clear()
+            held.append((k, self.split.findall(part)))
+            size += len(part)
+            if size >= PART:
+                self._count(held, out)
+                held, size = [], 0
+        self._count(held, out)
         return out
 
+    def _count(self, held: list[tuple[int, list[str]]], out: list[int]) -> None:
+        cache = self.cache
+        new = {w for _, words in held for w in words}.difference(cache)
+        if new:
+            self.learn(list(new))
+        for k, words in held:
+            out[k] += sum(map(cache.__getitem__, words))
+        if len(cache) > CACHE:
+            cache.clear()
+
     def learn(self, words: list[str]) -> None:
         """Put the tokens of these pre-tokens into the cache."""
         known = [w for w in words if w[0] == MARK or w[0] in self.pieces]
