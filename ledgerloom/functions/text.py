@@ -63,9 +63,9 @@ def normalize_text(text: Column) -> Column:
 HEADING = r"(?i)^(Article|Section|Clause|Schedule|Exhibit)\s+\d+"
 
 
-def is_header(text: Column) -> Column:
+def is_header(text: Column, stripped: bool = False) -> Column:
     """Whether a block is a heading: short, and without a full stop or opened by a section word."""
-    t = strip(text)
+    t = text if stripped else strip(text)
     return (F.length(t) > 0) & (F.length(t) < 80) & (~t.rlike(r"[.!?]\z") | t.rlike(HEADING))
 
 

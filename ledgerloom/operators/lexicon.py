@@ -39,27 +39,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("header", True).csv(path)
 
 
-def match(df: DataFrame, text_col: str, rules: DataFrame, least: int = 50) -> DataFrame:
-    """A row a text and rule it satisfies: the columns of df, rule_id, ord, trap_type, severity. Shorter texts match none.
+HIT = "array<struct<rule_id: int, ord: int, trap_type: string, severity: string>>"
+#: Rules of a lexicon, which is a rule book: each becomes an expression of the plan.
+MOST_RULES = 5000
+
+
+def hits(text: Column | str, rules: DataFrame, least: int = 50) -> Column:
+    """The rules that a text satisfies, as an array of HIT; shorter texts satisfy none.
 
-    The lexicon comes to the driver, being a rule book; each rule becomes one expression over the text, so that texts are read
-    once and are never multiplied by phrases.
-    """
-    low = F.lower(F.col(text_col))
+    The lexicon comes to the driver, with a check of its length; each rule becomes one expression over the text, so that texts
+    are read once and are never multiplied by phrases. Beyond MOST_RULES rules apply the lexicon in parts and join the arrays."""
+    text = F.col(text) if isinstance(text, str) else text
+    low = F.lower(text)
     key = lambda r: (r["ord"], r["rule_id"], r["trap_type"], r["severity"])
+    book = rules.limit(MOST_RULES * 100).collect()
+    if len(book) >= MOST_RULES * 100 or len({r["rule_id"] for r in book}) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules in one lexicon")
     found = []
-    for rule, rows in groupby(sorted(rules.collect(), key=lambda r: (*key(r), r["group_no"])), key):
+    for rule, rows in groupby(sorted(book, key=lambda r: (*key(r), r["group_no"])), key):
         groups: dict[int, list[Column]] = {}
         for r in rows:
             said = low.rlike(r["phrase"]) if r["is_regex"] else F.contains(low, F.lit(r["phrase"].lower()))
             groups.setdefault(r["group_no"] * (-1 if r["negated"] else 1), []).append(said)
         holds = [reduce(Column.__or__, g) if no >= 0 else ~reduce(Column.__or__, g) for no, g in groups.items()]
         made = F.struct(F.lit(rule[1]).alias("rule_id"), F.lit(rule[0]).alias("ord"), F.lit(rule[2]).alias("trap_type"), F.lit(rule[3]).alias("severity"))
-        found.append(F.when((F.length(text_col) >= least) & reduce(Column.__and__, holds), made))
-    if not found:
-        return df.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("rule_id", "int"), ("ord", "int"), ("trap_type", "string"), ("severity", "string")))).limit(0)
-    hits = F.filter(F.array(*found), lambda h: h.isNotNull())
-    return df.select("*", F.explode(hits).alias("_hit")).select("*", "_hit.*").drop("_hit")
+        found.append(F.when((F.length(text) >= least) & reduce(Column.__and__, holds), made))
+    return F.array_compact(F.array(*found)).cast(HIT) if found else F.array().cast(HIT)
+
+
+def match(df: DataFrame, text_col: str, rules: DataFrame, least: int = 50) -> DataFrame:
+    """A row a text and rule it satisfies: the columns of df, rule_id, ord, trap_type, severity."""
+    return df.select("*", F.explode(hits(text_col, rules, least)).alias("_hit")).select("*", "_hit.*").drop("_hit")
 
 
 def classify(text: Column, cascade: list[tuple[str, str]], default: str = "other") -> Column:

@@ -1,6 +1,6 @@
 """Nearest neighbours among vectors, with filters before and after, and what hangs on the hits.
 
-The queries of one call are the small side: they are broadcast where a count shows that they fit MAX_BROADCAST rows, and
+Searches without a condition on pairs go through blocks. Of others the queries are the small side: they are broadcast where a count shows that they fit MAX_BROADCAST rows, and
 otherwise go round in bands of a hash of their key, so that a band meets every corpus partition in a shuffle. Top k is taken
 in two steps, within partitions of the corpus and then over all, so that no query's candidates gather in one task.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.vectors import dot, norm
+from ledgerloom.operators import blocks
 
 MAX_BROADCAST = 10_000
 CORPUS_BANDS = 64
@@ -43,8 +44,13 @@ def scores(queries: DataFrame, corpus: DataFrame, q_vec: str, c_vec: str, on: Co
 
 
 def knn(queries: DataFrame, corpus: DataFrame, q_id: str, q_vec: str, c_id: str, c_vec: str, k: int = 3, min_score: float | None = None, fetch: int = 10, on: Column | None = None) -> DataFrame:
-    """The fetch nearest rows a query, of these the ones that reach min_score, of these the first k."""
-    near = _top(scores(queries, corpus, q_vec, c_vec, on), q_id, c_id, max(fetch, k))
+    """The fetch nearest rows a query, of these the ones that reach min_score, of these the first k: q_id, c_id, score, rank.
+
+    Without a condition on pairs cosines are matrix products of blocks; with one (on) the two sides are joined, and their
+    columns stay."""
+    most = max(fetch, k)
+    found = blocks.nearest(queries, corpus, q_id, q_vec, c_id, c_vec, most) if on is None else scores(queries, corpus, q_vec, c_vec, on)
+    near = _top(found, q_id, c_id, most)
     if min_score is not None:
         near = near.filter(F.col("score") >= min_score)
     return near.filter(F.col("rank") <= k) if min_score is None else near.withColumn("rank", F.row_number().over(Window.partitionBy(q_id).orderBy("rank"))).filter(F.col("rank") <= k)
@@ -70,8 +76,16 @@ def siblings(clauses: DataFrame, group: str, c_id: str, vec: str, k: int = 3) ->
 
 def zone_route(queries: DataFrame, traps: DataFrame, q_id: str, q_vec: str, t_id: str, t_vec: str, hi: float = 0.88, lo: float = 0.75, on: Column | None = None) -> DataFrame:
     """The nearest trap of each query, of those that on allows, and what follows: hit, ask (a model) or none."""
+    if on is None:
+        found = blocks.best(queries, traps, q_id, q_vec, t_id, t_vec)
+        return found.select(q_id, t_id, "score", zone(F.col("score"), hi, lo).alias("zone"))
     best = scores(queries, traps, q_vec, t_vec, on).groupBy(q_id).agg(F.max(F.struct("score", (-F.col(t_id)).alias("t"))).alias("b"))
-    return best.select(q_id, (-F.col("b.t")).alias(t_id), F.col("b.score").alias("score"), F.when(F.col("b.score") >= hi, "hit").when(F.col("b.score") >= lo, "ask").otherwise("none").alias("zone"))
+    return best.select(q_id, (-F.col("b.t")).alias(t_id), F.col("b.score").alias("score"), zone(F.col("b.score"), hi, lo).alias("zone"))
+
+
+def zone(score: Column, hi: float = 0.88, lo: float = 0.75) -> Column:
+    """What follows from the cosine with the nearest trap."""
+    return F.when(score >= hi, "hit").when(score >= lo, "ask").otherwise("none")
 
 
 def route_domains(clauses: DataFrame, domain_map: DataFrame, fallback: DataFrame, default: str = "general_contract_law") -> DataFrame:

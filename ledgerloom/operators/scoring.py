@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import blocks
+
 #: Levels in rising order of severity. Fixed values.
 LEVELS = ("low", "medium", "high", "critical")
 
@@ -69,20 +71,60 @@ def add_reason(reasons: Column, reason: Column, first: bool = False) -> Column:
     return F.when(reason.isNull() | F.array_contains(have, reason), have).otherwise(new)
 
 
+def escalate_hits(clauses: DataFrame, hits: Column) -> DataFrame:
+    """Scores raised by lexicon hits, an array of the row itself: to 9 by a critical one, to 8 by a high one, if that is more;
+    with the worst, then first, in front of the reasons. A map over rows."""
+    worst = F.array_min(F.transform(hits, lambda h: F.struct((-rank(h["severity"])).alias("r"), h["ord"].alias("o"), h["trap_type"].alias("t"))))
+    rows = clauses.withColumn("_worst", worst)
+    target = F.when(F.col("_worst.r") <= -4, 9).when(F.col("_worst.r") == -3, 8)
+    up = F.coalesce(target > js_int(F.col("risk_score")), F.lit(False))
+    return rows.withColumns({
+        "risk_reasons": F.when(up, add_reason(F.col("risk_reasons"), F.concat(F.lit("Matches the pattern of "), F.col("_worst.t")), True)).otherwise(F.col("risk_reasons")),
+        "risk_level": F.when(up, "critical").otherwise(F.col("risk_level")),
+        "risk_score": F.when(up, target).otherwise(F.col("risk_score")),
+    }).drop("_worst")
+
+
 def escalate(clauses: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
-    """Scores raised by lexicon hits: to 9 by a critical one, to 8 by a high one, if that is more; with a reason in front."""
-    worst = hits.groupBy(*key).agg(F.max(rank(F.col("severity"))).alias("_worst"), F.min_by("trap_type", F.struct(-rank(F.col("severity")), "ord")).alias("_trap"))
-    target = F.when(F.col("_worst") >= 4, 9).when(F.col("_worst") == 3, 8)
-    now = js_int(F.col("risk_score"))
-    up = F.coalesce(target > now, F.lit(False))
+    """The same with hits as rows of their own."""
+    listed = hits.groupBy(*key).agg(F.collect_list(F.struct("ord", "trap_type", "severity")).alias("_hits"))
+    return escalate_hits(clauses.join(listed, key, "left"), F.col("_hits")).drop("_hits")
+
+
+#: Length from which a text is held against trap vectors. Fixed value.
+LEAST_TEXT = 50
+
+
+def vector_traps(clauses: DataFrame, traps: DataFrame, key: str, vec_col: str = "embedding", text_col: str = "raw_text", hi: float = 0.88, lo: float = 0.75, answers: DataFrame | None = None) -> DataFrame:
+    """Clauses raised by the trap vector nearest to theirs, as the last layer of the trap scan: those below critical, of LEAST_TEXT
+    characters and with a vector.
+
+    traps: trap_id, trap_type, severity, vec. A cosine of hi or more is a hit; between lo and hi the clause counts as asked
+    (ask_model) and answers (key, trap_type, severity, reasoning), which a model gave for such clauses, decide. A critical
+    trap gives level critical and score 9, another one high and 8, with a reason in front, whatever the score was. key is
+    distinct. Clauses are read once and not shuffled by their vectors; only found traps are joined back."""
+    open_ = clauses.filter((F.col("risk_level").isNull() | (F.col("risk_level") != "critical")) & (F.length(text_col) >= LEAST_TEXT) & F.col(vec_col).isNotNull())
+    near = blocks.best(open_.select(F.col(key).alias("_key"), F.col(vec_col).alias("_vec")), traps, "_key", "_vec", "trap_id", "vec").filter(F.col("score") >= lo)
+    named = traps.select("trap_id", F.col("trap_type").alias("_type"), F.col("severity").alias("_severity"))
+    hits = near.join(named, "trap_id").withColumn("_why", F.when(F.col("score") >= hi, F.concat(F.lit("cosine "), F.format_number("score", 3))))
+    if answers is not None:
+        said = answers.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("trap_type", "severity", "reasoning")).alias("_a"))
+        hits = hits.join(said, (F.col("_key") == F.col("_k")) & F.col("_why").isNull(), "left").withColumns({
+            "_type": F.coalesce("_a.trap_type", "_type"), "_severity": F.coalesce("_a.severity", "_severity"), "_why": F.coalesce("_a.reasoning", "_why"),
+        })
+    hits = hits.select("_key", "_type", "_severity", "_why", F.col("_why").isNull().alias("_ask"))
+    up = F.col("_why").isNotNull()
+    worst = F.col("_severity") == "critical"
+    reason = F.concat(F.lit("Hidden trap: "), F.col("_type"), F.lit(" ("), F.col("_why"), F.lit(")"))
     return (
-        clauses.join(worst, key, "left")
+        clauses.join(hits, F.col(key) == F.col("_key"), "left")
         .withColumns({
-            "risk_reasons": F.when(up, add_reason(F.col("risk_reasons"), F.concat(F.lit("Matches the pattern of "), F.col("_trap")), True)).otherwise(F.col("risk_reasons")),
-            "risk_level": F.when(up, "critical").otherwise(F.col("risk_level")),
-            "risk_score": F.when(up, target).otherwise(F.col("risk_score")),
+            "risk_reasons": F.when(up, add_reason(F.col("risk_reasons"), reason, True)).otherwise(F.col("risk_reasons")),
+            "risk_level": F.when(up, F.when(worst, "critical").otherwise("high")).otherwise(F.col("risk_level")),
+            "risk_score": F.when(up, F.when(worst, 9).otherwise(8)).otherwise(F.col("risk_score")),
+            "ask_model": F.coalesce("_ask", F.lit(False)),
         })
-        .drop("_worst", "_trap")
+        .drop("_key", "_type", "_severity", "_why", "_ask")
     )
 
 

@@ -113,9 +113,8 @@ def scored_clauses(spark, sf):
         "risk_reasons": F.array().cast("array<string>"), "compliance_risk_level": F.when(F.length("raw_text") % 5 == 0, "high"), "human_review": F.length("raw_text") % 3 == 0,
         "clause_type": lexicon.classify(F.col("raw_text"), CASCADE),
     })
-    # Hits keep their keys only, so that texts are shuffled once at most.
-    hits = lexicon.match(rows.select("doc_id", "segment_index", "raw_text"), "raw_text", lexicon.table(spark, CORPUS_TRAPS)).drop("raw_text")
-    return scoring.escalate(scoring.align(scoring.base_scores(rows)).drop("raw_text"), hits, ["doc_id", "segment_index"])
+    scored = scoring.align(scoring.base_scores(rows))
+    return scoring.escalate_hits(scored, lexicon.hits("raw_text", lexicon.table(spark, CORPUS_TRAPS))).drop("raw_text")
 
 
 SCORED_SQL = CHUNKS_SQL + "," + _LEX + r""",
