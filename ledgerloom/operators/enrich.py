@@ -58,6 +58,55 @@ def merge(df: DataFrame, answers: DataFrame, keys: list[str], defaults: dict[str
     return rows.withColumns({c: F.coalesce(have(c), ok(c), F.lit(d)) for c, d in defaults.items()}).drop(*(f"_a_{c}" for c in defaults))
 
 
+#: Characters of a text's head and tail that a first look reads, and what it looks for. Fixed values.
+HEAD, TAIL = 20_000, 5_000
+PREFLIGHT = ("documentType", "governingLaw", "executionDate", "employerName", "employeeDesignation", "employeeAddress", "companyAddress")
+
+
+def preflight(df: DataFrame, keys: list[str], text_col: str, provider: Callable[[pd.DataFrame], pd.DataFrame], fields: tuple[str, ...] = PREFLIGHT, from_tail: tuple[str, ...] = ("governingLaw",), head: int = HEAD, tail: int = TAIL) -> DataFrame:
+    """First facts of each text, as a struct of fields: keys, metadata, steps.
+
+    A provider answers frames of keys and text with keys and fields. It is asked the head of every text that is not blank, then the
+    tail of those longer than the head that still lack a field of from_tail, for these fields only. What is not answered, or
+    answered empty, is null. keys tell rows apart; steps says how many questions a row took. A row's questions are asked in
+    one task, one batch after the other, so texts are read once."""
+    ddl = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`{f}` string" for f in fields)])
+    parts = df.select(*keys, F.trim(F.substring(text_col, 1, head)).alias("_head"), F.when(F.length(text_col) > head, F.trim(F.right(text_col, F.lit(tail)))).alias("_tail"))
+    blank = lambda c: F.coalesce(F.length(c) == 0, F.lit(True))
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        """Answers with every row of the frame once; heads first, then tails of what they left open."""
+        said = {}
+        for step, column in ((1, "_head"), (2, "_tail")):
+            todo = frame[frame[column].fillna("").str.len() > 0]
+            if step == 2:
+                todo = todo[[any(not said.get(i, {}).get(f) for f in from_tail) for i in todo.index]]
+            if not len(todo):
+                continue
+            for part in halves(todo.rename(columns={column: "text"})[[*keys, "text"]], "text"):
+                answer = provider(part.reset_index(drop=True))
+                by_key = {tuple(r[k] for k in keys): r for r in answer.to_dict("records")}
+                for i, key in zip(part.index, part[keys].itertuples(index=False, name=None), strict=True):
+                    own, new = said.setdefault(i, {"steps": 0}), by_key.get(key, {})
+                    own["steps"] = step
+                    for f in fields if step == 1 else from_tail:
+                        own[f] = own.get(f) or (new.get(f) if isinstance(new.get(f), str) and new.get(f) else None)
+        out = frame[keys].copy()
+        for f in fields:
+            out[f] = [said.get(i, {}).get(f) for i in frame.index]
+        out["steps"] = [said.get(i, {}).get("steps", 0) for i in frame.index]
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), BATCH):
+                yield ask(frame.iloc[k : k + BATCH])
+
+    asked = parts.filter(~blank("_head") | ~blank("_tail")).mapInPandas(run, f"{ddl}, steps int")
+    unasked = parts.filter(blank("_head") & blank("_tail")).select(*keys, *(F.lit(None).cast("string").alias(f) for f in fields), F.lit(0).alias("steps"))
+    return asked.unionByName(unasked).select(*keys, F.struct(*fields).alias("metadata"), "steps")
+
+
 def match_answers(df: DataFrame, answers: DataFrame, group: str, id_col: str, position: str) -> DataFrame:
     """Answers (group, answer_id, answer_no, answer) to rows: by id, else by place if a group has as many answers as rows, else
     the only answer of its group."""

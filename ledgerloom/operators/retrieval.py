@@ -109,10 +109,36 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, hit_id: str, first: int =
     return hits.join(out, on(out), "left").drop("_h").join(into, on(into), "left").drop("_h")
 
 
+#: Letters of a part of a name that names are found by.
+GRAM = 3
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct runs of size letters of a text; none of a shorter one."""
+    n = F.length(text)
+    parts = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(n >= size, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
 def edges_from_triples(triples: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges (src, dst, rel) from (src, rel, hint), the target being the vertex of least id whose name holds the hint, once each."""
-    found = triples.join(vertices, F.contains(F.lower("name"), F.lower("hint")))
-    return found.groupBy("src", "rel", "hint").agg(F.min("id").alias("dst")).select("src", "dst", "rel").distinct()
+    """Edges (src, dst, rel) from (src, rel, hint), the target being the vertex of least id whose name holds the hint, once each.
+
+    Hints meet names through an inverted index: a name that holds a hint holds each of its runs of three letters, so a hint is
+    looked up by the run that fewest names have, and then found in the name or not. Shorter hints have an index of their
+    own length. Letters are compared without case; an empty or null hint has no target."""
+    hints = triples.select("hint").filter(F.length("hint") > 0).distinct().withColumn("_low", F.lower("hint"))
+    names = vertices.filter(F.col("name").isNotNull()).select("id", F.lower("name").alias("_name"))
+    long = names.select("id", "_name", F.explode(grams(F.col("_name"))).alias("_gram"))
+    common = long.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    asked = hints.filter(F.length("_low") >= GRAM).select("hint", "_low", F.explode(grams(F.col("_low"))).alias("_gram"))
+    rarest = asked.join(common, "_gram", "left").groupBy("hint", "_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_r"))
+    found = rarest.select("hint", "_low", F.col("_r.g").alias("_gram")).join(long, "_gram").filter(F.contains("_name", "_low")).select("hint", "id")
+    short = hints.filter(F.length("_low") < GRAM)
+    for k in range(1, GRAM):
+        index = names.select("id", F.explode(grams(F.col("_name"), k)).alias("_low"))
+        found = found.unionByName(short.filter(F.length("_low") == k).join(index, "_low").select("hint", "id"))
+    target = found.groupBy("hint").agg(F.min("id").alias("dst"))
+    return triples.join(target, "hint").select("src", "dst", "rel").distinct()
 
 
 def chat_context(queries: DataFrame, clauses: DataFrame, q_id: str, q_vec: str, group: str, k: int = 5, first: int = 20) -> DataFrame:

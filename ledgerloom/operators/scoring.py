@@ -253,6 +253,46 @@ def check_literal(kind: Column, values: Column, target: Column, tolerance: float
     )
 
 
+#: Words of a stated relation, and what it is checked as, in order. Fixed values.
+RELATIONS = (("sum_equals", "sum|math|add"), ("product_equals", "multiply|multiplier"), ("at_most", "timeline|less|conflict"), ("above", "greater"))
+
+
+def relation_of(raw: Column) -> Column:
+    """The relation that a model's word for it means; the word itself, in small letters, if it is none of RELATIONS."""
+    low = F.lower(F.trim(raw))
+    return reduce(lambda rest, r: F.when(low.rlike(r[1]), r[0]).otherwise(rest), reversed(RELATIONS), low)
+
+
+def clean_number(raw: Column) -> Column:
+    """An amount out of a text: digits, points and signs of it, times a thousand or a million if below 1000 and a k or m is
+    written; 0 for what then is no number."""
+    low = F.lower(raw)
+    value = F.when(F.regexp_replace(low, "[^0-9.-]+", "").rlike(r"^-?(\d+\.?\d*|\.\d+)$"), F.regexp_replace(low, "[^0-9.-]+", "").try_cast("double"))
+    value = F.when(F.contains(low, F.lit("k")) & (value < 1000), value * 1000).otherwise(value)
+    return F.coalesce(F.when(F.contains(low, F.lit("m")) & (value < 1000), value * 1_000_000).otherwise(value), F.lit(0.0))
+
+
+#: Characters of a title by which a later finding counts as an earlier one. Fixed value.
+TITLE_HEAD = 20
+
+
+def unsuppressed(findings: DataFrame, group: str, order: list[str], title: str = "title", sure: str | None = None) -> DataFrame:
+    """Findings without those that repeat an earlier kept one of their group, in order: the head of either title is in the other.
+
+    Findings for which the column sure holds come first and are kept in any case, as those of fixed rules are. A finding
+    that is dropped drops no other. Only titles and places in the order are brought together, one array a group, and folded
+    once; a group is the findings of a contract."""
+    rows = findings.withColumn("_first", ~F.coalesce(F.col(sure), F.lit(False)) if sure else F.lit(True))
+    item = F.struct("_first", *order, F.lower(F.coalesce(title, F.lit(""))).alias("_t"))
+    head = lambda t: F.substring(t, 1, TITLE_HEAD)
+    alike = lambda a, b: F.contains(a, head(b)) | F.contains(b, head(a))
+    start = F.array().cast(rows.select(F.array(item)).schema[0].dataType)
+    keep = lambda kept, x: F.when(x["_first"] & F.exists(kept, lambda y: alike(y["_t"], x["_t"])), kept).otherwise(F.array_append(kept, x))
+    kept = rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_all")).select(F.col(group).alias("_g"), F.explode(F.aggregate("_all", start, keep)).alias("_k"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k.{c}")) for c in ("_first", *order)]
+    return rows.join(kept, reduce(Column.__and__, same, F.col(group).eqNullSafe(F.col("_g"))), "left_semi").drop("_first")
+
+
 def compliance_level(status: Column, level: Column) -> Column:
     """The level of a compliance verdict, never below the one there is."""
     return level_of(F.greatest(rank(level), rank(F.when(status == "compliant", "low").otherwise("high"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import contracts, documents, lookups, tables  # noqa: F401
+from ledgerloom.plans import contracts, documents, intake, lookups, tables  # noqa: F401
 from ledgerloom.plans.registry import ORACLE, QUERIES
 
 
