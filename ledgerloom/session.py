@@ -18,6 +18,10 @@ DEFAULTS = {
 }
 
 
+#: What streams with states of their own need.
+STREAMING = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def build(master: str = "local[*]", app: str = "ledgerloom", **more: str) -> SparkSession:
     """A session with DEFAULTS, overridden by more."""
     return SparkSession.builder.master(master).appName(app).config(map=DEFAULTS | more).getOrCreate()

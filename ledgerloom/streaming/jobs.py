@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MAX_ATTEMPTS = 3
 LOCK_MS = 5 * 60 * 1000
@@ -54,6 +56,54 @@ def job_states(events: DataFrame) -> DataFrame:
     )
 
 
+#: How long a job that ended is remembered, so that late and repeated events do not open it again, in milliseconds.
+LINGER_MS = 10 * 60 * 1000
+PROGRESS = "contract_id long, status string, progress int, step string, terminal boolean"
+
+
+class Progress(StatefulProcessor):
+    """What a follower of a job is told: the newest progress of each batch, then one terminal row, then nothing."""
+
+    def __init__(self, linger_ms: int = LINGER_MS):
+        self.linger_ms = linger_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "ts long, ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        newest, ended = self.seen.get() if self.seen.exists() else (-1, False)
+        if ended:
+            return
+        at = frame["ts"].astype("datetime64[ms]").astype("int64")
+        fresh = frame[at > newest]
+        over = fresh[fresh["status"].isin(["completed", "failed"])]
+        if not len(fresh):
+            return
+        last = (over if len(over) else fresh).iloc[-1 if not len(over) else 0]
+        now = int(pd.Timestamp(last["ts"]).value // 1_000_000)
+        self.seen.update((now, bool(len(over))))
+        if len(over):
+            self.handle.registerTimer(now + self.linger_ms)
+        status = "done" if last["status"] == "completed" else last["status"]
+        yield pd.DataFrame({"contract_id": [key[0]], "status": [status], "progress": [int(last["progress"])], "step": [last["step"]], "terminal": [bool(len(over))]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+
+def progress(events: DataFrame, late: str = "1 minute", linger_ms: int = LINGER_MS) -> DataFrame:
+    """Progress of each job (PROGRESS) from a stream of events (contract_id long, ts, status, progress int, step).
+
+    A batch of events of a job gives its newest one, if that is newer than what was told; completed (told as done) or failed ends the
+    job with one terminal row, whatever comes after or again. A timer on the watermark then drops what is kept of the job. Needs
+    the RocksDB state store (session.STREAMING)."""
+    rows = events.withWatermark("ts", late)
+    return rows.groupBy("contract_id").transformWithStateInPandas(Progress(linger_ms), PROGRESS, "Append", "EventTime")
+
+
 def upcoming(events: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """The first event not told yet of each contract within the next days: contract_id, event_type, date, days_remaining.
 
@@ -81,20 +131,28 @@ def retained(metrics: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return metrics.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-#: Patterns of repealed acts that one sweep takes.
+#: Patterns of repealed acts that one expression takes.
 MOST_PATTERNS = 1000
 
 
-def repeal_sweep(statutes: DataFrame, repealed: DataFrame) -> DataFrame:
+def repeal_sweep(statutes: DataFrame, repealed: DataFrame, most: int = MOST_PATTERNS) -> DataFrame:
     """Statutes with is_repealed and repealed_by set where an act's name matches (pattern, repealed_by), the least of several.
 
-    One pass over the statutes, which may have nulls in any column; the patterns are a short list, whose length is checked."""
-    found = [r for r in repealed.select("pattern", "repealed_by").limit(MOST_PATTERNS + 1).collect() if r["pattern"] is not None]
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    by = [F.when(F.col("act_name").rlike("(?i)" + r["pattern"]), F.lit(r["repealed_by"])).cast("string") for r in found]
-    first = F.array_min(F.array(*by)) if by else F.lit(None).cast("string")
-    return statutes.withColumn("_by", first).withColumns({"is_repealed": F.col("_by").isNotNull() | F.coalesce("is_repealed", F.lit(False)), "repealed_by": F.coalesce("_by", "repealed_by")}).drop("_by")
+    One pass over the statutes, which may have nulls in any column, if the patterns are a short list, whose length is checked. With
+    more of them the distinct names of acts are matched with blocks of patterns, and what they match is joined back."""
+    patterns = repealed.select("pattern", "repealed_by").filter(F.col("pattern").isNotNull())
+    found = patterns.limit(most + 1).collect()
+    act = lambda rows: F.array_min(F.array(*(F.when(F.col("act_name").rlike("(?i)" + r["pattern"]), F.lit(r["repealed_by"])).cast("string") for r in rows)))
+    if len(found) <= most:
+        rows = statutes.withColumn("_by", act(found) if found else F.lit(None).cast("string"))
+    else:
+        names = statutes.select("act_name").filter(F.col("act_name").isNotNull()).distinct()
+        blocks = -(-patterns.count() // max(1, most // 2))
+        dealt = patterns.withColumn("_b", F.pmod(F.xxhash64("pattern", "repealed_by"), F.lit(blocks)))
+        parts = [names.withColumn("_by", act(dealt.filter(F.col("_b") == k).collect() or [{"pattern": r"[^\s\S]", "repealed_by": None}])) for k in range(blocks)]
+        least = reduce(DataFrame.unionByName, parts).filter("_by IS NOT NULL").groupBy(F.col("act_name").alias("_act")).agg(F.min("_by").alias("_by"))
+        rows = statutes.join(least, F.col("act_name") == F.col("_act"), "left").drop("_act")
+    return rows.withColumns({"is_repealed": F.col("_by").isNotNull() | F.coalesce("is_repealed", F.lit(False)), "repealed_by": F.coalesce("_by", "repealed_by")}).drop("_by")
 
 
 def reset_quotas(users: DataFrame, now: Column, days: int = 30) -> DataFrame:
