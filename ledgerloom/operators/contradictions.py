@@ -1,14 +1,16 @@
-"""Contradictions between the clauses of a contract, from its facts. Each rule is a DataFrame of findings.
+"""Contradictions between the clauses of a contract, from its facts, in one pass and one shuffle.
 
-Findings: contract_id, rule, severity, title, clause_refs (sorted, distinct). Facts of one contract are few, so rules are
-grouped aggregates by contract; where pairs matter, least and greatest values stand for them wherever they can.
+Findings: contract_id, rule, severity, title, clause_refs (sorted, distinct). What a rule needs of a fact's clause goes with the
+fact; facts are then grouped by contract once, with the aggregates of all rules, and each rule is an expression over its
+own. Least and greatest values stand for pairs wherever they can; where pairs themselves matter they are made within the
+contract's row from the few facts of that kind.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Severity of each rule. Fixed values.
@@ -53,146 +55,185 @@ def _is(kind: str, *names: str) -> Column:
     return (F.col("type") == kind) & (_has(*names) if names else F.lit(True))
 
 
-def _refs(column: str = "segment_index") -> Column:
-    return F.array_sort(F.collect_set(column))
+def clause_flags(text: Column) -> Column:
+    """What the rules ask of a fact's whole clause, as a struct: the column `about` of facts."""
+    low = F.lower(text)
+    yes = lambda pattern, of=text: F.coalesce(of.rlike(pattern), F.lit(False))
+    subject = (
+        F.when(F.contains(low, F.lit("confidential")), "confidentiality")
+        .when(low.rlike("financial|tax|audit|accounting|invoice|billing|payment"), "financial")
+        .when(low.rlike("email|correspondence|communication|message|log|chat"), "email")
+        .otherwise("general")
+    )
+    flags = {
+        "total": yes(r"(?:total|aggregate|contract)\s+(?:value|fee|price|consideration|amount)", low),
+        "part": yes(r"milestone|phase|tranche|installment|stage", low),
+        "yearly": reduce(lambda rest, p: F.when(F.contains(low, F.lit(p[0])), p[1]).otherwise(rest), reversed(PERIODS), F.lit(1)),
+        "subject": subject,
+        "earlier_work": yes(r"(?i)pre-existing|underlying|background\s+ip|prior\s+work"),
+        "deliverables": yes("(?i)deliverable"),
+        "ip": yes(r"(?i)intellectual\s+property"),
+        "scoped": yes(r"(?i)with\s+respect\s+to|regarding|for\s+(?:purposes?\s+of|all\s+(?:other\s+)?matters?|pricing|payment|delivery|scope)"),
+        "qualified": yes(r"(?i)not\s+yet\s+performed|unused|unearned|pro[- ]?rat(?:a|ed)|remaining"),
+    }
+    return F.struct(*(c.alias(n) for n, c in flags.items()))
 
 
-def _finding(df: DataFrame, rule: str, title: str | Column) -> DataFrame:
-    title = F.lit(title) if isinstance(title, str) else title
-    return df.select("contract_id", F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), title.alias("title"), F.array_sort(F.array_distinct("refs")).alias("clause_refs"))
+def _of(condition: Column, value: str | Column = "segment_index") -> Column:
+    """value where condition holds, else null, which aggregates pass over."""
+    return F.when(F.coalesce(condition, F.lit(False)), F.col(value) if isinstance(value, str) else value)
 
 
-def _spread(values: str) -> Column:
-    """Greatest by least value; a least value of 0 under a greater one counts as any spread."""
-    return F.when(F.min(values) > 0, F.max(values) / F.min(values)).when(F.max(values) > 0, float("inf")).otherwise(1.0)
+def _refs(condition: Column) -> Column:
+    return F.collect_set(_of(condition))
+
 
+def _first(condition: Column, value: Column) -> Column:
+    """value of the first fact, in order, for which condition holds."""
+    return F.min_by(_of(condition, value), _of(condition, F.struct("segment_index", "ord")))
 
-def fee_sum(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+
+def _spread(lo: str, hi: str) -> Column:
+    """Greatest by least value; a least value of 0 under a greater one counts as any spread."""
+    return F.when(F.col(lo) > 0, F.col(hi) / F.col(lo)).when(F.col(hi) > 0, float("inf")).otherwise(1.0)
+
+
+def aggregates() -> dict[str, Column]:
+    """What all rules need of the facts of one contract."""
+    about, money = F.col("about"), _is("currency")
+    part = F.struct("segment_index", "value", "raw", about["yearly"].alias("yearly"))
+    total = F.struct("segment_index", "value", "raw")
+    made = {}
+    # Totals and instalments: by the categories of sentences, and by what clauses' texts suggest.
+    for how, is_total, is_part in (("narrow", _has("total_fee"), _has("milestone_fee")), ("broad", about["total"], about["part"])):
+        made |= {f"{how}_total": _first(money & is_total, total), f"{how}_parts": F.collect_list(_of(money & is_part, part))}
+    period = _is("duration")
+    made["reviews"] = F.collect_set(_of(period & _has("acceptance_period"), F.struct("segment_index", "days")))
+    made["deemed"] = F.collect_set(_of(period & _has("deemed_acceptance"), F.struct("segment_index", "days")))
+    special = _has("acceptance_period", "deemed_acceptance", "security_notice", "retention_period")
+    kinds = {"security": period & _has("security_notice"), "contract_term": period & ~special & _has("contract_term"), "notice_period": period & ~special & _has("notice_period")}
+    for name, on in kinds.items():
+        made |= {f"{name}_n": F.count(_of(on)), f"{name}_lo": F.min(_of(on, "days")), f"{name}_hi": F.max(_of(on, "days")), f"{name}_refs": _refs(on)}
+    made["kept"] = F.collect_list(_of(period & _has("retention_period"), F.struct("segment_index", "ord", "days", F.coalesce(about["subject"], F.lit("general")).alias("subject"))))
+    alias = F.create_map(*(F.lit(x) for p in ALIAS.items() for x in p))
+    place = _is("jurisdiction")
+    made |= {"places_n": F.count(_of(place)), "places": F.collect_set(_of(place, F.coalesce(F.try_element_at(alias, F.col("place")), F.col("place")))), "places_refs": _refs(place)}
+    for name, on in {"cap": _is("currency", "liability_cap") | _is("percentage", "liability_cap"), "interest": _is("percentage", "interest_rate")}.items():
+        made |= {f"{name}_lo": F.min(_of(on, "value")), f"{name}_hi": F.max(_of(on, "value")), f"{name}_refs": _refs(on)}
+    date = F.struct("raw", "segment_index")
+    made |= {"completed": _first(_is("date", "completion_date"), date), "delivered": _first(_is("date", "delivery_date"), date)}
+    made |= {"renewal": F.min(_of(_is("auto_renewal"))), "end": F.min(_of(_is("fixed_end_date")))}
+    for subject in SUBJECTS:
+        on = _is("ownership") & (F.col("subject") == subject)
+        made |= {f"{subject}_lo": F.min(_of(on, "party")), f"{subject}_hi": F.max(_of(on, "party")), f"{subject}_scoped": F.bool_or(_of(on, about["earlier_work"] & ~about[subject])), f"{subject}_refs": _refs(on)}
+    first = _is("precedence")
+    made |= {"first_lo": F.min(_of(first, "document")), "first_hi": F.max(_of(first, "document")), "first_scoped": F.bool_and(_of(first, F.coalesce(about["scoped"], F.lit(False)))), "first_refs": _refs(first)}
+    paid, refund = _is("termination_payment"), F.col("action") == "refund_all"
+    made |= {"refund": _first(paid & refund, F.coalesce(about["qualified"], F.lit(False))), "pay": F.bool_or(_of(paid, F.col("action") == "pay_for_services")), "paid_refs": _refs(paid)}
+    return made
+
+
+#: Subjects that two parties may not both own.
+SUBJECTS = ("deliverables", "ip")
+_FINDINGS = "array<struct<rule: string, severity: string, clause_refs: array<int>, title: string>>"
+
+
+def _found(rule: str, title: str, when: Column, refs: Column) -> Column:
+    """One finding, as an array, where when holds."""
+    made = F.struct(F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), F.array_sort(F.array_distinct(refs)).alias("clause_refs"), F.lit(title).alias("title"))
+    return F.when(F.coalesce(when, F.lit(False)), F.array(made)).otherwise(F.array().cast(_FINDINGS)).cast(_FINDINGS)
+
+
+def _fees(how: str, same, least: int, by_year: bool) -> tuple[Column, Column]:
+    """Whether the instalments, without what is the total itself, miss the total; the clauses of both."""
+    total = F.col(f"{how}_total")
+    parts = F.filter(f"{how}_parts", lambda x: ~same(x, total))
+    summed = lambda value: F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + value(x))
+    off = F.abs(summed(lambda x: x["value"]) - total["value"]) > CENT
+    if by_year:
+        off = off & (F.abs(summed(lambda x: x["value"] * x["yearly"]) - total["value"]) > CENT)
+    return total.isNotNull() & (F.size(parts) >= least) & off, F.concat(F.transform(parts, lambda x: x["segment_index"]), F.array(total["segment_index"]))
+
+
+def fee_sum() -> Column:
     """The first total against the sum of instalments, as they stand and by their number a year; where the categories of the
     sentences give no total or no instalment, against what the clauses' texts suggest, from two instalments on."""
-    place = F.struct("segment_index", "ord")
-    money = facts.filter(_is("currency")).join(clauses.select("contract_id", "segment_index", F.lower("raw_text").alias("text")), ["contract_id", "segment_index"], "left")
-    yearly = reduce(lambda rest, p: F.when(F.contains("text", F.lit(p[0])), p[1]).otherwise(rest), reversed(PERIODS), F.lit(1))
-    narrow = money.withColumn("total", _has("total_fee")).withColumn("part", _has("milestone_fee"))
-    broad = money.withColumn("total", F.col("text").rlike(r"(?:total|aggregate|contract)\s+(?:value|fee|price|consideration|amount)")).withColumn("part", F.col("text").rlike(r"milestone|phase|tranche|installment|stage"))
-
-    def against(rows: DataFrame, same: Column, least: int, by_year: bool) -> DataFrame:
-        first = rows.filter("total").groupBy("contract_id").agg(F.min_by(F.struct("segment_index", "value", "raw"), place).alias("t"))
-        parts = rows.filter("part").join(first, "contract_id").filter(~same)
-        sums = parts.groupBy("contract_id").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("plain"), F.sum(F.col("value") * yearly).alias("yearly"), _refs().alias("parts"))
-        off = F.abs(F.col("plain") - F.col("t.value")) > CENT
-        if by_year:
-            off = off & (F.abs(F.col("yearly") - F.col("t.value")) > CENT)
-        return sums.filter((F.col("n") >= least) & off).withColumn("refs", F.concat("parts", F.array("t.segment_index")))
-
-    same_fact = (F.col("segment_index") == F.col("t.segment_index")) & (F.col("value") == F.col("t.value")) & (F.col("raw") == F.col("t.raw"))
-    settled = narrow.groupBy("contract_id").agg(F.bool_or("total").alias("_t"), F.bool_or("part").alias("_p")).filter("_t AND _p")
-    open_ = broad.join(settled, "contract_id", "left_anti")
-    title = "Contract Value vs Milestone Payment Mismatch"
-    found = against(narrow, same_fact, 1, True).select("contract_id", "refs")
-    more = against(open_, F.col("segment_index") == F.col("t.segment_index"), 2, False).select("contract_id", "refs")
-    return _finding(found.unionByName(more), "FEE_SUM_MISMATCH", title)
-
-
-def acceptance_window(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+    same_fact = lambda x, t: (x["segment_index"] == t["segment_index"]) & (x["value"] == t["value"]) & (x["raw"] == t["raw"])
+    narrow, narrow_refs = _fees("narrow", same_fact, 1, True)
+    broad, broad_refs = _fees("broad", lambda x, t: x["segment_index"] == t["segment_index"], 2, False)
+    settled = F.col("narrow_total").isNotNull() & (F.size("narrow_parts") > 0)
+    return _found("FEE_SUM_MISMATCH", "Contract Value vs Milestone Payment Mismatch", F.when(settled, narrow).otherwise(broad), F.when(settled, narrow_refs).otherwise(broad_refs))
+
+
+def acceptance_window() -> Column:
     """Every pair of a review period and a shorter period until deemed acceptance."""
-    review = facts.filter(_is("duration", "acceptance_period")).select("contract_id", F.col("segment_index").alias("a"), F.col("days").alias("days_a"))
-    deemed = facts.filter(_is("duration", "deemed_acceptance")).select("contract_id", F.col("segment_index").alias("b"), F.col("days").alias("days_b"))
-    pairs = review.join(deemed, "contract_id").filter("days_a > days_b").select("contract_id", F.array("a", "b").alias("refs")).distinct()
-    return _finding(pairs, "ACCEPTANCE_WINDOW", "Review Period vs Deemed Acceptance Conflict")
+    pairs = F.flatten(F.transform("reviews", lambda a: F.transform(F.filter("deemed", lambda b: a["days"] > b["days"]), lambda b: F.array(a["segment_index"], b["segment_index"]))))
+    title = "Review Period vs Deemed Acceptance Conflict"
+    return F.flatten(F.transform(pairs, lambda refs: _found("ACCEPTANCE_WINDOW", title, F.lit(True), refs)))
 
 
-def notice_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    g = facts.filter(_is("duration", "security_notice")).groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"), _spread("days").alias("r"), _refs().alias("refs"))
-    return _finding(g.filter((F.col("n") >= 2) & (F.col("r") > RATIO)), "NOTICE_CONFLICT", "Conflicting Security Notification Deadlines")
+def notice_conflict() -> Column:
+    return _found("NOTICE_CONFLICT", "Conflicting Security Notification Deadlines", (F.col("security_n") >= 2) & (_spread("security_lo", "security_hi") > RATIO), F.col("security_refs"))
 
 
-def retention_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+def retention_conflict() -> Column:
     """The first pair, in order of facts, of retention periods that differ much and concern one subject or any."""
-    text = F.lower("raw_text")
-    subject = (
-        F.when(F.contains(text, F.lit("confidential")), "confidentiality")
-        .when(text.rlike("financial|tax|audit|accounting|invoice|billing|payment"), "financial")
-        .when(text.rlike("email|correspondence|communication|message|log|chat"), "email")
-        .otherwise("general")
-    )
-    rows = facts.filter(_is("duration", "retention_period")).join(clauses.select("contract_id", "segment_index", subject.alias("subject_of")), ["contract_id", "segment_index"], "left")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("contract_id").orderBy("segment_index", "ord")))
-    a, b = (rows.select("contract_id", F.col("k").alias(f"k{s}"), F.col("days").alias(f"d{s}"), F.coalesce("subject_of", F.lit("general")).alias(f"s{s}"), F.col("segment_index").alias(f"i{s}")) for s in "ab")
-    pairs = a.join(b, "contract_id").filter("ka < kb").filter(F.greatest("da", "db") > RATIO * F.least("da", "db")).filter("sa = sb OR sa = 'general' OR sb = 'general'")
-    first = pairs.groupBy("contract_id").agg(F.min(F.struct("ka", "kb", "ia", "ib")).alias("p")).select("contract_id", F.array("p.ia", "p.ib").alias("refs"))
-    return _finding(first, "RETENTION_CONFLICT", "Conflicting Record Retention Periods")
+    kept = F.array_sort("kept")
 
+    def clash(a: Column, b: Column) -> Column:
+        place = lambda x: F.struct(x["segment_index"], x["ord"])
+        subject = (a["subject"] == b["subject"]) | (a["subject"] == "general") | (b["subject"] == "general")
+        return (place(a) < place(b)) & (F.greatest(a["days"], b["days"]) > RATIO * F.least(a["days"], b["days"])) & subject
 
-def jurisdiction_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Two places or more, of which none lies in another that is named."""
-    alias = F.create_map(*(F.lit(x) for p in ALIAS.items() for x in p))
-    above = F.create_map(*(x for p in PARENT for x in (F.lit(p), F.array(*map(F.lit, ancestors(p))))))
-    rows = facts.filter(_is("jurisdiction")).withColumn("named", F.coalesce(F.try_element_at(alias, F.col("place")), F.col("place")))
-    g = rows.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("named").alias("named"), _refs().alias("refs"))
-    covered = F.flatten(F.transform("named", lambda p: F.coalesce(F.try_element_at(above, p), F.array().cast("array<string>"))))
-    return _finding(g.filter((F.col("n") >= 2) & (F.size(F.array_except("named", covered)) >= 2)), "JURISDICTION_CONFLICT", "Multiple Exclusive Jurisdictions Claimed")
+    pairs = F.transform(kept, lambda a: F.get(F.transform(F.filter(kept, lambda b: clash(a, b)), lambda b: F.array(a["segment_index"], b["segment_index"])), F.lit(0)))
+    first = F.get(F.filter(pairs, lambda p: p.isNotNull()), F.lit(0))
+    return _found("RETENTION_CONFLICT", "Conflicting Record Retention Periods", first.isNotNull(), first)
 
 
-def _distinct_values(facts: DataFrame, keep: Column, rule: str, title: str) -> DataFrame:
-    g = facts.filter(keep).groupBy("contract_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), _refs().alias("refs"))
-    return _finding(g.filter("lo < hi"), rule, title)
+def jurisdiction_conflict() -> Column:
+    """Two places or more, of which none lies in another that is named."""
+    above = F.create_map(*(x for p in PARENT for x in (F.lit(p), F.array(*map(F.lit, ancestors(p))))))
+    covered = F.flatten(F.transform("places", lambda p: F.coalesce(F.try_element_at(above, p), F.array().cast("array<string>"))))
+    return _found("JURISDICTION_CONFLICT", "Multiple Exclusive Jurisdictions Claimed", (F.col("places_n") >= 2) & (F.size(F.array_except("places", covered)) >= 2), F.col("places_refs"))
 
 
-def liability_contradiction(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    return _distinct_values(facts, _is("currency", "liability_cap") | _is("percentage", "liability_cap"), "LIABILITY_CONTRADICTION", "Conflicting Liability Cap Provisions")
+def liability_contradiction() -> Column:
+    return _found("LIABILITY_CONTRADICTION", "Conflicting Liability Cap Provisions", F.col("cap_lo") < F.col("cap_hi"), F.col("cap_refs"))
 
 
-def interest_contradiction(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    return _distinct_values(facts, _is("percentage", "interest_rate"), "INTEREST_CONTRADICTION", "Conflicting Interest Rates for Late Payments")
+def interest_contradiction() -> Column:
+    return _found("INTEREST_CONTRADICTION", "Conflicting Interest Rates for Late Payments", F.col("interest_lo") < F.col("interest_hi"), F.col("interest_refs"))
 
 
-def date_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+def date_conflict() -> Column:
     """The first completion date against the first delivery date, as written."""
-    place, what = F.struct("segment_index", "ord"), F.struct("raw", "segment_index")
-    first = lambda c: F.min_by(F.when(_has(c), what), F.when(_has(c), place))
-    g = facts.filter(_is("date")).groupBy("contract_id").agg(first("completion_date").alias("c"), first("delivery_date").alias("d"))
-    g = g.filter(F.col("c.raw") != F.col("d.raw")).withColumn("refs", F.array("c.segment_index", "d.segment_index"))
-    return _finding(g, "DATE_CONFLICT", "Project Completion Date vs Final Delivery Date Inconsistency")
+    title = "Project Completion Date vs Final Delivery Date Inconsistency"
+    return _found("DATE_CONFLICT", title, F.col("completed.raw") != F.col("delivered.raw"), F.array("completed.segment_index", "delivered.segment_index"))
 
 
-def renewal_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("segment_index")))
-    g = facts.groupBy("contract_id").agg(first("auto_renewal").alias("a"), first("fixed_end_date").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    return _finding(g.withColumn("refs", F.array("a", "b")), "AUTO_RENEWAL_VS_FIXED", "Auto-Renewal Provision Conflicts with Fixed End Date")
+def renewal_conflict() -> Column:
+    return _found("AUTO_RENEWAL_VS_FIXED", "Auto-Renewal Provision Conflicts with Fixed End Date", F.col("renewal").isNotNull() & F.col("end").isNotNull(), F.array("renewal", "end"))
 
 
-def duration_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+def duration_conflict() -> Column:
     """Terms, and notice periods, that differ much between clauses, without those of a more special kind."""
-    rows = facts.filter(_is("duration") & ~_has("acceptance_period", "deemed_acceptance", "security_notice", "retention_period"))
-    rows = rows.withColumn("cat", F.explode(F.array_intersect("categories", F.array(F.lit("contract_term"), F.lit("notice_period")))))
-    g = rows.groupBy("contract_id", "cat").agg(_spread("days").alias("r"), _refs().alias("refs")).filter((F.size("refs") >= 2) & (F.col("r") > RATIO))
-    return _finding(g, "DURATION_CONFLICT", F.concat(F.lit("Conflicting "), F.replace("cat", F.lit("_"), F.lit(" ")), F.lit(" Durations")))
+    one = lambda kind: _found("DURATION_CONFLICT", f"Conflicting {kind.replace('_', ' ')} Durations", (F.size(f"{kind}_refs") >= 2) & (_spread(f"{kind}_lo", f"{kind}_hi") > RATIO), F.col(f"{kind}_refs"))
+    return F.concat(one("contract_term"), one("notice_period"))
 
 
-def ownership_contradiction(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+def ownership_contradiction() -> Column:
     """Two parties own one subject, unless a clause that keeps earlier work does not speak of the subject."""
-    rows = facts.filter(_is("ownership") & (F.col("subject") != "general")).join(clauses, ["contract_id", "segment_index"], "left")
-    names = F.when(F.col("subject") == "deliverables", F.col("raw_text").rlike("(?i)deliverable")).otherwise(F.col("raw_text").rlike(r"(?i)intellectual\s+property"))
-    scoped = F.coalesce(F.col("raw_text").rlike(r"(?i)pre-existing|underlying|background\s+ip|prior\s+work") & ~names, F.lit(False))
-    g = rows.groupBy("contract_id", "subject").agg(F.min("party").alias("lo"), F.max("party").alias("hi"), F.bool_or(scoped).alias("scoped"), _refs().alias("refs"))
-    return _finding(g.filter("lo < hi AND NOT scoped"), "OWNERSHIP_CONTRADICTION", F.concat(F.lit("Conflicting Ownership of "), F.initcap("subject")))
+    one = lambda s: _found("OWNERSHIP_CONTRADICTION", f"Conflicting Ownership of {s.capitalize()}", (F.col(f"{s}_lo") < F.col(f"{s}_hi")) & ~F.col(f"{s}_scoped"), F.col(f"{s}_refs"))
+    return F.concat(*map(one, SUBJECTS))
 
 
-def precedence_conflict(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    scope = r"(?i)with\s+respect\s+to|regarding|for\s+(?:purposes?\s+of|all\s+(?:other\s+)?matters?|pricing|payment|delivery|scope)"
-    rows = facts.filter(_is("precedence")).join(clauses, ["contract_id", "segment_index"], "left")
-    g = rows.groupBy("contract_id").agg(F.min("document").alias("lo"), F.max("document").alias("hi"), F.bool_and(F.coalesce(F.col("raw_text").rlike(scope), F.lit(False))).alias("scoped"), _refs().alias("refs"))
-    return _finding(g.filter("lo < hi AND NOT scoped").filter(F.size("refs") >= 2), "PRECEDENCE_CONFLICT", "Conflicting Document Precedence")
+def precedence_conflict() -> Column:
+    return _found("PRECEDENCE_CONFLICT", "Conflicting Document Precedence", (F.col("first_lo") < F.col("first_hi")) & ~F.col("first_scoped") & (F.size("first_refs") >= 2), F.col("first_refs"))
 
 
-def termination_payment(facts: DataFrame, clauses: DataFrame) -> DataFrame:
+def termination_payment() -> Column:
     """A refund of everything against pay for work done, unless the first refund is a qualified one."""
-    rows = facts.filter(_is("termination_payment")).join(clauses, ["contract_id", "segment_index"], "left")
-    qualified = F.col("raw_text").rlike(r"(?i)not\s+yet\s+performed|unused|unearned|pro[- ]?rat(?:a|ed)|remaining")
-    refund = F.col("action") == "refund_all"
-    g = rows.groupBy("contract_id").agg(F.min_by(F.when(refund, F.coalesce(qualified, F.lit(False))), F.when(refund, F.struct("segment_index", "ord"))).alias("q"), F.bool_or(F.col("action") == "pay_for_services").alias("pay"), _refs().alias("refs"))
-    return _finding(g.filter("pay AND NOT q"), "TERMINATION_PAYMENT", "Contradictory Termination Payment Provisions")
+    return _found("TERMINATION_PAYMENT", "Contradictory Termination Payment Provisions", F.col("pay") & ~F.col("refund"), F.col("paid_refs"))
 
 
 RULES = (
@@ -201,7 +242,17 @@ RULES = (
 )
 
 
-def detect(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Findings of all rules, one for each contract, rule and set of clauses (the least title of several)."""
-    found = reduce(DataFrame.unionByName, (rule(facts, clauses.select("contract_id", "segment_index", "raw_text")) for rule in RULES))
-    return found.groupBy("contract_id", "rule", "severity", "clause_refs").agg(F.min("title").alias("title")).select("contract_id", "rule", "severity", "title", "clause_refs")
+def detect(facts: DataFrame, clauses: DataFrame | None = None) -> DataFrame:
+    """Findings of all rules, one for each contract, rule and set of clauses (the least title of several).
+
+    facts come from facts.extract_facts with clause_flags; without the column about, clauses (contract_id, segment_index,
+    raw_text) are joined to them first."""
+    if "about" not in facts.columns:
+        side = clauses.select("contract_id", "segment_index", clause_flags(F.col("raw_text")).alias("about"))
+        facts = facts.join(side, ["contract_id", "segment_index"], "left")
+    facts = facts.withColumn("segment_index", F.col("segment_index").cast("int"))
+    per = facts.groupBy("contract_id").agg(*(c.alias(n) for n, c in aggregates().items()))
+    every = per.select("contract_id", F.explode(F.array(F.array_sort(F.concat(*(rule() for rule in RULES))))).alias("_all"))
+    least = F.filter("_all", lambda x, i: (i == 0) | ~F.coalesce((F.get("_all", i - 1)["rule"] == x["rule"]) & (F.get("_all", i - 1)["clause_refs"] == x["clause_refs"]), F.lit(False)))
+    found = every.select("contract_id", F.explode(least).alias("f"))
+    return found.select("contract_id", "f.rule", "f.severity", "f.title", "f.clause_refs")

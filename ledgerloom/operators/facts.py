@@ -180,15 +180,18 @@ def categories(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("uncategorized")))
 
 
-def extract_facts(clauses: DataFrame) -> DataFrame:
+def extract_facts(clauses: DataFrame, about: Column | None = None) -> DataFrame:
     """Clauses (contract_id, segment_index, raw_text) to facts: contract_id, segment_index, ord, the fact's fields, categories.
 
-    ord counts facts of a clause: by sentence, extractor and match. A sentence of no category has those of its clause."""
-    rows = clauses.select("contract_id", "segment_index", "raw_text", categories(F.col("raw_text")).alias("_of_clause"), F.posexplode(sentences(F.col("raw_text"))).alias("_s", "_text"))
+    ord counts facts of a clause: by sentence, extractor and match. A sentence of no category has those of its clause. about
+    is a column over a clause that goes with each of its facts, under that name."""
+    more = ["about"] if about is not None else []
+    clauses = clauses.withColumn("about", about) if more else clauses
+    rows = clauses.select("contract_id", "segment_index", "raw_text", *more, categories(F.col("raw_text")).alias("_of_clause"), F.posexplode(sentences(F.col("raw_text"))).alias("_s", "_text"))
     rows = rows.filter(F.length(F.trim("_text")) > 0)
     t = F.col("_text")
     extractors = [currency(t, F.col("raw_text")), durations(t), percentages(t), dates(t), cross_refs(t), jurisdictions(t), ownership(t), provisions(t)]
     own = categories(t)
     rows = rows.withColumn("categories", F.when(own == F.array(F.lit("uncategorized")), F.col("_of_clause")).otherwise(own))
-    rows = rows.select("contract_id", "segment_index", "categories", "_s", F.posexplode(reduce(F.concat, extractors)).alias("_k", "f"))
-    return rows.select("contract_id", "segment_index", (F.col("_s") * 10_000 + F.col("_k")).alias("ord"), "f.*", "categories")
+    rows = rows.select("contract_id", "segment_index", *more, "categories", "_s", F.posexplode(reduce(F.concat, extractors)).alias("_k", "f"))
+    return rows.select("contract_id", "segment_index", (F.col("_s") * 10_000 + F.col("_k")).alias("ord"), "f.*", "categories", *more)

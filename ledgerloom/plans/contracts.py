@@ -79,7 +79,7 @@ def facts_literal(spark, sf):
 @query(values(FINDINGS, "contract_id BIGINT, rule VARCHAR, severity VARCHAR, clauses VARCHAR"))
 def contradictions_literal(spark, sf):
     rows = clauses(spark)
-    return contradictions.detect(facts.extract_facts(rows), rows).select("contract_id", "rule", "severity", F.array_join(F.transform("clause_refs", lambda r: r.cast("string")), ",").alias("clauses"))
+    return contradictions.detect(facts.extract_facts(rows, contradictions.clause_flags(F.col("raw_text")))).select("contract_id", "rule", "severity", F.array_join(F.transform("clause_refs", lambda r: r.cast("string")), ",").alias("clauses"))
 
 
 @query(values(sorted({(c, r, s) for c, _, s, refs in FINDINGS for r in map(int, refs.split(","))}), "contract_id BIGINT, segment_index INT, risk_level VARCHAR"))
@@ -87,7 +87,7 @@ def audited_clauses(spark, sf):
     """Clauses that findings reach, with the level they get."""
     rows = clauses(spark)
     base = rows.select("contract_id", "segment_index", F.lit("low").alias("risk_level"), F.lit(2).alias("risk_score"), F.array().cast("array<string>").alias("risk_reasons"), F.lit(5).alias("confidence_score"), F.lit("low").alias("compliance_risk_level"))
-    found = scoring.apply_findings(base, contradictions.detect(facts.extract_facts(rows), rows))
+    found = scoring.apply_findings(base, contradictions.detect(facts.extract_facts(rows, contradictions.clause_flags(F.col("raw_text")))))
     return found.filter("risk_level <> 'low'").select("contract_id", "segment_index", "risk_level")
 
 
