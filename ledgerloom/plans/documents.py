@@ -13,8 +13,8 @@ from ledgerloom.sources import readers
 #: Words that the corpus of prose has, for lexicons over it.
 CORPUS_TRAPS = [
     ("licence", "critical", [["license", "licence"], ["version", "public"]]),
-    ("greeting", "high", [["the and", "der dem", "la et"], ["!license"]]),
-    ("marked", "high", [["re:[#%&]{3}"]]),
+    ("greeting", "high", [["the and", "der dem", "la et"]], [["license"]]),
+    ("marked", "high", [[lexicon.Pattern("[#%&]{3}")]]),
     ("either", "critical", [["this", "zu und"], ["this", "von mit"]]),
 ]
 CASCADE = [("licence", r"licen[sc]e"), ("contact", r"@"), ("marked", r"[#%&]{3}"), ("question", r"\?"), ("numbers", r"[0-9]{4}")]

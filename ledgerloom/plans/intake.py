@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import answers, enrich, retrieval, scoring
+from ledgerloom.operators.staged import Stages
 from ledgerloom.plans.registry import query
-from ledgerloom.session import table
+from ledgerloom.session import shared_path, table
 from ledgerloom.sources import admission
 
 
@@ -128,3 +129,25 @@ def hinted_edges(spark, sf):
     triples = p.select(F.col("p_partkey").alias("src"), F.when(F.col("p_size") % 2 == 0, "EXCEPTS").otherwise("DEFINED_BY").alias("rel"), hint.alias("hint"))
     vertices = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" of "), "p_brand").alias("name"))
     return retrieval.edges_from_triples(triples, vertices)
+
+
+def _wavering(frame):
+    """Levels by length; no answer to every third text at first, and to every seventh at all."""
+    said = frame[((frame["doc_id"] % 3 != 0) | (frame["_attempt"] > 1)) & (frame["doc_id"] % 7 != 0)]
+    return said[["doc_id"]].assign(level=(said["text"].str.len() % 2).map({0: "even", 1: "odd"}), attempt=said["_attempt"])
+
+
+def _reflected(frame):
+    return frame[["doc_id"]].assign(again=frame["text"].str.len().astype("int64"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'standard' WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS level, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS attempt,
+CASE WHEN doc_id % 7 <> 0 AND length(text) % 2 = 1 AND n_chars > 300 THEN length(text) END AS again FROM documents""")
+def staged_answers(spark, sf):
+    """Two stages over all documents: levels, asked anew where an answer is lacking, then a second look at some of those that have one."""
+    docs = table(spark, sf, "documents")
+    stages = Stages(spark, shared_path(spark, "stages"), ["doc_id"])
+    stages.complete(docs, "level", "text", _wavering, "level string, attempt int")
+    judged = stages.result(docs, "level", {"level": "standard"})
+    stages.complete(judged, "again", "text", _reflected, "again long", (F.col("level") == "odd") & (F.col("n_chars") > 300))
+    return stages.result(judged, "again").select("doc_id", "level", "attempt", "again")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions.digest import changed, hmac_sha256
 from ledgerloom.operators import retrieval, summaries
-from ledgerloom.plans.registry import query, values
+from ledgerloom.plans.registry import pick, pick_sql, query
 from ledgerloom.session import table
 
 
@@ -85,18 +84,23 @@ _GATES = [
 ]
 
 
-@query(values(_GATES, "act VARCHAR, section VARCHAR, text VARCHAR, fits BOOLEAN, asked BOOLEAN"))
+@query(f"SELECT c_custkey, {pick_sql('c_custkey', [g[3] for g in _GATES], 'BOOLEAN')} AS fits, {pick_sql('c_custkey', [g[4] for g in _GATES], 'BOOLEAN')} AS asked FROM customer")
 def retrieval_gates(spark, sf):
-    rows = spark.createDataFrame([g[:3] for g in _GATES], "act string, section string, text string")
-    return rows.select("act", "section", "text", retrieval.plausible(F.col("act"), F.col("section"), F.col("text")).alias("fits"), retrieval.worth_asking(F.col("text")).alias("asked"))
+    """Hits and clauses dealt over the customers, whose names stand in them."""
+    act, section, text = (pick(F.col("c_custkey"), [g[k] for g in _GATES]) for k in range(3))
+    act, text = F.concat("c_mktsegment", F.lit(" "), act), F.concat(text, F.lit(" "), "c_name")
+    return table(spark, sf, "customer").select("c_custkey", retrieval.plausible(act, section, text).alias("fits"), retrieval.worth_asking(text).alias("asked"))
 
 
-_SIGNED = [(m, hmac.new(b"secret" * 20, m.encode(), hashlib.sha256).hexdigest()) for m in ("", "payload", "Grüße")]
+_SECRET = "secret" * 20
+#: The key's two pads: a key longer than a block is its digest.
+_PADS = [bytes(x ^ p for x in hashlib.sha256(_SECRET.encode()).digest().ljust(64, b"\0")).hex() for p in (0x5C, 0x36)]
 
 
-@query(values(_SIGNED, "message VARCHAR, signature VARCHAR"))
+@query(f"SELECT conv_id, turn, sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode(text)))) AS signature FROM conversations")
 def webhook_signature(spark, sf):
-    return spark.createDataFrame([(m,) for m, _ in _SIGNED], "message string").select("message", hmac_sha256(F.col("message"), "secret" * 20).alias("signature"))
+    """Every turn signed."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", hmac_sha256(F.col("text"), _SECRET).alias("signature"))
 
 
 @query("SELECT page_id, page_id % 3 <> 0 AS changed FROM pages")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -20,6 +23,17 @@ def query(sql: str | None = None):
     return register
 
 
+def pick(key: Column, choices: list, kind: str = "string") -> Column:
+    """The choice that the rest of a key gives: choices dealt over the rows of a table."""
+    return F.get(F.array(*(F.lit(c).cast(kind) for c in choices)), F.pmod(key, F.lit(len(choices))).cast("int"))
+
+
+def pick_sql(key: str, choices: list, kind: str = "VARCHAR") -> str:
+    """The same in SQL."""
+    lit = lambda v: "[" + ", ".join(map(lit, v)) + "]" if isinstance(v, list) else "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    return f"CAST([{', '.join(map(lit, choices))}] AS {kind}[])[CAST({key} AS BIGINT) % {len(choices)} + 1]"
+
+
 def values(rows: list[tuple], columns: str) -> str:
     """SQL for literal rows; columns is "name TYPE, ..."."""
 

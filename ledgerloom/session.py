@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,6 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_UNSET: dict[str, str] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder in spark.checkpoint.dir, which driver and executors share; where that is unset, below a folder
+    of this machine if they are one process, as in tests, and else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        root = _UNSET[app] = _UNSET.get(app) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    return f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
 _SHIPPED: set[str] = set()
 
 

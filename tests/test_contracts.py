@@ -68,7 +68,7 @@ def test_alignment_table(spark):
 
 
 def test_lexicon_groups_negation_and_patterns(spark):
-    rules = lexicon.table(spark, [("x", "high", [["alpha", "beta"], ["!gamma"]]), ("y", "critical", [["re:d[0-9]+"]])])
+    rules = lexicon.table(spark, [("x", "high", [["alpha", "beta"]], [["gamma"]]), ("y", "critical", [[lexicon.Pattern("d[0-9]+")]])])
     rows = spark.createDataFrame([(1, "ALPHA " + "." * 50), (2, "beta gamma " + "." * 50), (3, "d12 alpha " + "." * 50), (4, "alpha")], "id long, t string")
     assert sorted((r["id"], r["trap_type"]) for r in lexicon.match(rows, "t", rules).collect()) == [(1, "x"), (3, "x"), (3, "y")]
     assert lexicon.match(rows, "t", rules.limit(0)).collect() == []
