@@ -61,6 +61,8 @@ NEAR = 8
 #: Rounds of joining components at most, and the share of multiplied pairs that must link for one more.
 ROUNDS = 4
 WORTH = 0.05
+#: Pairs up to which who is asked for is broadcast to the rows (two short rows a pair, 20 MB); beyond it both sides are shuffled.
+ASKED_PAIRS = 250_000
 #: Bits of the filter that keeps rows nobody asks for from being written; fixed as well.
 FILTER_BITS = 24
 
@@ -393,19 +395,22 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_arrow(docs.select("id", "text", spot("id").alias("s")), keep, "id long, text string")
 
 
-def multiplied(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the row blocks that pairs (hub, member, hub_size) of rows (id, size, start, grams) make up.
+def multiplied(rows: DataFrame, pairs: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+    """Links (a, b) of the row blocks that n_pairs pairs (hub, member, hub_size) of rows (id, size, start, grams) make up.
 
     A head with many members is dealt over several blocks, each with a copy of the head's row. A step is a range of columns
     that no piece of the block's rows crosses: sizes that can link differ little, and the finest cut of a head's size is taken
     coarser by one for that."""
     load = pairs.groupBy("hub").agg(F.max("hub_size").alias("hub_size"), F.count(F.lit(1)).alias("n"))
-    load = load.select("hub", "hub_size", F.ceil(F.greatest(F.col("n") / STAR_ROWS, F.col("n") * F.col("hub_size") / STAR_GRAMS)).cast("int").alias("parts"))
+    load = load.select("hub", "hub_size", F.least("n", F.ceil(F.greatest(F.col("n") / STAR_ROWS, F.col("n") * F.col("hub_size") / STAR_GRAMS))).cast("int").alias("parts"))
     members = pairs.drop("hub_size").join(load, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.col("member").alias("of"), "hub_size")
     hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("of"), "hub_size")
     bits = F.greatest(F.lit(0), F.length(F.bin(F.floor(F.col("hub_size") * percent / 100))) - PIECE_BITS)
     step = F.floor(F.col("start") / F.pow(F.lit(2.0), 30 - bits))
-    asked = members.unionByName(hubs).join(rows, F.col("of") == F.col("id")).select("hub", "part", step.alias("step"), "of", "size", "start", "grams")
+    who = members.unionByName(hubs)
+    # A head has a copy a block, and no more blocks than members. Few pairs go to the rows, so that rows are moved once.
+    who = F.broadcast(who) if n_pairs <= ASKED_PAIRS else who
+    asked = rows.join(who, F.col("of") == F.col("id")).select("hub", "part", step.alias("step"), "of", "size", "start", "grams")
     dealt = asked.repartition("hub", "part").sortWithinPartitions("hub", "part", "step", "of", "start")
     return map_arrow(dealt, lambda b: _product(b, percent), "a long, b long")
 
@@ -532,7 +537,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return 0, 0
         ordered = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
         tried = ordered if tried is None else tried.unionByName(ordered)
-        new = scratch.keep(multiplied(rows, pairs, percent), "links")
+        new = scratch.keep(multiplied(rows, pairs, percent, n_pairs), "links")
         n_links += (n_new := new.count())
         if n_new:
             near = _joined(near, new, n_links, scratch)
