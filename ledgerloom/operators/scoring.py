@@ -188,8 +188,8 @@ def apply_findings(clauses: DataFrame, findings: DataFrame) -> DataFrame:
 
 def apply_overrides(clauses: DataFrame, contracts: DataFrame, rules: DataFrame) -> DataFrame:
     """Jurisdiction rules (ord, place, overrides array of clause types, reason): the first rule whose place stands as a word in
-    the contract's address and that names the clause's type makes the clause critical. The rule book is small and broadcast."""
-    at = contracts.join(F.broadcast(rules), F.regexp_like("address", F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), F.col("place"), F.lit(r"(?![A-Za-z0-9_])"))))
+    the contract's address and that names the clause's type makes the clause critical."""
+    at = contracts.join(rules, F.regexp_like("address", F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), F.col("place"), F.lit(r"(?![A-Za-z0-9_])"))))
     typed = at.select("contract_id", F.explode("overrides").alias("clause_type"), "ord", "reason")
     first = typed.groupBy("contract_id", "clause_type").agg(F.min_by("reason", "ord").alias("_reason"))
     hit = F.col("_reason").isNotNull()

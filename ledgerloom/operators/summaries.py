@@ -64,8 +64,9 @@ def avg_of_avgs(latency: DataFrame) -> DataFrame:
     return latency.agg(F.floor(F.avg("latency") + 0.5).cast("long").alias("avg_latency"))
 
 
-def confusion(cases: DataFrame) -> DataFrame:
-    """Accuracy of type and risk and numbers of over- and under-rated cases (expected_*, actual_*)."""
+def confusion(cases: DataFrame, score: str | None = None) -> DataFrame:
+    """Accuracy of type and risk and numbers of over- and under-rated cases (expected_*, actual_*); with score, also
+    mean_rewrite_score, the mean of the scores that were given, to two places."""
     high = lambda c: F.col(c).isin("HIGH", "CRITICAL")
     return cases.agg(
         F.count(F.lit(1)).alias("total"),
@@ -73,9 +74,35 @@ def confusion(cases: DataFrame) -> DataFrame:
         F.count_if(F.col("expected_risk") == F.col("actual_risk")).alias("risk_right"),
         F.count_if((F.col("expected_risk") == "LOW") & high("actual_risk")).alias("false_positives"),
         F.count_if(high("expected_risk") & (F.col("actual_risk") == "LOW")).alias("false_negatives"),
+        *([F.round(F.avg(score), 2).alias("mean_rewrite_score")] if score else []),
     )
 
 
+def counts_with_total(rows: DataFrame, key: str, domain: str, order: str) -> DataFrame:
+    """Rows of each key, the domain of its first row by order, and in a row of level 1 those of all keys; most rows first.
+
+    One pass: the total is a grouping set beside the keys, so a key that is null is told from the total by its level."""
+    per = rows.rollup(key).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.min_by(domain, order).alias("domain"))
+    return per.withColumn("domain", F.when(F.col("level") == 0, F.col("domain"))).orderBy(F.desc("level"), F.desc("n"), key)
+
+
+#: Clauses from which on findings are taken to repeat, and characters of an issue by which they do. Fixed values.
+MANY_CLAUSES, ISSUE_HEAD = 15, 60
+
+
+def dedup_findings(findings: DataFrame, clauses: DataFrame, key: str = "contract_id", kind: str = "type", issue: str = "issue_text", order: str = "finding_no") -> DataFrame:
+    """Findings of contracts of more than MANY_CLAUSES clauses without those of a type and issue head that stood before; others as they are."""
+    many = clauses.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MANY_CLAUSES).select(F.col(key).alias("_many"))
+    rows = findings.join(many, F.col(key) == F.col("_many"), "left")
+    same = Window.partitionBy(key, kind, F.substring(issue, 1, ISSUE_HEAD), F.when(F.col("_many").isNull(), F.col(order))).orderBy(order)
+    return rows.withColumn("_r", F.row_number().over(same)).filter((F.col("_r") == 1) | F.col("_many").isNull()).drop("_r", "_many")
+
+
+def sample(df: DataFrame, n: int) -> DataFrame:
+    """Any n rows, for a look at a table: as few partitions are read as give them."""
+    return df.limit(n)
+
+
 def merge_symbols(chunks: DataFrame, key: str = "contract_id") -> DataFrame:
     """Definitions (chunk_no, term, definition) of all chunks as one map, the last chunk's winning."""
     last = chunks.groupBy(key, "term").agg(F.max_by("definition", "chunk_no").alias("definition"))

@@ -58,10 +58,19 @@ def chunk_clauses(spark, sf):
     return clauses(spark, sf)
 
 
-@query()
+_PACKED_SQL = CHUNKS_SQL + r""", s AS (SELECT doc_id, segment_index AS grp, raw_text, list_transform(string_split(regexp_replace(raw_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {'done': CAST([] AS VARCHAR[]), 'open': x}) AS parts FROM clauses),
+f AS (SELECT doc_id, grp, raw_text, list_reduce(list_concat([{'done': CAST([] AS VARCHAR[]), 'open': ''}], parts), lambda acc, x: CASE WHEN (length(acc.open) + length(x.open)) / 4 > 400
+  THEN {'done': CASE WHEN length(""" + _STRIP.format("acc.open") + ") > 0 THEN list_append(acc.done, " + _STRIP.format("acc.open") + r""") ELSE acc.done END, 'open': x.open}
+  ELSE {'done': acc.done, 'open': acc.open || ' ' || x.open} END) AS r FROM s),
+q AS (SELECT doc_id, grp, length(raw_text) / 4 > 400 AS long, CASE WHEN length(raw_text) / 4 > 400 THEN list_filter(list_append(r.done, """ + _STRIP.format("r.open") + r"""), lambda x: length(x) > 0) ELSE [raw_text] END AS parts FROM f),
+u AS (SELECT doc_id, grp, long, unnest(parts) AS raw_text, unnest(range(len(parts))) AS part FROM q)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, part) - 1 AS INT) AS segment_index, raw_text, CASE WHEN long THEN 'overflow_block' ELSE 'semantic_block' END AS type FROM u"""
+
+
+@query(_PACKED_SQL)
 def overflow_split(spark, sf):
-    """Chunks of at most 400 tokens; a fold over sentences, which SQL does not state."""
-    return chunking.chunk_clauses(table(spark, sf, "documents"), "doc_id", "text", max_tokens=400)
+    """Chunks of at most 400 tokens, long ones packed sentence by sentence."""
+    return chunking.chunk_clauses(table(spark, sf, "documents"), "doc_id", "text", max_tokens=400, separator=r"\n+")
 
 
 @query(r"SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS INT) AS n_sentences FROM documents")
@@ -140,6 +149,14 @@ def risk_summary(spark, sf):
     return summaries.risk_summary(scored_clauses(spark, sf), "doc_id")
 
 
+@query(SCORED_SQL + """SELECT doc_id, count(*) AS total, count(*) FILTER (level = 'low') AS low, count(*) FILTER (level = 'medium') AS medium, count(*) FILTER (level = 'high') AS high, count(*) FILTER (level = 'critical') AS critical,
+count(*) FILTER (compliance = 'low') AS compliance_low, count(*) FILTER (compliance = 'medium') AS compliance_medium, count(*) FILTER (compliance = 'high') AS compliance_high, count(*) FILTER (compliance = 'critical') AS compliance_critical,
+count(*) FILTER (review) AS needs_review FROM scored GROUP BY doc_id""")
+def plain_risk_summary(spark, sf):
+    """Levels as they stand, whatever the scores."""
+    return summaries.risk_summary(scored_clauses(spark, sf), "doc_id", override=False)
+
+
 @query(SCORED_SQL + "SELECT doc_id, kind AS clause_type, count(*) AS count, count(*) FILTER (score > 5 AND level IN ('high', 'critical')) AS high_or_critical FROM scored GROUP BY 1, 2")
 def risk_summary_by_type(spark, sf):
     return summaries.risk_by_type(scored_clauses(spark, sf), "doc_id")

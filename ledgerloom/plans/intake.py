@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import answers, enrich, retrieval, scoring
+from ledgerloom.operators import answers, contradictions, enrich, facts, retrieval, scoring, summaries, upsert
 from ledgerloom.operators.staged import Stages
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import pick, query
 from ledgerloom.session import shared_path, table
 from ledgerloom.sources import admission
 
@@ -151,3 +151,66 @@ def staged_answers(spark, sf):
     judged = stages.result(docs, "level", {"level": "standard"})
     stages.complete(judged, "again", "text", _reflected, "again long", (F.col("level") == "odd") & (F.col("n_chars") > 300))
     return stages.result(judged, "again").select("doc_id", "level", "attempt", "again")
+
+
+@query("""SELECT CAST(CASE WHEN grouping(p_brand) = 1 THEN 1 ELSE 0 END AS INT) AS level, p_brand, count(*) AS n, CASE WHEN grouping(p_brand) = 0 THEN arg_min(p_type, p_partkey) END AS domain FROM part GROUP BY ROLLUP (p_brand)""")
+def counts_with_total(spark, sf):
+    return summaries.counts_with_total(table(spark, sf, "part"), "p_brand", "p_type", "p_partkey").select("level", "p_brand", "n", "domain")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (quality = 1) AS type_right, count(*) FILTER ((toxic = 1) = (quality = 0)) AS risk_right, count(*) FILTER (quality = 1 AND toxic = 1) AS false_positives, count(*) FILTER (quality = 0 AND toxic = 0) AS false_negatives,
+round(avg(CASE WHEN doc_id % 4 > 0 THEN doc_id % 11 END), 2) AS mean_rewrite_score FROM labels""")
+def rewrite_quality(spark, sf):
+    level = lambda c, v: F.when(F.col(c) == v, "HIGH").otherwise("LOW")
+    rows = table(spark, sf, "labels").select(F.lit("good").alias("expected_type"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("actual_type"), level("quality", 0).alias("expected_risk"), level("toxic", 1).alias("actual_risk"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 11).alias("rewrite_score"))
+    return summaries.confusion(rows, "rewrite_score")
+
+
+@query("""WITH f AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS t, repeat('issue ', 10) || o_orderpriority AS i FROM orders), n AS (SELECT c, count(*) AS n FROM f GROUP BY 1)
+SELECT c AS contract_id, k AS finding_no FROM f JOIN n USING (c) QUALIFY n <= 15 OR row_number() OVER (PARTITION BY c, t, left(i, 60) ORDER BY k) = 1""")
+def deduped_findings(spark, sf):
+    """Orders as findings of their customers, who have as many clauses as orders."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("contract_id"), F.col("o_orderkey").alias("finding_no"), F.col("o_orderstatus").alias("type"), F.concat(F.repeat(F.lit("issue "), F.lit(10)), "o_orderpriority").alias("issue_text"))
+    return summaries.dedup_findings(rows, rows).select("contract_id", "finding_no")
+
+
+@query("SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 50)")
+def sample_rows(spark, sf):
+    return summaries.sample(table(spark, sf, "orders"), 50).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey AS contract_id, l_linenumber AS segment_index, unnest(['section', 'schedule']) AS ref_type, unnest([CAST(l_suppkey AS VARCHAR) || '.' || l_linenumber, l_returnflag]) AS ref_target FROM lineitem""")
+def cross_references(spark, sf):
+    """References between clauses out of the lines of all orders."""
+    text = F.format_string("Subject to Section %s.%s, the goods of Schedule %s are sold as seen.", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_returnflag"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("contract_id"), F.col("l_linenumber").alias("segment_index"), F.explode(F.array(facts.cross_refs(text))).alias("_f"))
+    return rows.select("contract_id", "segment_index", F.explode("_f").alias("f")).select("contract_id", "segment_index", "f.ref_type", "f.ref_target")
+
+
+@query("""SELECT s_suppkey AS contract_id, 'FEE_SUM_MISMATCH' AS rule FROM supplier WHERE s_suppkey % 3 <> 0""")
+def broad_fees(spark, sf):
+    """Suppliers' contracts whose sentences name no total and no instalment, but whose clauses suggest them."""
+    s, n = F.col("s_suppkey"), F.floor(F.abs("s_acctbal")) + 2000
+    say = lambda pattern, v: F.format_string(pattern, F.format_number(v, 0))
+    texts = F.array(say("The contract amount is $%s.", n), say("Stage one brings $%s.", F.floor(n / 2)), say("Stage two brings $%s.", n - F.floor(n / 2) + s % 3))
+    rows = table(spark, sf, "supplier").select(s.alias("contract_id"), F.posexplode(texts).alias("segment_index", "raw_text"))
+    found = contradictions.detect(facts.extract_facts(rows, contradictions.clause_flags(F.col("raw_text"))))
+    return found.select("contract_id", "rule")
+
+
+@query("""SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON s_suppkey % 40 = o_custkey % 40 WHERE s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0""")
+def webhook_fan_out(spark, sf):
+    """Orders that are done, told to the suppliers that subscribe to that, two of three being active."""
+    hooks = table(spark, sf, "supplier").select((F.col("s_suppkey") % 40).alias("user_id"), "s_suppkey", (F.col("s_suppkey") % 3 != 0).alias("active"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("failed"), F.lit("done"))).otherwise(F.array(F.lit("failed"))).alias("events"))
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("user_id"))
+    return upsert.fan_out(orders, hooks, "done").select("o_orderkey", "s_suppkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN (o_orderpriority[1] = '5' OR o_custkey % 11 <= 2) AND o_orderstatus <> 'P' THEN 0 ELSE 2 END AS refs,
+['low', 'medium', 'high', 'critical'][greatest(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 3 END, o_custkey % 4 + 1)] AS compliance FROM orders""")
+def verdicts_of_clauses(spark, sf):
+    """References of plain clauses dropped, and compliance levels that only rise."""
+    level = F.when(F.substring("o_orderpriority", 1, 1) == "5", "low").otherwise("high")
+    rows = table(spark, sf, "orders").select("o_orderkey", level.alias("risk_level"), (F.col("o_custkey") % 11).alias("risk_score"), F.when(F.col("o_orderstatus") == "P", True).alias("has_warning"), F.array(F.lit("a"), F.lit("b")).alias("refs"), F.when(F.col("o_orderstatus") == "F", "compliant").otherwise("violation").alias("status"), pick(F.col("o_custkey"), list(scoring.LEVELS)).alias("was"))
+    rows = scoring.drop_boilerplate_refs(rows)
+    return rows.select("o_orderkey", F.size("refs").alias("refs"), scoring.compliance_level(F.col("status"), F.col("was")).alias("compliance"))

@@ -52,7 +52,7 @@ def act_references(spark, sf):
     """Keys looked up in a reference table, unknown ones dropped, defaults filled in."""
     config = spark.createDataFrame([("k0", "Act zero", 90), ("k1", "Act one", None)], "act_key string, act_name string, score int")
     rows = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("k"), (F.col("item_id") % 5).cast("string")).alias("act_key"))
-    return rows.join(F.broadcast(config), "act_key").select("item_id", "act_key", "act_name", F.coalesce("score", F.lit(85)).alias("score"))
+    return rows.join(config, "act_key").select("item_id", "act_key", "act_name", F.coalesce("score", F.lit(85)).alias("score"))
 
 
 @query("SELECT l_orderkey, count(*) FILTER (l_quantity > 25) AS escalated, count(*) FILTER (l_quantity > 25 AND l_discount > 0.05) AS agreed FROM lineitem GROUP BY 1")

@@ -64,7 +64,7 @@ SELECT contract_id, count(DISTINCT place) AS places FROM left_over GROUP BY 1 HA
 def jurisdiction_closure(spark, sf):
     """Places named by a contract that do not lie above another that it names."""
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    rows = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("contract_id", F.col("c_custkey") % 40)
+    rows = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("contract_id", F.col("c_custkey") % 40)
     named = rows.filter("c_acctbal >= 0").select("contract_id", F.col("n_name").alias("place"), F.col("r_name").alias("parent"))
     named = named.unionByName(rows.filter("c_acctbal < 0").select("contract_id", F.col("r_name").alias("place"), F.lit(None).cast("string").alias("parent"))).distinct()
     above = named.filter("parent IS NOT NULL").select("contract_id", F.col("parent").alias("place")).distinct()
