@@ -153,3 +153,59 @@ def nearest(queries: DataFrame, corpus: DataFrame, q_id: str, q_vec: str, c_id:
         one = corpus.select(c_id, c_vec).filter(F.col(c_vec).isNotNull()).mapInArrow(run, kinds)
         made = one if made is None else made.unionByName(one)
     return made
+
+
+#: Rows of one side of a block of a group.
+GROUP_ROWS = 512
+
+
+def within_groups(rows: DataFrame, group: str, r_id: str, vec: str, k: int) -> DataFrame:
+    """(group, query_id, other_id, score): for each row, from each block of its group, the k rows of greatest cosine, then least id, itself
+    among them. The k best of the group are among these.
+
+    A group of many rows is dealt over pairs of blocks of about GROUP_ROWS rows, so that no task holds more. Ids are distinct."""
+    sound = rows.filter(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(r_id).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+    sizes = sound.groupBy(F.col("_g").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_n"))
+    dealt = sound.join(sizes, F.col("_g") == F.col("_h")).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    # A row asks in the cells of its own block's row and answers in those of its column; in the cell on the diagonal it does both.
+    asks = dealt.select("_g", F.col("_own").alias("_a"), F.col("_other").alias("_b"), F.lit(0).alias("_side"), "_id", "_v")
+    told = dealt.select("_g", F.col("_other").alias("_a"), F.col("_own").alias("_b"), F.lit(1).alias("_side"), "_id", "_v")
+    cells = asks.unionByName(told).repartition("_g", "_a", "_b").sortWithinPartitions("_g", "_a", "_b", "_side")
+    kind = rows.schema[r_id].dataType.simpleString()
+
+    def cell(batch: pa.Table) -> pa.RecordBatch:
+        side = batch.column("_side").to_numpy()
+        x, y = (batch.filter(pa.array(side == n)).combine_chunks() for n in (0, 1))
+        of, to = (Matrix(t.column("_v").combine_chunks()) for t in (x, y))
+        ids = y.column("_id").to_pandas().to_numpy()
+        found = []
+        for d, (at, vectors, norms) in of.by_length.items():
+            if d in to.by_length:
+                there, others, sizes_ = to.by_length[d]
+                score = cosines(vectors, norms, others, sizes_)
+                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(at), -np.inf)
+                i, j = np.nonzero((score >= floor[:, None] - SLACK) & (score > -np.inf))
+                found.append(pd.DataFrame({"q": at[i], "j": there[j], "c": ids[there[j]], "score": again(vectors[i], norms[i], others[j], sizes_[j])}))
+        best_ = pd.concat(found).sort_values(["q", "score", "c"], ascending=[True, False, True]).groupby("q", sort=False).head(k) if found else pd.DataFrame({"q": np.zeros(0, int), "j": np.zeros(0, int), "score": np.zeros(0)})
+        take = lambda t, c, rows_: t.column(c).combine_chunks().take(pa.array(rows_.to_numpy(), pa.int64()))
+        return pa.RecordBatch.from_arrays([take(x, "_g", best_["q"]), take(x, "_id", best_["q"]), take(y, "_id", best_["j"]), pa.array(best_["score"].to_numpy())], ["group", "query_id", "other_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("_g", "_a", "_b")), strict=True))
+            start = 0
+            for n in range(1, len(keys) + 1):
+                if n == len(keys) or keys[n] != keys[start]:
+                    if last is not None and keys[start] != last:
+                        yield cell(pa.Table.from_batches(held))
+                        held = []
+                    last = keys[start]
+                    held.append(batch.slice(start, n - start))
+                    start = n
+        if held:
+            yield cell(pa.Table.from_batches(held))
+
+    return cells.mapInArrow(run, f"group {rows.schema[group].dataType.simpleString()}, query_id {kind}, other_id {kind}, score double")

@@ -18,19 +18,22 @@ from ledgerloom.functions.text import CHUNK, cited_section, overlap_pct, word_se
 REF_BLOCK, CLAIM_SLICE = 1024, 16
 
 
-def overlaps(claims: DataFrame, refs: DataFrame, claim_id: str, claim_text: str, ref_id: str, ref_text: str, upto: int = 2000) -> DataFrame:
+def overlaps(claims: DataFrame, refs: DataFrame, claim_id: str, claim_text: str, ref_id: str, ref_text: str, upto: int = 2000, least: int = 0) -> DataFrame:
     """Overlap of every claim, whole, with every reference's first characters: claim_id, ref_id, overlap, as overlap_pct.
 
-    References are the small side: they come to the driver and meet the claims in blocks, as lists of the references of a
-    word, so that a pair costs its common words only."""
-    known = refs.select(ref_id, word_set(F.substring(ref_text, 1, upto)).alias("_b")).collect()
+    References go to the claims in blocks of about REF_BLOCK, one block after the other, as lists of the references of a word, so
+    that a pair costs its common words only and the driver holds one block. Pairs of an overlap below least are left out."""
+    known = refs.select(ref_id, word_set(F.substring(ref_text, 1, upto)).alias("_b"))
     words = claims.select(claim_id, word_set(F.col(claim_text)).alias("_a"))
     kinds = f"{claim_id} {claims.schema[claim_id].dataType.simpleString()}, {ref_id} {refs.schema[ref_id].dataType.simpleString()}, overlap int"
-    made = claims.sparkSession.createDataFrame([], kinds)
-    for k in range(0, len(known), REF_BLOCK):
-        part = words.mapInArrow(_counted(known[k : k + REF_BLOCK], to_arrow_type(refs.schema[ref_id].dataType), [claim_id, ref_id, "overlap"]), kinds)
-        made = part if k == 0 else made.unionByName(part)
-    return made
+    n = max(1, -(-known.count() // REF_BLOCK))
+    dealt = known.withColumn("_k", F.pmod(F.xxhash64(ref_id, "_b"), F.lit(n))) if n > 1 else known.withColumn("_k", F.lit(0))
+    made = None
+    for k in range(n):
+        block = dealt.filter(F.col("_k") == k).drop("_k").collect()
+        part = words.mapInArrow(_counted(block, to_arrow_type(refs.schema[ref_id].dataType), [claim_id, ref_id, "overlap"]), kinds)
+        made = part if made is None else made.unionByName(part)
+    return made.filter(F.col("overlap") >= least) if least else made
 
 
 def _counted(known: list, kind: pa.DataType, names: list[str]):

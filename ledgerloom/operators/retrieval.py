@@ -66,11 +66,9 @@ def knn_filtered(queries: DataFrame, corpus: DataFrame, q_id: str, q_vec: str, c
 
 
 def siblings(clauses: DataFrame, group: str, c_id: str, vec: str, k: int = 3) -> DataFrame:
-    """For each clause the k nearest of its own group, itself taken out afterwards, so k - 1 of them as a rule."""
-    q = clauses.select(F.col(group).alias("_g"), F.col(c_id).alias("query_id"), F.col(vec).alias("_qv"))
-    size = norm(F.col(vec)) * norm(F.col("_qv"))
-    pairs = q.join(clauses, (F.col("_g") == F.col(group)) & (F.size("_qv") == F.size(vec)))
-    pairs = pairs.withColumn("score", F.when(size > 0, dot(F.col(vec), F.col("_qv")) / size).otherwise(0.0)).select(F.col("_g").alias("group"), "query_id", F.col(c_id).alias("sibling_id"), "score")
+    """For each clause the k nearest of its own group, itself taken out afterwards, so k - 1 of them as a rule. Groups of any size
+    are compared block by block."""
+    pairs = blocks.within_groups(clauses, group, c_id, vec, k).withColumnRenamed("other_id", "sibling_id")
     return _top(pairs, "query_id", "sibling_id", k).filter("query_id <> sibling_id")
 
 

@@ -134,3 +134,23 @@ def test_vector_traps_leave_the_rest_alone(spark):
     assert got == {1: ("critical", 9, False, 2), 2: ("critical", 9, False, 1), 3: ("critical", 9, False, 2), 4: ("low", 1, False, 1), 5: ("low", 1, False, 1), 6: ("medium", 4, False, 1), 7: ("high", 10, True, 1)}
     without = {r["k"]: r["ask_model"] for r in scoring.vector_traps(clauses, traps, "k").collect()}
     assert without[3] and without[7] and not without[1]
+
+
+@pytest.mark.parametrize("rows_a_block", [512, 7])
+def test_siblings_of_groups_of_any_size(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(blocks, "GROUP_ROWS", rows_a_block)
+    rng = random.Random(8)
+    rows = [(k, rng.choice("aab") if k % 11 else None, [rng.gauss(0, 1) for _ in range(3)] if k % 13 else None) for k in range(70)]
+    rows[5], rows[6] = (5, "a", rows[1][2]), (6, "a", rows[1][2])
+    frame = spark.createDataFrame(rows, "id long, g string, v array<double>").repartition(3)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    want = set()
+    for i, g, v in rows:
+        if g and v:
+            near = sorted((-round(cosine(v, w), 9), j) for j, h, w in rows if h == g and w)[:4]
+            want |= {(i, j, -s) for s, j in near if j != i}
+    assert {(r["query_id"], r["sibling_id"], round(r["score"], 9)) for r in retrieval.siblings(frame, "g", "id", "v", 4).collect()} == want
+    assert retrieval.siblings(frame.limit(0), "g", "id", "v").collect() == []
