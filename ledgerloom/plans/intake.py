@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import answers, contradictions, enrich, facts, retrieval, scoring, summaries, upsert
 from ledgerloom.operators.staged import Stages
-from ledgerloom.plans.registry import pick, query
+from ledgerloom.plans.registry import pick, query, values
 from ledgerloom.session import shared_path, table
-from ledgerloom.sources import admission
+from ledgerloom.sources import acts, admission, readers
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
@@ -214,3 +214,15 @@ def verdicts_of_clauses(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", level.alias("risk_level"), (F.col("o_custkey") % 11).alias("risk_score"), F.when(F.col("o_orderstatus") == "P", True).alias("has_warning"), F.array(F.lit("a"), F.lit("b")).alias("refs"), F.when(F.col("o_orderstatus") == "F", "compliant").otherwise("violation").alias("status"), pick(F.col("o_custkey"), list(scoring.LEVELS)).alias("was"))
     rows = scoring.drop_boilerplate_refs(rows)
     return rows.select("o_orderkey", F.size("refs").alias("refs"), scoring.compliance_level(F.col("status"), F.col("was")).alias("compliance"))
+
+
+_FOUND = ["THE CODE ON WAGES, 2019 (2)", "Indian  Penal Code", "the industrial disputes act", "MSMED2006", "Some Other Act", "Rti-Act English", "", None]
+_WRITTEN = ["The Code on Wages, 2019", "Indian Penal Code, 1860", "The Industrial Disputes Act, 1947", "Micro, Small and Medium Enterprises Development Act, 2006", "Some Other Act", "Right to Information Act, 2005", None, None]
+
+
+@query(f"""SELECT min(p_partkey) AS id, w.act AS act_name, CAST(p_size AS VARCHAR) AS section_number FROM part JOIN ({values(list(enumerate(_WRITTEN)), 'k BIGINT, act VARCHAR')}) w ON w.k = p_partkey % 8 WHERE w.act IS NOT NULL GROUP BY 2, 3""")
+def canonical_act_names(spark, sf):
+    """Parts as sections of acts whose names stand in several ways."""
+    p = table(spark, sf, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), pick(F.col("p_partkey"), _FOUND).alias("act_name"), F.col("p_size").cast("string").alias("section_number"))
+    return readers.canonical_acts(rows, acts.act_names(spark)).select("id", "act_name", "section_number")

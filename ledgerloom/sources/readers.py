@@ -65,8 +65,10 @@ def scraped(pages: DataFrame, key: str = "url") -> DataFrame:
 
 
 def canonical_acts(statutes: DataFrame, names: DataFrame) -> DataFrame:
-    """Statutes with act names as a map (raw, canonical) has them, then the first row of each act and section by id."""
-    rows = statutes.join(names, F.lower(collapse(F.col("act_name"))) == F.lower("raw"), "left").withColumn("act_name", F.coalesce("canonical", "act_name"))
+    """Statutes with act names as a map (raw, canonical; acts.act_names) has them, then the first row of each act and section by id.
+    Rows without an act's name are dropped; letters and runs of blanks do not matter."""
+    statutes = statutes.filter(F.length(F.trim("act_name")) > 0)
+    rows = statutes.join(names.withColumn("raw", F.lower(collapse(F.col("raw")))), F.lower(collapse(F.col("act_name"))) == F.col("raw"), "left").withColumn("act_name", F.coalesce("canonical", "act_name"))
     key = [F.lower(F.trim("act_name")).alias("_a"), F.col("section_number").alias("_s")]
     first = rows.groupBy(*key).agg(F.min_by(F.struct(*statutes.columns), "id").alias("r"))
     return first.select("r.*")
