@@ -10,11 +10,12 @@ goes on over them, and they go with it.
 2. The least line hash of a window is its fingerprint. Equal windows have equal ones at the same place, so a repeated run
    is guaranteed to hold fingerprints that occur at two places or more. Fingerprints met at one place only, which are
    most, end here together with their windows.
-3. Positions of fingerprints are joined: each with the first position that has the same fingerprint in the same company, so
-   that a frequent line pairs with one place for each company it keeps, never with all its places. The company is a
-   digest; it only proposes.
-4. Each proposed match is extended both ways from the fingerprint, line by line over both sheets, by other hashes of the
-   lines than those that proposed it, as far as its windows reach. A matched stretch with min_words words is a repeated run.
+3. The places of a fingerprint are extended both ways at once: by one line on either side, then by up to 8, by up to 64 and
+   so on, within their windows, places that go on alike staying together; those that are alone are dropped after every
+   step. A frequent line thus parts into the companies it keeps, and its places are never paired with each other.
+4. Positions are joined: each with the first position that it was extended alike with. The pair is compared line by line over
+   both sheets, by other hashes than those that brought it together, as far as its windows reach. A matched stretch with
+   min_words words is a repeated run.
 5. The lines of later runs, taken together per document, are deleted.
 
 Groups are reduced to least places before they are shuffled and never collected, and the tables that places are joined with
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import WORD, Scratch, table
 
 MIN_WORDS = 50
+#: How many times further each step of extension reaches.
+STRIDE = 8
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """A row a window: _id, _th, start, end and anchor (numbers of lines), least (the fingerprint), company (digest of all lines)."""
+    """A row a window: _id, _th, start, end and anchor (numbers of lines), least (the fingerprint), all (hashes of its lines)."""
     doc = Window.partitionBy("_id", "_th")
     c = lines.withColumn("upto", F.sum("words").over(doc.orderBy("n"))).withColumn("before", F.col("upto") - F.col("words"))
     ahead, back = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("upto").rangeBetween(1 - min_words, 0)
@@ -46,7 +49,30 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
         )
         c = c.withColumn(name, window)
     c = c.select("_id", "_th", F.explode(F.array("a", "b")).alias("w")).filter(F.col("w.words") >= min_words)
-    return c.select("_id", "_th", "w.start", "w.end", F.col("w.low.n").alias("anchor"), F.col("w.low.h").alias("least"), F.xxhash64(F.lit(1), "w.all").alias("company"))
+    return c.select("_id", "_th", "w.start", "w.end", F.col("w.low.n").alias("anchor"), F.col("w.low.h").alias("least"), "w.all")
+
+
+def _again(places: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """places whose key another place has too."""
+    met = F.xxhash64("_id", "_th", "anchor")
+    twice = places.groupBy(key).agg(F.min(met).alias("_a"), F.max(met).alias("_b")).filter("_a < _b").select(key)
+    return places.join(scratch.keep(twice, "twice"), key, "left_semi")
+
+
+def _extended_alike(places: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
+    """places (windows) with company, which is the same of those whose windows go on alike on both sides of the anchor; places
+    that were found alone on the way are left out. longest is the most lines that a window has."""
+    at, done, reach = F.col("anchor") - F.col("start") + 1, 0, 1
+    places = places.withColumn("company", F.col("least"))
+    while True:
+        right = F.slice("all", at + (1 + done), F.lit(reach - done))
+        begin = F.greatest(at - reach, F.lit(1))
+        left = F.slice("all", begin, F.greatest(at - done - begin, F.lit(0)))
+        places = places.withColumn("company", F.xxhash64("company", F.size(right), right, left))
+        if reach >= longest - 1:
+            return places.drop("all")
+        places = scratch.keep(_again(places, "company", scratch), "alike")
+        done, reach = reach, reach * STRIDE
 
 
 def _run(equal: Column, length: Column) -> Column:
@@ -85,11 +111,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     numbered = sheets.select("_id", "_th", F.posexplode("lines").alias("n", "line")).select("_id", "_th", (F.col("n") + 1).alias("n"), "line.h", "line.words")
     windows = scratch.keep(_windows(numbered, min_words), "windows")
 
-    # Fingerprints met at two places or more.
-    met = F.xxhash64("_id", "_th", "anchor")
-    twice = windows.groupBy("least").agg(F.min(met).alias("_a"), F.max(met).alias("_b")).filter("_a < _b").select("least")
-    windows = scratch.keep(windows.join(scratch.keep(twice, "twice"), "least", "left_semi"), "met")
-    # Positions joined: a place with the first one in the same company.
+    # Fingerprints met at two places or more, then places that go on alike. A line has a word, so windows have few lines.
+    windows = scratch.keep(_again(windows, "least", scratch), "met")
+    windows = _extended_alike(windows, min_words, scratch)
+    # Positions joined: a place with the first one that was extended alike.
     place = F.struct("_id", "_th", "start")
     first = windows.groupBy("least", "company").agg(F.min(F.struct("_id", "_th", "start", "anchor")).alias("f"), F.max(place).alias("_last"))
     first = first.filter(F.struct("f._id", "f._th", "f.start") < F.col("_last")).select("least", "company", "f")
