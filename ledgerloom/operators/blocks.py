@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Numbers of a block of vectors, 32 MB of them.
@@ -72,8 +72,8 @@ def _kinds(df: DataFrame, **names: str) -> str:
     return ", ".join(f"`{out}` {df.schema[c].dataType.simpleString()}" for out, c in names.items())
 
 
-def best(rows: DataFrame, targets: DataFrame, r_id: str, r_vec: str, t_id: str, t_vec: str) -> DataFrame:
-    """(r_id, t_id, score): for each row the target of greatest cosine, of several the least id. Ids of rows are distinct."""
+def best(rows: DataFrame, targets: DataFrame, r_id: str, r_vec: str, t_id: str, t_vec: str, k: int = 1) -> DataFrame:
+    """(r_id, t_id, score): for each row the k targets of greatest cosine, of equal ones those of least id. Ids of rows are distinct."""
     kinds = f"{_kinds(rows, **{r_id: r_id})}, {_kinds(targets, **{t_id: t_id})}, score double"
     made = []
     for sent in sent_blocks(targets, [t_id], t_vec):
@@ -94,11 +94,12 @@ def best(rows: DataFrame, targets: DataFrame, r_id: str, r_vec: str, t_id: str,
                             continue
                         to, y, ny = other.by_length[d]
                         found = cosines(x, nx, y, ny)
-                        row, col = np.nonzero((found >= found.max(1, keepdims=True) - SLACK) & (found > -np.inf))
+                        floor = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(at), -np.inf)
+                        row, col = np.nonzero((found >= floor[:, None] - SLACK) & (found > -np.inf))
                         score = again(x[row], nx[row], y[col], ny[col])
                         order = np.lexsort((col, -score, row))
                         row, col, score = row[order], col[order], score[order]
-                        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+                        first = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) < k)
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[row[first]])), block.column(0).take(pa.array(to[col[first]])), pa.array(score[first])], [r_id, t_id, "score"])
 
         made.append(rows.select(r_id, r_vec).filter(F.col(r_vec).isNotNull()).mapInArrow(run, kinds))
@@ -107,8 +108,11 @@ def best(rows: DataFrame, targets: DataFrame, r_id: str, r_vec: str, t_id: str,
     every = made[0]
     for m in made[1:]:
         every = every.unionByName(m)
-    first = every.groupBy(r_id).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(t_id).alias("t"))).alias("b"))
-    return first.select(r_id, F.col("b.t").alias(t_id), (-F.col("b.s")).alias("score"))
+    if k == 1:
+        first = every.groupBy(r_id).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(t_id).alias("t"))).alias("b"))
+        return first.select(r_id, F.col("b.t").alias(t_id), (-F.col("b.s")).alias("score"))
+    order = Window.partitionBy(r_id).orderBy(F.desc("score"), t_id)
+    return every.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, q_id: str, q_vec: str, c_id: str, c_vec: str, k: int) -> DataFrame:

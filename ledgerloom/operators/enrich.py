@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import first_match
+from ledgerloom.operators import blocks
 
 #: Tokens that one request may hold, by four characters a token, and clauses of a batch.
 MAX_TOKENS = 4000
@@ -127,6 +128,37 @@ def windows_of_clauses(df: DataFrame, group: str, index: str, size: int = 15) ->
     return df.groupBy(group, w).agg(F.array_sort(F.collect_list(F.struct(index, "raw_text"))).alias("clauses"))
 
 
+#: Case law that goes with a clause: how many cases, and the least cosine. Fixed values.
+PRECEDENTS, LEAST_COSINE = 2, 0.4
+#: Kinds of document for which a judge is told what to ground its reasons in: words of the kind, what it is told. Fixed values.
+GROUNDS = (("real estate", "Ground property transfers in the Transfer of Property Act, 1882 or the Registration Act, 1908, not in the Contract Act."),)
+
+
+def request_context(clauses: DataFrame, key: str, group: str, text_col: str, symbols: DataFrame, cases: DataFrame | None = None, vec_col: str = "embedding", kind_col: str | None = None) -> DataFrame:
+    """clauses with what a judge is told beside the text: symbols (the defined terms of its group, of three letters and more, that
+    stand in it, by term), precedents (the nearest cases) and ground (by the kind of document).
+
+    symbols: group, term, definition; cases: case_id, case_title, citation, summary, vec. key tells clauses apart; a clause
+    without a vector has no precedents."""
+    side = symbols.filter(F.length("term") > 2).select(F.col(group).alias("_g"), "term", "definition")
+    said = clauses.select(key, group, F.lower(text_col).alias("_t")).join(side, F.col(group) == F.col("_g")).filter(F.contains("_t", F.lower("term")))
+    said = said.groupBy(F.col(key).alias("_k1")).agg(F.array_sort(F.collect_set(F.struct("term", "definition"))).alias("symbols"))
+    none = F.array().cast("array<struct<term: string, definition: string>>")
+    rows = clauses.join(said, F.col(key) == F.col("_k1"), "left").withColumn("symbols", F.coalesce("symbols", none)).drop("_k1")
+    lines = F.array().cast("array<string>")
+    if cases is not None:
+        near = blocks.best(clauses.select(F.col(key).alias("_k2"), F.col(vec_col).alias("_v")), cases, "_k2", "_v", "case_id", "vec", PRECEDENTS).filter(F.col("score") >= LEAST_COSINE)
+        line = F.concat(F.lit("CASE: "), "case_title", F.lit(" | CITATION: "), "citation", F.lit(" | PRECEDENT: "), "summary")
+        named = near.join(cases.select("case_id", line.alias("_line")), "case_id")
+        order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "case_id", "_line")))
+        found = named.groupBy("_k2").agg(F.transform(order, lambda x: x["_line"]).alias("precedents"))
+        rows = rows.join(found, F.col(key) == F.col("_k2"), "left").withColumn("precedents", F.coalesce("precedents", lines)).drop("_k2")
+    else:
+        rows = rows.withColumn("precedents", lines)
+    kind = F.lower(F.col(kind_col)) if kind_col else F.lit(None).cast("string")
+    return rows.withColumn("ground", first_match([(F.contains(kind, F.lit(words)), F.lit(what)) for words, what in GROUNDS], F.lit(None).cast("string")))
+
+
 def parse_json(raw: Column, schema: str) -> Column:
     """JSON in an answer: as it stands, in a fence, or the widest braces; null if none of them reads."""
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)

@@ -226,3 +226,20 @@ def canonical_act_names(spark, sf):
     p = table(spark, sf, "part")
     rows = p.select(F.col("p_partkey").alias("id"), pick(F.col("p_partkey"), _FOUND).alias("act_name"), F.col("p_size").cast("string").alias("section_number"))
     return readers.canonical_acts(rows, acts.act_names(spark)).select("id", "act_name", "section_number")
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT a.vec_id, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS r, list_cosine_similarity(a.e, b.e) AS s FROM v a, v b WHERE b.vec_id % 50 = 0),
+p AS (SELECT vec_id, string_agg('CASE: case ' || c || ' | CITATION: AIR ' || c || ' | PRECEDENT: held', ';' ORDER BY r) AS p FROM n WHERE r <= 2 AND s >= 0.4 GROUP BY 1)
+SELECT vec_id, 'Topic' || vec_id % 5 || ' of ' || label AS symbols, coalesce(p, '') AS precedents, CASE WHEN label % 4 = 1 THEN 'Ground property transfers in the Transfer of Property Act, 1882 or the Registration Act, 1908, not in the Contract Act.' END AS ground
+FROM v LEFT JOIN p USING (vec_id)""")
+def request_context(spark, sf):
+    """Every vector as a clause of its label's contract, every fiftieth as a case; five terms a contract and one too short to count."""
+    e = table(spark, sf, "embeddings")
+    kind = F.when(F.col("label") % 4 == 1, "Real Estate lease").when(F.col("label") % 4 == 2, "employment")
+    rows = e.select("vec_id", "label", "embedding", F.format_string("Here Topic%s applies.", (F.col("vec_id") % 5).cast("string")).alias("text"), kind.alias("kind"))
+    terms = e.select("label").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("label", F.when(F.col("n") < 5, F.concat(F.lit("Topic"), F.col("n").cast("string"))).otherwise("He").alias("term"), F.col("label").cast("string").alias("definition"))
+    cases = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("case "), F.col("vec_id").cast("string")).alias("case_title"), F.concat(F.lit("AIR "), F.col("vec_id").cast("string")).alias("citation"), F.lit("held").alias("summary"), F.col("embedding").alias("vec"))
+    out = enrich.request_context(rows, "vec_id", "label", "text", terms, cases, "embedding", "kind")
+    shown = F.array_join(F.transform("symbols", lambda x: F.concat(x["term"], F.lit(" of "), x["definition"])), ";")
+    return out.select("vec_id", shown.alias("symbols"), F.array_join("precedents", ";").alias("precedents"), "ground")
