@@ -27,15 +27,17 @@ from ledgerloom.llm.components import connected_components
 MIN_COSINE = 0.98
 #: Least probability that two vectors at the least cosine meet in a table. Pairs above it meet more surely.
 RECALL = 0.99995
-#: Rows of one label wanted under a key, and rows of a block.
-PER_KEY = 16
+#: Unrelated rows of one label wanted under a key: so few that most rows are alone under most keys, and only ids and keys, not
+#: vectors, are exchanged for them.
+PER_KEY = 1 / 32
+#: Rows of a block.
 BLOCK = 512
 SEED = 17
 
 
 def plan_tables(n: int, min_cosine: float = MIN_COSINE, recall: float = RECALL) -> tuple[int, int]:
     """(bits, tables) for n vectors of a label."""
-    bits = min(30, max(4, math.ceil(math.log2(max(n, 2) / PER_KEY))))
+    bits = min(60, max(4, math.ceil(math.log2(max(n, 2) / PER_KEY))))
     meet = (1 - math.acos(min_cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
