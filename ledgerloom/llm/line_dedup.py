@@ -52,18 +52,20 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     return c.select("_id", "_th", "w.start", "w.end", F.col("w.low.n").alias("anchor"), F.col("w.low.h").alias("least"), "w.all")
 
 
-def _again(places: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """places whose key another place has too."""
+def _again(places: DataFrame, key: str, scratch: Scratch, read: DataFrame) -> DataFrame:
+    """places whose key another place has too, written anew; the table that places read is deleted."""
     met = F.xxhash64("_id", "_th", "anchor")
-    twice = places.groupBy(key).agg(F.min(met).alias("_a"), F.max(met).alias("_b")).filter("_a < _b").select(key)
-    return places.join(scratch.keep(twice, "twice"), key, "left_semi")
+    twice = scratch.keep(places.groupBy(key).agg(F.min(met).alias("_a"), F.max(met).alias("_b")).filter("_a < _b").select(key), "twice")
+    found = scratch.keep(places.join(twice, key, "left_semi"), "again")
+    scratch.drop(twice, read)
+    return found
 
 
 def _extended_alike(places: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
     """places (windows) with company, which is the same of those whose windows go on alike on both sides of the anchor; places
     that were found alone on the way are left out. longest is the most lines that a window has."""
     at, done, reach = F.col("anchor") - F.col("start") + 1, 0, 1
-    places = places.withColumn("company", F.col("least"))
+    read, places = places, places.withColumn("company", F.col("least"))
     while True:
         right = F.slice("all", at + (1 + done), F.lit(reach - done))
         begin = F.greatest(at - reach, F.lit(1))
@@ -71,7 +73,7 @@ def _extended_alike(places: DataFrame, longest: int, scratch: Scratch) -> DataFr
         places = places.withColumn("company", F.xxhash64("company", F.size(right), right, left))
         if reach >= longest - 1:
             return places.drop("all")
-        places = scratch.keep(_again(places, "company", scratch), "alike")
+        read = places = _again(places, "company", scratch, read)
         done, reach = reach, reach * STRIDE
 
 
@@ -112,7 +114,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     windows = scratch.keep(_windows(numbered, min_words), "windows")
 
     # Fingerprints met at two places or more, then places that go on alike. A line has a word, so windows have few lines.
-    windows = scratch.keep(_again(windows, "least", scratch), "met")
+    windows = _again(windows, "least", scratch, windows)
     windows = _extended_alike(windows, min_words, scratch)
     # Positions joined: a place with the first one that was extended alike.
     place = F.struct("_id", "_th", "start")
