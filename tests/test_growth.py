@@ -2,7 +2,7 @@
 
 import random
 
-from ledgerloom.operators import retrieval
+from ledgerloom.operators import citations, retrieval
 
 
 def below(df, top: str) -> list[str]:
@@ -36,3 +36,19 @@ def test_hints_send_no_exploded_names(spark):
     assert {tuple(r) for r in got.collect()} == want
     small = spark.createDataFrame(hints, "src string, rel string, hint string").limit(50), spark.createDataFrame(names, "id long, name string").limit(50)
     assert not [p for p in below(retrieval.edges_from_triples(*small), "BroadcastExchange") if "Generate explode" in p]
+
+
+def test_what_is_said_twice_is_looked_up_once(spark):
+    statutes = spark.createDataFrame([("Wages Act", f"Section {k}", f"Wages are paid before day {k}.") for k in range(30)], "act_name string, section_number string, content string")
+    said = [
+        ("WAGES", "Wages Act", "Sec. 3", "Wages are paid before day"), ("WAGES", None, None, "something of day 7."), ("WAGES", None, "", "something else"),
+        ("CASE_LAW", "A v. B", None, None), ("OTHER", None, None, None), ("WAGES", "Wages Act", "Section 99", "Wages"), ("RENT", None, None, "wages"),
+    ]
+    want = [("verified", "Section 3"), ("verified", "Section 0"), ("misquoted", "Section 0"), ("not_applicable", None), ("not_applicable", None), ("not_found", None), ("not_found", None)]
+    refs = spark.createDataFrame([(n, *said[n % 7]) for n in range(70)], "ref_id long, act_key string, act_name string, section_hint string, reason string")
+    terms = spark.createDataFrame([("WAGES", 1, "Payment"), ("WAGES", 2, "Wages")], "act_key string, term_ord int, term string")
+    got = citations.verify(refs, statutes, terms)
+    assert sorted((r["ref_id"], r["status"], r["section_found"]) for r in got.collect()) == [(n, *want[n % 7]) for n in range(70)]
+    # No reference meets every statute: only terms and acts are compared by their letters.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString() and plan.count("Contains(lower(act_found") == 1
