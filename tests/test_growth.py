@@ -2,7 +2,10 @@
 
 import random
 
-from ledgerloom.operators import citations, retrieval
+import pytest
+
+from ledgerloom.operators import blocks, citations, retrieval
+from ledgerloom.plans import tables
 
 
 def below(df, top: str) -> list[str]:
@@ -52,3 +55,35 @@ def test_what_is_said_twice_is_looked_up_once(spark):
     # No reference meets every statute: only terms and acts are compared by their letters.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString() and plan.count("Contains(lower(act_found") == 1
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("apart", [False, True])
+def test_blocks_keep_keys_and_ids_apart(spark, monkeypatch, small, apart):
+    if small:
+        for name, n in (("BLOCK_ENTRIES", 40), ("PRODUCT", 12), ("MERGE", 3)):
+            monkeypatch.setattr(blocks, name, n)
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 4 if k % 9 else None) for k in range(90)]
+    rows[3], rows[5] = (3, rows[4][1], 0), (5, None, 1)
+    asked = [(k, v, [None, key, ((key or 0) + 1) % 4] if k % 7 else None) for k, v, key in rows[::3]]
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+    want = set()
+    for i, v, keys in asked:
+        met = sorted((-round(cosine(v, w), 9), j) for j, w, key in rows if w and v and key is not None and key in (keys or ()) and not (apart and i == j))
+        want |= {(i, j, -s) for s, j in met[:5]}
+    q = spark.createDataFrame(asked, "q long, qv array<double>, qk array<long>")
+    c = spark.createDataFrame(rows, "c long, cv array<double>, ck long")
+    got = retrieval._top(blocks.nearest(q, c, "q", "qv", "c", "cv", 5, ("qk", "ck"), apart), "q", "c", 5)
+    assert {(r["q"], r["c"], round(r["score"], 9)) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["argmax_zone", "argmax_zone_all", "knn_filtered", "chat_retrieval"])
+def test_vectors_meet_in_blocks(spark, name):
+    """No pair of vectors is a row of a join, and what is ranked is no join of questions and clauses."""
+    df = getattr(tables, name)(spark, "/root/testdata/sf0.001")
+    assert not [p for p in below(df, "Window [") + below(df, "Aggregate(") if "Join" in p]
