@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerloom.operators import blocks, citations, retrieval
+from ledgerloom.operators import blocks, citations, retrieval, scoring
 from ledgerloom.plans import tables
 
 
@@ -87,3 +87,25 @@ def test_vectors_meet_in_blocks(spark, name):
     """No pair of vectors is a row of a join, and what is ranked is no join of questions and clauses."""
     df = getattr(tables, name)(spark, "/root/testdata/sf0.001")
     assert not [p for p in below(df, "Window [") + below(df, "Aggregate(") if "Join" in p]
+
+
+def test_suppression_settles_in_rounds(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abB") for _ in range(n))
+    rows = [(rng.choice([1, 2, None]), n, word(rng.randrange(3, 30)) if n % 40 else None, n % 11 == 0) for n in range(300)]
+    # A chain in which each repeats the one before only.
+    rows += [(3, n, f"{n:020}{n - 1:020}", False) for n in range(1, 9)]
+    want = set()
+    for group in (1, 2, 3, None):
+        kept = []
+        for g, n, title, sure in sorted((r for r in rows if r[0] == group), key=lambda r: (not r[3], r[1])):
+            low = (title or "").lower()
+            if sure or not any(low[:20] in t or t[:20] in low for t in kept):
+                kept.append(low)
+                want.add((g, n))
+    frame = spark.createDataFrame(rows, "c long, n int, title string, sure boolean")
+    got = scoring.unsuppressed(frame, "c", ["n"], sure="sure")
+    assert {(r["c"], r["n"]) for r in got.collect()} == want and got.count() == len(want)
+    assert {n for c, n in want if c == 3} == {1, 3, 5, 7}
+    # No group is folded as one row.
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
