@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,36 +60,49 @@ class Stages:
         asked = self.open_rows(df, stage, where, attempts).select(*keys, F.col(text_col).alias("text"), "_attempt")
         kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-        def ask(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            try:
-                said = provider(part.reset_index(drop=True))
-            except Exception as error:
-                if len(part) > 1:
-                    middle = len(part) // 2
-                    yield from ask(part.iloc[:middle])
-                    yield from ask(part.iloc[middle:])
-                else:
-                    yield part[keys].assign(**dict.fromkeys(names), _ok=False, _error=str(error)[:500])
-                return
-            out = part[keys].merge(said[[*keys, *names]].drop_duplicates(keys).assign(_ok=True), on=keys, how="left")
-            out["_ok"] = out["_ok"].eq(True)
-            yield out.assign(_error=out["_ok"].map({True: None, False: "no answer"}))
-
         def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
+                frame = frame.reset_index(drop=True)
+                request, said, errors = np.full(len(frame), -1), [], np.full(len(frame), "no answer", object)
+
+                def ask(part: pd.DataFrame, request=request, said=said, errors=errors) -> None:
+                    try:
+                        answer = provider(part.reset_index(drop=True))
+                    except Exception as error:
+                        if len(part) > 1:
+                            middle = len(part) // 2
+                            ask(part.iloc[:middle])
+                            ask(part.iloc[middle:])
+                        else:
+                            errors[part.index[0]] = str(error)[:500]
+                        return
+                    request[part.index.to_numpy()] = len(said)
+                    said.append(answer[[*keys, *names]].assign(_request=len(said)))
+
                 for a in range(0, len(frame), batch):
                     for part in halves(frame.iloc[a : a + batch], "text"):
-                        yield from (made[[*keys, *names, "_ok", "_error"]] for made in ask(part))
+                        ask(part)
+                # One merge a frame: that of each request would cost more than many a request does.
+                met = [x for x in said if len(x)]
+                if met:
+                    every = pd.concat(met).drop_duplicates([*keys, "_request"]).assign(_ok=True)
+                    out = frame[keys].assign(_request=request).merge(every, on=[*keys, "_request"], how="left")
+                    out["_ok"] = out["_ok"].eq(True)
+                else:
+                    out = frame[keys].assign(**dict.fromkeys(names), _ok=False)
+                out["_error"] = pd.Series(errors, dtype=object).where(~out["_ok"], None)
+                yield out[[*keys, *names, "_ok", "_error"]]
 
         asked.mapInPandas(each, f"{kinds}, {answers}, _ok boolean, _error string").write.mode("append").parquet(f"{self.path}/{stage}")
         return self.open_rows(df, stage, where, attempts).count()
 
     def complete(self, df: DataFrame, stage: str, text_col: str, provider: Callable[[pd.DataFrame], pd.DataFrame], answers: str, where: Column | None = None, attempts: int = ATTEMPTS, batch: int = BATCH) -> int:
         """Runs until no row is open, at most attempts of them; the number of runs. Nothing is asked where all is answered."""
-        for n in range(attempts):
-            if not self.open_rows(df, stage, where, attempts).take(1):
+        if not self.open_rows(df, stage, where, attempts).take(1):
+            return 0
+        for n in range(1, attempts + 1):
+            if not self.run(df, stage, text_col, provider, answers, where, attempts, batch):
                 return n
-            self.run(df, stage, text_col, provider, answers, where, attempts, batch)
         return attempts
 
     def result(self, df: DataFrame, stage: str, defaults: dict[str, object] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from ledgerloom.operators import blocks, citations, retrieval, scoring
+from ledgerloom.operators.staged import Stages
 from ledgerloom.plans import tables
 
 
@@ -109,3 +111,24 @@ def test_suppression_settles_in_rounds(spark):
     assert {n for c, n in want if c == 3} == {1, 3, 5, 7}
     # No group is folded as one row.
     assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stages_look_for_open_rows_once_a_run(spark, tmp_path, monkeypatch):
+    """Each look joins all rows with all answers: one before the first run, and two in each run."""
+    looks, open_rows = [], Stages.open_rows
+    monkeypatch.setattr(Stages, "open_rows", lambda self, *a: looks.append(1) or open_rows(self, *a))
+    rows = spark.createDataFrame([(k, f"t{k % 30}") for k in range(100)], "k long, body string")
+
+    def once_odd(frame):
+        if (frame["k"] == 50).any():
+            raise ValueError("fifty")
+        said = frame[(frame["k"] % 2 == 0) | (frame["_attempt"] > 1)]
+        # Answers given twice, and of a row that another request asks for.
+        return pd.concat([said, said, frame.assign(k=99)])[["k"]].assign(n=lambda x: x["k"] * 2)
+
+    stages = Stages(spark, f"file://{tmp_path}/s", ["k"])
+    assert stages.complete(rows, "a", "body", once_odd, "n long", batch=10) == 3 and len(looks) == 7
+    tried = spark.read.parquet(f"file://{tmp_path}/s/a").groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in tried} == {k: 3 if k == 50 else 1 if k % 2 == 0 or k == 99 else 2 for k in range(100)}
+    assert {r["k"]: r["n"] for r in stages.answered("a").collect()} == {k: 2 * k for k in range(100) if k != 50}
+    assert [r["_error"] for r in spark.read.parquet(f"file://{tmp_path}/s/a").filter("k = 50").collect()] == ["fifty"] * 3
