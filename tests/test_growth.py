@@ -4,8 +4,9 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import blocks, citations, retrieval, scoring
+from ledgerloom.operators import blocks, citations, retrieval, scoring, upsert
 from ledgerloom.operators.staged import Stages
 from ledgerloom.plans import tables
 
@@ -132,3 +133,29 @@ def test_stages_look_for_open_rows_once_a_run(spark, tmp_path, monkeypatch):
     assert {r["k"]: r["count"] for r in tried} == {k: 3 if k == 50 else 1 if k % 2 == 0 or k == 99 else 2 for k in range(100)}
     assert {r["k"]: r["n"] for r in stages.answered("a").collect()} == {k: 2 * k for k in range(100) if k != 50}
     assert [r["_error"] for r in spark.read.parquet(f"file://{tmp_path}/s/a").filter("k = 50").collect()] == ["fifty"] * 3
+
+
+def test_fan_out_writes_little_a_pair(spark, tmp_path):
+    rng = random.Random(4)
+    hooks = spark.createDataFrame([(rng.randrange(10), k, True, ["x"]) for k in range(3000)], "user_id long, hook long, active boolean, events array<string>")
+    contracts = spark.createDataFrame([(k, rng.randrange(10)) for k in range(5000)], "contract long, user_id long")
+    upsert.fan_out(contracts, hooks, "x").select("contract", "hook").write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert rows > 1_000_000 and size < 0.5 * rows
+
+
+def test_fan_out_deals_an_owner_over_tasks(spark, monkeypatch):
+    for name, n in {"CONTRACTS": 8, "HOOKS": 5, "DEALT": 50, "TASK_ROWS": 500}.items():
+        monkeypatch.setattr(upsert, name, n)
+    told = [(1, k % 90, None if k % 7 == 0 else {"k": str(k % 90)}) for k in range(120)] + [(2, 200, None), (None, 201, None), (3, 202, None), (4, None, {})]
+    hooked = [(1, k % 60, k % 4 != 0, ["x", "y"] if k % 3 else ["y"]) for k in range(99)] + [(2, 70, True, ["x", None]), (2, 71, None, ["x"]), (None, 72, True, ["x"]), (5, 73, True, ["x"]), (4, 74, True, None), (4, None, True, ["x"])]
+    contracts = spark.createDataFrame(told, "user_id long, contract long, more map<string,string>").coalesce(1)
+    hooks = spark.createDataFrame(hooked, "user_id long, hook long, active boolean, events array<string>")
+    got = upsert.fan_out(contracts, hooks, "x")
+    assert got.columns == ["user_id", "contract", "more", "hook", "active", "events"]
+    want = sorted(repr((*c, *h[1:])) for c in told for h in hooked if c[0] is not None and c[0] == h[0] and h[2] and "x" in (h[3] or []))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    sizes = [r["count"] for r in got.filter("user_id = 1").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < len(want) / 4
+    assert upsert.fan_out(contracts, hooks, "z").count() == upsert.fan_out(contracts.limit(0), hooks, "x").count() == 0
